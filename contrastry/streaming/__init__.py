@@ -1,0 +1 @@
+"""Kept empty on purpose: the capabilities covered here are batch only (see README)."""
