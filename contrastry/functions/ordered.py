@@ -162,10 +162,18 @@ def row_rank(
     *,
     total: str | None = None,
     descending: bool = True,
+    block: Column | None = None,
 ) -> DataFrame:
-    """Distinct ranks 1..n within the group by ``value``, ties settled by ``ties``."""
+    """Distinct ranks 1..n within the group by ``value``, ties settled by ``ties``.
+
+    ``block`` may refine the split where many rows tie on ``value``: any column that
+    ascends along the full order.
+    """
     keys = list(keys)
-    joined = _with_offsets(df, keys, value_block(F.col(value), blocks_per_octave(df)), descending)
+    if block is None:
+        joined = _with_offsets(df, keys, value_block(F.col(value), blocks_per_octave(df)), descending)
+    else:
+        joined = _with_offsets(df, keys, block, False)
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = Window.partitionBy(*keys, BLOCK).orderBy(order, *ties)
     ranked = joined.withColumn(out, F.col(f"_{ONE}_offset") + F.row_number().over(inside))
