@@ -203,22 +203,22 @@ def bh_q_values(df: DataFrame, family: Sequence[str], p: str, out: str) -> DataF
     """
     family = list(family)
     clean = F.when(F.isnan(p) | F.col(p).isNull(), 1.0).otherwise(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)))
-    tested = df.withColumn("_p", clean)
-    joined = _with_offsets(tested, family, small_value_block(F.col("_p"), blocks_per_octave(df)), False)
-    up_to = Window.partitionBy(*family, BLOCK).orderBy("_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    tested = df.withColumn("_bh_p", clean)
+    joined = _with_offsets(tested, family, small_value_block(F.col("_bh_p"), blocks_per_octave(df)), False)
+    up_to = Window.partitionBy(*family, BLOCK).orderBy("_bh_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     raw = joined.withColumn(
-        "_raw", F.col("_p") * F.col(f"_{ONE}_all") / (F.col(f"_{ONE}_offset") + F.count(F.lit(1)).over(up_to))
+        "_raw", F.col("_bh_p") * F.col(f"_{ONE}_all") / (F.col(f"_{ONE}_offset") + F.count(F.lit(1)).over(up_to))
     )
     above = Window.partitionBy(*family).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     minima = (
         raw.groupBy(*family, BLOCK).agg(F.min("_raw").alias("_low"))
         .select(*family, BLOCK, F.coalesce(F.min("_low").over(above), F.lit(1.0)).alias("_later"))
     )
-    inside = Window.partitionBy(*family, BLOCK).orderBy(F.col("_p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*family, BLOCK).orderBy(F.col("_bh_p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     stepped = raw.join(minima, [*family, BLOCK]).withColumn(
         out, F.least(F.lit(1.0), F.col("_later"), F.min("_raw").over(inside))
     )
-    return _drop_helpers(stepped).drop("_p", "_raw", "_later")
+    return _drop_helpers(stepped).drop("_bh_p", "_raw", "_later")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str, *, minimum: int = 2, degenerate: float | None = None) -> DataFrame:

@@ -214,3 +214,45 @@ def sql(body: str, *names: str) -> str:
         need(name)
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({SQL_VIEWS[n][1]})" for n in ordered)
     return f"WITH {ctes}\n{body}" if ctes else body
+
+
+# ---------------------------------------------------------------- SQL helpers
+
+def sql_erfc(x: str) -> str:
+    """The error-function expression of ``functions.expr.erfc`` as SQL text."""
+    from contrastry.functions import expr as e
+
+    def rational(y: str, num, den) -> str:
+        top, bottom = f"({num[-1]!r}::DOUBLE * {y})", y
+        for a, b in zip(num[:-2], den[:-1]):
+            top, bottom = f"(({top} + {a!r}::DOUBLE) * {y})", f"(({bottom} + {b!r}::DOUBLE) * {y})"
+        return f"(({top} + {num[-2]!r}::DOUBLE) / ({bottom} + {den[-1]!r}::DOUBLE))"
+
+    sq, inv = f"({x} * {x})", f"(1.0::DOUBLE / ({x} * {x}))"
+    return (
+        f"CASE WHEN {x} <= 0.46875 THEN 1 - {x} * {rational(sq, e.ERF_A, e.ERF_B)} "
+        f"WHEN {x} <= 4 THEN exp(-{sq}) * {rational(x, e.ERF_C, e.ERF_D)} "
+        f"ELSE exp(-{sq}) * ((1 / sqrt(pi())) - {inv} * {rational(inv, e.ERF_P, e.ERF_Q)}) / {x} END"
+    )
+
+
+def sql_midrank(value: str, partition: str, descending: bool = False) -> str:
+    way = " DESC" if descending else ""
+    return (
+        f"(rank() OVER (PARTITION BY {partition} ORDER BY {value}{way}) + "
+        f"(count(*) OVER (PARTITION BY {partition}, {value}) - 1) / 2.0::DOUBLE)"
+    )
+
+
+def sql_bh(source: str, family: str, p: str, out: str) -> str:
+    """Rows of ``source`` plus Benjamini-Hochberg q-values."""
+    return (
+        f"SELECT * EXCLUDE (_raw), least(1, min(_raw) OVER (PARTITION BY {family} ORDER BY {p} DESC RANGE UNBOUNDED PRECEDING)) AS {out} "
+        f"FROM (SELECT *, {p} * count(*) OVER (PARTITION BY {family}) / count(*) OVER (PARTITION BY {family} ORDER BY {p} RANGE UNBOUNDED PRECEDING) AS _raw "
+        f"FROM {source})"
+    )
+
+
+def rounds(names: str, view: str, digits: int = 6) -> str:
+    """Every row of a view with the named doubles rounded."""
+    return f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in names.split())}) FROM {view}"

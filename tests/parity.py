@@ -88,7 +88,7 @@ def main() -> None:
         try:
             verdict, a, b = check(spark, name, query, texts.get(name), sf_dir, con)
         except Exception as exc:  # noqa: BLE001
-            verdict, a, b = "ERROR " + str(exc)[:1500], 0.0, 0.0
+            verdict, a, b = "ERROR " + str(exc)[:300].replace(chr(10), ' '), 0.0, 0.0
         bad += not verdict.startswith(("ok", "rows-only"))
         print(f"{name:48s} {a:6.1f}s {b:6.1f}s {verdict}", flush=True)
     print("bad", bad)
