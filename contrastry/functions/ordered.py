@@ -32,13 +32,17 @@ def blocks_per_octave(df: DataFrame) -> int:
 
 
 def value_block(value: Column, per_octave: int) -> Column:
-    """Monotone in ``value``: equal steps of log2(1 + |value|) on either side of zero."""
-    return F.floor(F.signum(value) * F.log2(F.abs(value) + 1.0) * per_octave).cast("long")
+    """Monotone in ``value``: equal steps of log2(1 + |value|) on either side of zero.
+
+    Never NULL, so that the join on it infers no filter and both readers of the
+    blocked rows share one exchange.
+    """
+    return F.coalesce(F.floor(F.signum(value) * F.log2(F.abs(value) + 1.0) * per_octave).cast("long"), F.lit(0).cast("long"))
 
 
 def small_value_block(value: Column, per_octave: int) -> Column:
     """For values in (0, 1] that crowd towards zero, such as p-values."""
-    return F.floor(F.log2(F.greatest(value, F.lit(1e-300))) * per_octave).cast("long")
+    return F.coalesce(F.floor(F.log2(F.greatest(value, F.lit(1e-300))) * per_octave).cast("long"), F.lit(0).cast("long"))
 
 
 def _offsets(blocked: DataFrame, keys: Sequence[str], weights: Sequence[str], descending: bool) -> DataFrame:
