@@ -100,7 +100,9 @@ def quantile_of(value: str, weight: str, q: float) -> Column:
     begin, end = F.col(f"{weight}_before"), F.col(f"{weight}_before") + F.col(weight)
     at_low = F.max(F.when((begin <= low) & (low < end), F.col(value)))
     at_high = F.max(F.when((begin <= high) & (high < end), F.col(value)))
-    return at_low + (at_high - at_low) * F.max(position - low)
+    # the weighted form makes a median the exact mean of its two middle values
+    share = F.max(position - low)
+    return at_low * (F.lit(1.0) - share) + at_high * share
 
 
 def group_quantiles(

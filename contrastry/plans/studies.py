@@ -436,7 +436,7 @@ def _evaluation_sql(tops: str, where: str = "true") -> str:
     for name in ("adjacent", "gtex"):
         held += f""" JOIN (SELECT t.cancer_type, t.method, t.top_k, count(h.gene_symbol) / (2 * t.top_k - count(h.gene_symbol)) AS heldout_{name}_jaccard FROM {tops} t LEFT JOIN (
             SELECT cancer_type, gene_symbol, row_number() OVER (PARTITION BY cancer_type ORDER BY round(abs({name}), 12) DESC, gene_symbol) AS hr FROM test_effects WHERE replicate = -1) h
-            ON t.cancer_type = h.cancer_type AND t.gene_symbol = h.gene_symbol AND h.hr <= t.top_k GROUP BY ALL) USING (cancer_type, method, top_k)"""
+            ON t.cancer_type = h.cancer_type AND t.gene_symbol = h.gene_symbol AND h.hr <= t.top_k GROUP BY 1, 2, 3) USING (cancer_type, method, top_k)"""
     return f"""SELECT * FROM (SELECT cancer_type, method, top_k, count(*) AS selected_count, count(*) FILTER (score > 0) AS positive_score_count FROM {tops} GROUP BY 1, 2, 3)
       JOIN (SELECT cancer_type, method, top_k, {', '.join(cols)} FROM (
         SELECT t.cancer_type, t.method, t.top_k, e.replicate, avg(({worst} >= 0.3)::INT) AS replication_fraction, avg({worst}) AS mean_worst_reference_effect
@@ -451,9 +451,9 @@ v.SQL_VIEWS["rra_evaluation"] = (("tops", "rra_tops", "published", "test_effects
     SELECT * FROM ({_evaluation_sql('rra_tops')})
     JOIN (SELECT cancer_type, method, top_k, count(*) FILTER (adjacent * gtex < 0) AS discordant_reference_direction_count,
                  count(*) FILTER (adjacent * gtex < 0) / top_k AS discordant_reference_direction_fraction
-          FROM rra_tops JOIN published USING (cancer_type, gene_symbol) GROUP BY ALL) USING (cancer_type, method, top_k)
+          FROM rra_tops JOIN published USING (cancer_type, gene_symbol) GROUP BY 1, 2, 3) USING (cancer_type, method, top_k)
     JOIN (SELECT r.cancer_type, r.method, r.top_k, count(h.gene_symbol) / (2 * r.top_k - count(h.gene_symbol)) AS rra_style_topk_jaccard
-          FROM rra_tops r LEFT JOIN (SELECT * FROM tops WHERE method = 'rra_style') h USING (cancer_type, gene_symbol, top_k) GROUP BY ALL) USING (cancer_type, method, top_k)""")
+          FROM rra_tops r LEFT JOIN (SELECT * FROM tops WHERE method = 'rra_style') h USING (cancer_type, gene_symbol, top_k) GROUP BY 1, 2, 3) USING (cancer_type, method, top_k)""")
 EVALUATION_DOUBLES = " ".join(
     f"{p}{m}{x}" for m in r_ops.METRICS for p in ("", "proposed_minus_baseline_") for x in ("", "_ci_low", "_ci_high")
 ) + " heldout_adjacent_jaccard heldout_gtex_jaccard"
@@ -518,7 +518,7 @@ def _ties_sql(source: str, keys: str) -> str:
       placed AS (SELECT *, row_number() OVER (PARTITION BY {on}, pipe ORDER BY s DESC, gene_symbol) AS place FROM lng),
       cut AS (SELECT {on}, pipe, place AS top_k, s AS cut FROM placed WHERE place IN (5, 10)),
       marked AS (SELECT p.*, c.top_k, p.s > c.cut AS forced FROM placed p JOIN cut c USING ({on}, pipe) WHERE p.s >= c.cut),
-      slots AS (SELECT {on}, pipe, top_k, count(*) FILTER (NOT forced) AS ties, top_k - count(*) FILTER (forced) AS slots FROM marked GROUP BY ALL),
+      slots AS (SELECT {on}, pipe, top_k, count(*) FILTER (NOT forced) AS ties, top_k - count(*) FILTER (forced) AS slots FROM marked GROUP BY {on}, pipe, top_k),
       drawn AS (SELECT * FROM (SELECT m.*, draw, slots, row_number() OVER (PARTITION BY {on}, pipe, top_k, draw, forced
           ORDER BY md5(concat_ws('|', {SEED}, {on}, top_k, pipe, draw, gene_symbol)), gene_symbol) AS p
           FROM marked m JOIN slots USING ({on}, pipe, top_k), range(0, {TIE_DRAWS}) r(draw)) WHERE forced OR p <= slots),
@@ -694,8 +694,8 @@ QUERIES = {
     "resampled_effects": lambda s, d: rounded(train_effects.fresh(s, d)),
     "stability_lower_quantile": lambda s, d: rounded(r_ops.stability_scores(train_effects(s, d))),
     "training_candidates": lambda s, d: rounded(r_ops.training_candidates(study_scores(s, d), TOP_K)),
-    "holdout_evaluation": lambda s, d: rounded(r_ops.holdout_evaluation(study_scores(s, d), test_effects(s, d), top_k=TOP_K)),
-    "holdout_published_ranking": lambda s, d: rounded(r_ops.rra_evaluation(study_scores(s, d), r_ops.published_rra(_train_base(s, d)), _train_base(s, d), test_effects(s, d), top_k=TOP_K)),
+    "holdout_evaluation": lambda s, d: rounded(r_ops.holdout_evaluation(study_scores(s, d), test_effects(s, d), top_k=TOP_K), 9),
+    "holdout_published_ranking": lambda s, d: rounded(r_ops.rra_evaluation(study_scores(s, d), r_ops.published_rra(_train_base(s, d)), _train_base(s, d), test_effects(s, d), top_k=TOP_K), 9),
     "development_sensitivity": lambda s, d: rounded(sensitivity(s, d)),
     "specimen_crosswalk": crosswalk,
     "matched_manifest": lambda s, d: a_ops.matched_manifest(*_manifest_inputs(s, d)),
@@ -774,8 +774,8 @@ SQL = {
     "resampled_effects": v.sql(v.rounds(EFFECT_DOUBLES, "train_effects"), "train_effects"),
     "stability_lower_quantile": v.sql(v.rounds("score", "study_scores") + f" WHERE method = '{r_ops.STABILITY}'", "study_scores"),
     "training_candidates": v.sql(v.rounds("score", "(SELECT * EXCLUDE (top_k) FROM tops WHERE top_k = 10)"), "tops"),
-    "holdout_evaluation": v.sql(v.rounds(EVALUATION_DOUBLES, "evaluation"), "evaluation"),
-    "holdout_published_ranking": v.sql(v.rounds(EVALUATION_DOUBLES + " discordant_reference_direction_fraction rra_style_topk_jaccard", "rra_evaluation"), "rra_evaluation"),
+    "holdout_evaluation": v.sql(v.rounds(EVALUATION_DOUBLES, "evaluation", 9), "evaluation"),
+    "holdout_published_ranking": v.sql(v.rounds(EVALUATION_DOUBLES + " discordant_reference_direction_fraction rra_style_topk_jaccard", "rra_evaluation", 9), "rra_evaluation"),
     "development_sensitivity": v.sql(v.rounds("reference_jaccard rank_biserial_reference_jaccard fixed_pseudocount_scale_jaccard scaled_pseudocount_scale_jaccard abs_effect_spearman", "sensitivity"), "sensitivity"),
     "specimen_crosswalk": v.sql("""SELECT source, cohort, count(*) AS recount3_samples, count(*) FILTER (c = 1 AND native_unit_id IS NOT NULL) AS exact_specimen_matches,
         count(*) FILTER (c > 1) AS excluded_duplicate_specimen_files, count(DISTINCT CASE WHEN c > 1 THEN specimen_id END) AS excluded_duplicate_specimens,
@@ -794,14 +794,14 @@ SQL = {
         JOIN (SELECT cancer_type, _arm, metric, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (
           SELECT cancer_type, _arm, metric, replicate, median(x) AS m FROM agreement_long JOIN agreement_draws USING (cancer_type, _arm, metric, unit_id) WHERE replicate >= 0 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) USING (cancer_type, _arm, metric)""",
         "agreement_long", "agreement_draws"),
-    "effect_rank_overlap": v.sql(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY cancer_type ORDER BY abs(native_effect) DESC, gene_symbol) AS a, row_number() OVER (PARTITION BY cancer_type ORDER BY abs(recount_effect) DESC, gene_symbol) AS b FROM complete_effects)
+    "effect_rank_overlap": v.sql(f"""SELECT * FROM (WITH p AS (SELECT *, row_number() OVER (PARTITION BY cancer_type ORDER BY abs(native_effect) DESC, gene_symbol) AS a, row_number() OVER (PARTITION BY cancer_type ORDER BY abs(recount_effect) DESC, gene_symbol) AS b FROM complete_effects)
         SELECT cancer_type, top_k, round(count(*) FILTER (a <= top_k AND b <= top_k) / count(*) FILTER (a <= top_k OR b <= top_k), 6) AS top_k_jaccard, count(*) FILTER (a <= top_k AND b <= top_k) AS shared_top_genes,
                round(count(*) FILTER (a <= top_k AND b <= top_k AND sign(native_effect) = sign(recount_effect)) / nullif(count(*) FILTER (a <= top_k AND b <= top_k), 0), 6) AS direction_agreement_shared_top,
                native_boundary_ties AS native_boundary_tie_count, recount_boundary_ties AS recount_boundary_tie_count, matched_tumor_specimens, matched_normal_specimens, complete_common_genes
-        FROM p, (VALUES (5::BIGINT), (10)) k(top_k) JOIN ({_ties_sql('complete_effects', 'cancer_type')}) USING (cancer_type, top_k)
+        FROM p CROSS JOIN (VALUES (5::BIGINT), (10)) k(top_k) JOIN ({_ties_sql('complete_effects', 'cancer_type')}) USING (cancer_type, top_k)
         JOIN (SELECT cancer_type, count(DISTINCT sample_id) FILTER (_arm = 't') AS matched_tumor_specimens, count(DISTINCT sample_id) FILTER (_arm = 'n') AS matched_normal_specimens,
                      count(DISTINCT gene_symbol) AS complete_common_genes FROM complete_pairs GROUP BY 1) USING (cancer_type)
-        GROUP BY ALL""", "complete_effects", "complete_pairs"),
+        GROUP BY ALL)""", "complete_effects", "complete_pairs"),
     "informative_genes": v.sql("""SELECT cancer_type, gene_symbol, round(min(least(a, b)), 6) AS lowest_detection FROM (SELECT cancer_type, gene_symbol, _arm, avg((native_value > 0)::INT) AS a, avg((recount_value > 0)::INT) AS b
         FROM pipeline_pairs GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING min(least(a, b)) >= 0.9""", "pipeline_pairs"),
     "detection_discordance": v.sql("SELECT cancer_type, _arm, count(*) FILTER ((native_value > 0) <> (recount_value > 0)) AS detection_discordant_cells, count(*) AS detection_cells FROM pipeline_pairs GROUP BY 1, 2", "pipeline_pairs"),
