@@ -235,3 +235,11 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str, *, mi
     return ranked.groupBy(*keys).agg(
         F.when(usable, F.corr("_rx", "_ry")).otherwise(F.lit(degenerate).cast("double")).alias(out)
     )
+
+
+def text_rank(df: DataFrame, keys: Sequence[str], columns: Sequence[str], out: str, *, prefix: int = 4) -> DataFrame:
+    """Ranks 1..n by text columns; the first characters of the first column are the block."""
+    keys = list(keys)
+    joined = _with_offsets(df, keys, F.coalesce(F.substring(F.col(columns[0]), 1, prefix), F.lit("")), False)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*columns)
+    return _drop_helpers(joined.withColumn(out, F.col(f"_{ONE}_offset") + F.row_number().over(inside)))
