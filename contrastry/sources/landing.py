@@ -39,13 +39,18 @@ def resolve_column(df: DataFrame, aliases: Sequence[str]) -> str | None:
     return next((have[a.lower()] for a in aliases if a.lower() in have), None)
 
 
-FILE = F.col("_metadata.file_name")
+def lines(spark: SparkSession, path: str, *, folders: bool = False) -> DataFrame:
+    """(file_name, file_path, value) of every line under the path.
 
-
-def lines(spark: SparkSession, path: str, *, name: Column | None = None) -> DataFrame:
-    """(file_name, file_path, value) of every line under the path."""
+    With ``folders`` each leaf folder is one logical file of several parts, named by
+    its last path element (the value part of ``key=value``).
+    """
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    return raw.select((FILE if name is None else name).alias("file_name"), F.col("_metadata.file_path").alias("file_path"), "value")
+    file_path = F.col("_metadata.file_path")
+    if not folders:
+        return raw.select(F.col("_metadata.file_name").alias("file_name"), file_path.alias("file_path"), "value")
+    parent = F.regexp_replace(file_path, "/[^/]*$", "")
+    return raw.select(F.regexp_extract(parent, "([^/=]+)$", 1).alias("file_name"), parent.alias("file_path"), "value")
 
 
 def layouts(
