@@ -233,7 +233,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str, *, mi
     ranked = mid_rank(mid_rank(pairs, keys, "_x", "_rx"), keys, "_y", "_ry")
     usable = (F.count(F.lit(1)) >= minimum) & (F.min("_x") < F.max("_x")) & (F.min("_y") < F.max("_y"))
     return ranked.groupBy(*keys).agg(
-        F.when(usable, F.corr("_rx", "_ry")).otherwise(F.lit(degenerate).cast("double")).alias(out)
+        # corr() itself would divide by zero for a constant side under ANSI
+        F.when(usable, F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))).otherwise(F.lit(degenerate).cast("double")).alias(out)
     )
 
 
