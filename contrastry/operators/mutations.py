@@ -153,17 +153,19 @@ def functional_evidence(mutations: DataFrame, profile: DataFrame, *, recurrence_
     events = _known(source).where(_altering()).withColumn("impact", protein_impact(F.col("variant_classification")))
     known = F.col("reference_assembly").isNotNull() & (F.col("reference_assembly") != "Unknown")
 
-    def samples_of(group: str) -> Column:
-        return F.count_distinct(F.when(F.col("impact") == group, F.col("sample_id")))
-
-    counts = events.groupBy(*GENE).agg(
-        F.count_distinct("sample_id").alias("protein_altering_mutated_sample_count"),
-        samples_of("putative_loss_of_function").alias("putative_loss_of_function_sample_count"),
-        samples_of("missense").alias("missense_sample_count"),
-        samples_of("inframe").alias("inframe_sample_count"),
-        samples_of("other_protein_altering").alias("other_protein_altering_sample_count"),
-        F.count_if(known).alias("known_assembly_event_count"),
-        F.count_if(~known).alias("unknown_assembly_event_count"),
+    # first one row per (gene, sample): several distinct counts at once would multiply the rows
+    groups = {
+        "putative_loss_of_function": "putative_loss_of_function_sample_count", "missense": "missense_sample_count",
+        "inframe": "inframe_sample_count", "other_protein_altering": "other_protein_altering_sample_count",
+    }
+    per_sample = events.groupBy(*GENE, "sample_id").agg(
+        *[F.max(F.col("impact") == g).alias(c) for g, c in groups.items()],
+        F.count_if(known).alias("known_assembly_event_count"), F.count_if(~known).alias("unknown_assembly_event_count"),
+    )
+    counts = per_sample.groupBy(*GENE).agg(
+        F.count(F.lit(1)).alias("protein_altering_mutated_sample_count"),
+        *[F.count_if(F.col(c)).alias(c) for c in groups.values()],
+        *[F.sum(c).alias(c) for c in ("known_assembly_event_count", "unknown_assembly_event_count")],
     )
     placed = events.where(known & (F.col("chromosome") != "Unknown")).select(*LOCUS, "sample_id").distinct()
     loci = placed.groupBy(*LOCUS).agg(F.count(F.lit(1)).alias("locus_samples")).where(F.col("locus_samples") >= recurrence_threshold)
