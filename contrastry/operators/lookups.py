@@ -90,6 +90,12 @@ def total_matching(df: DataFrame, name: str, **filters) -> DataFrame:
     return matching(df, LOOKUPS[name], **filters).agg(F.count(F.lit(1)).alias("total_matching_rows"))
 
 
+def register_views(tables: dict[str, DataFrame]) -> None:
+    """Offer tables to ``spark.sql`` under their mart names."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
 def project_list(projects: DataFrame) -> DataFrame:
     return projects.select("project_id", "primary_site", "disease_type").distinct()
 

@@ -22,6 +22,10 @@ def _look(mart, name, **kw):
     return lambda s, d: rounded(l_ops.lookup(mart(s, d), name, **kw))
 
 
+def _contrast(s, d):
+    return gc.settled(gc.contrast(s, d))
+
+
 def _top(view: str, where: str, order: str, limit: int, ties: str = "cancer_type, gene_symbol") -> str:
     return f"SELECT * FROM {view} WHERE {where} ORDER BY {order}, {ties} LIMIT {limit}"
 
@@ -152,6 +156,31 @@ v.SQL_VIEWS["parsed"] = (("tumour", "mutations"), f"""
     UNION ALL SELECT project_id, 'mutations', count(*), count(DISTINCT data_origin), count(*) FILTER ({_STUB}) FROM mutations GROUP BY 1""")
 
 
+# Plain SQL over the marts; the same text runs in both engines.
+SQL_TEXTS = {
+    "sql_top_mutated_genes": ("frequency_gene", f"""SELECT gene_symbol, mutated_sample_count, total_profiled_sample_count, round(mutation_frequency, 6) AS mutation_frequency, top_variant_classification
+        FROM frequency_gene WHERE cancer_type = '{COHORT}' ORDER BY frequency_gene.mutation_frequency DESC, mutated_sample_count DESC, gene_symbol LIMIT 20"""),
+    "sql_concordant_triangulation": ("triangulation", """SELECT cancer_type, gene_symbol, round(log2_fc_tumor_vs_gtex, 6) AS log2_fc_tumor_vs_gtex, reference_concordance, reference_stability_score
+        FROM triangulation WHERE reference_concordance LIKE 'concordant%' ORDER BY reference_stability_score DESC, reference_effect_delta, cancer_type, gene_symbol LIMIT 50"""),
+    "sql_pathway_hits": ("enrichment", """SELECT cancer_type, candidate_set, pathway_id, pathway_gene_count, overlap_gene_count, overlap_genes, round(p_value, 6) AS p_value, enrichment_tier
+        FROM enrichment WHERE overlap_gene_count >= 5 ORDER BY enrichment_score DESC, cancer_type, candidate_set, pathway_id LIMIT 50"""),
+    "sql_edges_by_type": ("edges", """SELECT source_node_id, target_node_id, edge_type, round(weight, 6) AS weight FROM edges
+        WHERE edge_type IN ('EXPRESSED_IN_TISSUE', 'MUTATED_IN_CANCER') ORDER BY edges.weight DESC, source_node_id, target_node_id LIMIT 100"""),
+    "sql_consensus_by_tier": ("consensus", """SELECT cancer_type, publication_tier, count(*) AS genes, round(max(consensus_score), 6) AS best FROM consensus GROUP BY cancer_type, publication_tier"""),
+}
+SQL_MARTS = {"frequency_gene": ge.frequency_gene, "triangulation": gc.triangulation, "enrichment": gs.enrichment, "edges": ge.edges, "consensus": st.consensus}
+
+
+def _text_query(name):
+    view, text = SQL_TEXTS[name]
+
+    def query(s, d):
+        l_ops.register_views({view: SQL_MARTS[view](s, d)})
+        return s.sql(text)
+
+    return query
+
+
 def traced(s, d):
     return x_ops.traceability(outcomes(s, d), {"expression": v.tumour(s, d), "mutations": v.mutations(s, d)})
 
@@ -167,6 +196,14 @@ def public_audit(s, d):
     return x_ops.individual_values(ge.nodes(s, d))
 
 
+def fingerprints(s, d):
+    """The fingerprint of a table and of its rows in another order, which must agree."""
+    lines = v.table(s, d, "lineitem")
+    shuffled = lines.repartition("l_partkey").select(*reversed(lines.columns))
+    other = x_ops.fingerprint(shuffled).select("fingerprint").scalar()
+    return x_ops.fingerprint(lines).select("row_count", (F.col("fingerprint") == other).alias("order_independent"))
+
+
 def history(s, d):
     runs = v.table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("ts").cast("string").alias("started_at"), F.col("event_type").alias("status"))
     return x_ops.bounded_history(runs).select("run_id", "status")
@@ -177,9 +214,9 @@ QUERIES = {
     "project_list": lambda s, d: l_ops.project_list(ge.projects(s, d)),
     "project_samples": lambda s, d: l_ops.project_samples(ge.samples(s, d), COHORT),
     "gene_search": lambda s, d: l_ops.gene_search([v.tumour(s, d), v.reference(s, d), v.reprocessed(s, d)], "brand#1"),
-    "expression_by_gene": lambda s, d: rounded(l_ops.expression_by_gene(v.tumour(s, d), v.reference(s, d), GENE.lower())),
-    "tumour_vs_normal_lookup": _look(gc.contrast, "tumour_vs_normal", equal={"gene_symbol": GENE}),
-    "top_overexpressed": _look(gc.contrast, "tumour_vs_normal", equal={"cancer_type": COHORT}, limit=20),
+    "expression_by_gene": lambda s, d: rounded(gc.settled(l_ops.expression_by_gene(v.tumour(s, d), v.reference(s, d), GENE.lower()), "mean_expression")),
+    "tumour_vs_normal_lookup": _look(_contrast, "tumour_vs_normal", equal={"gene_symbol": GENE}),
+    "top_overexpressed": _look(_contrast, "tumour_vs_normal", equal={"cancer_type": COHORT}, limit=20),
     "mutation_by_gene_lookup": _look(ge.frequency_gene, "mutation_frequency", equal={"gene_symbol": "BRAND#12_STANDARD"}),
     "top_mutated_genes": _look(ge.frequency_gene, "mutation_frequency", equal={"cancer_type": COHORT}, limit=20),
     "candidate_priority_lookup": _look(ge.priority, "candidate_priority", equal={"priority_tier": "medium"}, text="brand#1", at_least={"priority_score": 0.2}, limit=25),
@@ -233,7 +270,7 @@ QUERIES = {
     "individual_value_audit": public_audit,
     "leaked_identifiers": lambda s, d: x_ops.leaked_identifiers(v.table(s, d, "documents"), document_ids(s, d)),
     "resource_inventory": lambda s, d: x_ops.resource_inventory(s, {"contrast": gc.contrast(s, d), "priority": ge.priority(s, d), "public_nodes": g_ops.public_nodes(ge.nodes(s, d))}),
-    "content_fingerprint": lambda s, d: x_ops.fingerprint(v.table(s, d, "lineitem")).select("row_count"),
+    "content_fingerprint": fingerprints,
     "run_history": history,
 }
 
@@ -243,11 +280,11 @@ SQL = {
     "project_samples": v.sql(f"SELECT project_id, count(DISTINCT sample_id) AS sample_count, string_agg(DISTINCT sample_type, ',' ORDER BY sample_type) AS sample_types FROM samples WHERE project_id = '{COHORT}' GROUP BY 1", "samples"),
     "gene_search": v.sql("""SELECT DISTINCT gene_id, gene_symbol FROM (SELECT gene_id, gene_symbol FROM tumour UNION ALL SELECT gene_id, gene_symbol FROM reference UNION ALL SELECT gene_id, gene_symbol FROM reprocessed)
         WHERE contains(upper(gene_symbol), 'BRAND#1') OR contains(upper(gene_id), 'BRAND#1') ORDER BY gene_symbol, gene_id LIMIT 20""", "tumour", "reference", "reprocessed"),
-    "expression_by_gene": v.sql(f"""SELECT 'TCGA' AS source, project_id, NULL AS tissue_site, round(median(expression_value), 6) AS median_expression, round(avg(expression_value), 6) AS mean_expression, count(DISTINCT sample_id) AS sample_count
-        FROM tumour WHERE gene_symbol = '{GENE}' GROUP BY project_id UNION ALL SELECT 'GTEx', NULL, tissue_site, round(median(expression_value), 6), round(avg(expression_value), 6), count(DISTINCT gtex_sample_id)
+    "expression_by_gene": v.sql(f"""SELECT 'TCGA' AS source, project_id, NULL AS tissue_site, round(median(expression_value), 6) AS median_expression, round(avg(expression_value) + 1e-9::DOUBLE, 6) AS mean_expression, count(DISTINCT sample_id) AS sample_count
+        FROM tumour WHERE gene_symbol = '{GENE}' GROUP BY project_id UNION ALL SELECT 'GTEx', NULL, tissue_site, round(median(expression_value), 6), round(avg(expression_value) + 1e-9::DOUBLE, 6), count(DISTINCT gtex_sample_id)
         FROM reference WHERE gene_symbol = '{GENE}' GROUP BY tissue_site""", "tumour", "reference"),
-    "tumour_vs_normal_lookup": _sql_top("contrast", f"gene_symbol = '{GENE}'", "log2_fold_change DESC", 50, gc.CONTRAST_DOUBLES),
-    "top_overexpressed": _sql_top("contrast", f"cancer_type = '{COHORT}'", "log2_fold_change DESC", 20, gc.CONTRAST_DOUBLES),
+    "tumour_vs_normal_lookup": v.sql(gc.settled_sql(v.rounds(gc.CONTRAST_DOUBLES, f"({_top('contrast', f"gene_symbol = '{GENE}'", 'log2_fold_change DESC', 50)})")), "contrast"),
+    "top_overexpressed": v.sql(gc.settled_sql(v.rounds(gc.CONTRAST_DOUBLES, f"({_top('contrast', f"cancer_type = '{COHORT}'", 'log2_fold_change DESC', 20)})")), "contrast"),
     "mutation_by_gene_lookup": _sql_top("frequency_gene", "gene_symbol = 'BRAND#12_STANDARD'", "mutation_frequency DESC", 50, "mutation_frequency"),
     "top_mutated_genes": _sql_top("frequency_gene", f"cancer_type = '{COHORT}'", "mutation_frequency DESC", 20, "mutation_frequency"),
     "candidate_priority_lookup": _sql_top("priority", "priority_tier = 'medium' AND contains(gene_symbol, 'BRAND#1') AND priority_score >= 0.2",
@@ -324,6 +361,8 @@ SQL = {
         WHERE length(identifier) > 5 AND identifier IN (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_#-]+')) FROM benchmark UNION SELECT c_name FROM customer) GROUP BY 1""",
     "resource_inventory": v.sql("""SELECT 'contrast' AS name, count(*) AS row_count, 9::BIGINT AS column_count, 2::BIGINT AS string_columns, 2::BIGINT AS integer_columns, 5::BIGINT AS number_columns, 0::BIGINT AS boolean_columns FROM contrast
         UNION ALL SELECT 'priority', count(*), 12, 4, 4, 4, 0 FROM priority UNION ALL SELECT 'public_nodes', count(*), 5, 5, 0, 0, 0 FROM public_nodes""", "contrast", "priority", "public_nodes"),
-    "content_fingerprint": "SELECT count(*) AS row_count FROM lineitem",
+    "content_fingerprint": "SELECT count(*) AS row_count, true AS order_independent FROM lineitem",
     "run_history": "SELECT event_id AS run_id, event_type AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
 }
+QUERIES.update({name: _text_query(name) for name in SQL_TEXTS})
+SQL.update({name: v.sql(text, view) for name, (view, text) in SQL_TEXTS.items()})
