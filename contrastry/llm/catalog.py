@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contrastry.llm import sharding, urlfilter
+from contrastry.llm import feistel, linequality, sharding, urlfilter
 
-OPERATORS = (urlfilter, sharding)
+OPERATORS = (urlfilter, linequality, feistel, sharding)
 
 QUERIES = {name: query for operator in OPERATORS for name, query in operator.QUERIES.items()}
 SQL = {name: text for operator in OPERATORS for name, text in operator.SQL.items()}
