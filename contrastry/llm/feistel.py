@@ -145,10 +145,16 @@ def pseudonym_address(value: Column, key: str) -> Column:
     return F.array_join(permute(octets, F.array(*[F.lit(256)] * 4), key, "address").cast("array<string>"), ".")
 
 
+def calendar_day(value: Column) -> Column:
+    """Days since the cycle began; NULL for other shapes and impossible dates."""
+    iso = F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), value).when(
+        value.rlike("^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)))
+    return F.unix_date(iso.try_cast("date")) - CYCLE_START
+
+
 def pseudonym_date(value: Column, key: str) -> Column:
     """Inside the 400-year cycle from 1700; other years and impossible dates stay."""
     iso = value.rlike("^[0-9]{4}-")
-    text = F.when(iso, value).otherwise(F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)))
     radices = F.array(*[F.lit(r) for r in DATE_RADICES])
 
     def moved(day: Column) -> Column:
@@ -159,14 +165,13 @@ def pseudonym_date(value: Column, key: str) -> Column:
         mark = F.substring(value, 3, 1)
         return F.when(iso, F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(date, "dd"), mark, F.date_format(date, "MM"), mark, F.date_format(date, "yyyy")))
 
-    day = F.unix_date(text.try_cast("date")) - CYCLE_START
-    return let(day, lambda d: F.when((d >= 0) & (d < CYCLE_DAYS), let(moved(d), shown)).otherwise(value))
+    return let(calendar_day(value), lambda d: F.when((d >= 0) & (d < CYCLE_DAYS), let(moved(d), shown)).otherwise(value))
 
 
 def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), F.lit("email")).when(value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit("address")).when(value.startswith("+"), F.lit("phone"))
-        .when(value.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})$"), F.lit("date"))
+        .when(calendar_day(value).isNotNull(), F.lit("date"))
         .when(value.rlike(r"^(?=.{13,37}$)([0-9][ -]?){12,18}[0-9]$") & (luhn_sum(digits_of(value), 2) % 10 == 0), F.lit("card"))
         .when(value.rlike("^[0-9a-fA-F]{20,}$") | value.rlike("[a-fA-F]"), F.lit("secret")).otherwise(F.lit("other"))
     )
