@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contrastry.llm import bpe, feistel, linequality, sharding, urlfilter
+from contrastry.llm import bpe, feistel, linequality, sharding, urlfilter, warc
 
-OPERATORS = (urlfilter, linequality, feistel, sharding, bpe)
+OPERATORS = (urlfilter, warc, linequality, feistel, sharding, bpe)
 
 QUERIES = {name: query for operator in OPERATORS for name, query in operator.QUERIES.items()}
 SQL = {name: text for operator in OPERATORS for name, text in operator.SQL.items()}
