@@ -33,9 +33,13 @@ from pyspark.sql import types as T
 from contrastry.llm.batches import slices
 from contrastry.llm.inputs import table
 
-TRAINING_PAGES = 600
+TRAINING_PAGES = 1000
 BOILERPLATE, CONTENT, MIXED = 0, 1, 2
 STATES = (BOILERPLATE, CONTENT, MIXED)
+#: Kinds of edges with tables of their own: to a text block, to a part of a list or table, to another element.
+EDGES = ("block", "part", "edge")
+#: The features of a block depend on one another; this exponent keeps them from counting twice.
+BLOCK_WEIGHT = 0.4
 
 #: Fixed values of HTML: elements without an end tag, elements inside a line, elements that are no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +50,9 @@ SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
+#: Parts of lists and tables say nothing beyond their container; regions mean different things inside an article.
+PLAIN = frozenset("li tr td th dt dd tbody thead tfoot colgroup".split())
+REGIONS = frozenset("header footer nav aside section form div ul ol h1 h2".split())
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[a-z]+")
 
@@ -58,6 +65,7 @@ class Page(HTMLParser):
         self.parents: list[int] = [-1]
         self.features: list[list[str]] = [["tag=#root"]]
         self.marks: list[str | None] = [None]
+        self.parts: list[bool] = [False]
         self.texts: dict[int, str] = {}
         self.open: list[tuple[str, int]] = [("#root", 0)]
         self.silent = 0
@@ -81,7 +89,7 @@ class Page(HTMLParser):
         low = text.lower()
         tag = next(t for t, n in reversed(self.open) if n >= 0)
         self.features[node] += [
-            f"in={tag}", f"words={min(7, words.bit_length())}", f"link={0 if share < 0.2 else 1 if share < 0.7 else 2}",
+            f"in={'plain' if tag in PLAIN else tag}", f"words={min(7, words.bit_length())}", f"link={0 if share < 0.2 else 1 if share < 0.7 else 2}",
             f"end={text[-1] if text[-1] in '.!?:;' else 'x'}", f"stops={min(3, sum(text.count(m) for m in ('. ', ', ')))}",
         ]
         if "©" in text or "copyright" in low or "rights reserved" in low:
@@ -97,8 +105,12 @@ class Page(HTMLParser):
         self.parents.append(parent)
         self.features.append([])
         self.marks.append(mark)
+        self.parts.append(False)
         return len(self.parents) - 1
 
+    def edge_kind(self, node: int) -> str:
+        return "block" if node in self.texts else "part" if self.parts[node] else "edge"
+
     def pop_to(self, depth: int) -> None:
         for tag, _ in self.open[depth:]:
             self.silent -= tag in SILENT
@@ -141,7 +153,11 @@ class Page(HTMLParser):
         fields = dict(attrs)
         node = self.node(self.block_parent(), fields.get("data-y"))
         names = {p.rstrip("s") or p for key in ("class", "id", "role") for p in NAME_PART.findall((fields.get(key) or "").lower())}
-        self.features[node] += [f"tag={tag}", *sorted(f"name={n}" for n in names)]
+        inside = any(t in ("article", "main") for t, _ in self.open)
+        self.parts[node] = tag in PLAIN
+        if tag not in PLAIN:
+            self.features[node].append(f"tag={tag}{'@article' if inside and tag in REGIONS else ''}")
+        self.features[node] += sorted(f"name={n}" for n in names)
         self.open.append((tag, node))
         self.silent += tag in SILENT
 
@@ -179,23 +195,26 @@ class Model:
     """Counted potentials, as logarithms."""
 
     def __init__(self, counts: dict[tuple[str, int, int], int]):
-        """counts: (feature, state, 0) for features, ("edge", parent state, state) and ("state", 0, state)."""
-        edges = [[counts.get(("edge", p, s), 0) + 0.05 for s in STATES] for p in STATES]
-        self.edge = [[v / sum(row) for v in row] for row in edges]
+        """counts: (feature, state, 0) for features, (kind of edge, parent state, state) and ("state", 0, state)."""
+        self.edges = {
+            kind: [[v / sum(row) for v in row] for row in ([counts.get((kind, p, s), 0) + 0.05 for s in STATES] for p in STATES)] for kind in EDGES
+        }
         self.root = [0.01, 0.01, 0.98]
         totals = [counts.get(("state", 0, s), 0) + 1.0 for s in STATES]
-        names = {f for f, _, _ in counts if f not in ("edge", "state")}
-        self.emit = {f: [math.log((counts.get((f, s, 0), 0) + 0.5) / (totals[s] + 1.0)) for s in STATES] for f in names}
+        names = {f for f, _, _ in counts if f not in (*EDGES, "state")}
+        self.emit = {f: [math.log((counts.get((f, s, 0), 0) + 0.1) / (totals[s] + 1.0)) for s in STATES] for f in names}
 
     def marginals(self, page: Page) -> list[float]:
         """Probability of content for every node, by messages up and down the tree."""
-        size, parents, edge = len(page.parents), page.parents, self.edge
+        size, parents = len(page.parents), page.parents
+        edges = [self.edges[page.edge_kind(i)] for i in range(size)]
         own = []
-        for features in page.features:
+        for i, features in enumerate(page.features):
             logs = [0.0, 0.0, 0.0]
+            weight = BLOCK_WEIGHT if i in page.texts else 1.0
             for f in features:
                 if e := self.emit.get(f):
-                    logs = [a + b for a, b in zip(logs, e)]
+                    logs = [a + b * weight for a, b in zip(logs, e)]
             top = max(logs)
             own.append([math.exp(v - top) for v in logs])
         below = [list(x) for x in own]  # evidence of the subtree
@@ -204,7 +223,7 @@ class Model:
             b = below[i]
             total = sum(b)
             b[0], b[1], b[2] = b[0] / total, b[1] / total, b[2] / total
-            message = [row[0] * b[0] + row[1] * b[1] + row[2] * b[2] for row in edge]
+            message = [row[0] * b[0] + row[1] * b[1] + row[2] * b[2] for row in edges[i]]
             up[i] = message
             target = below[parents[i]]
             for s in STATES:
@@ -219,7 +238,7 @@ class Model:
             if i:
                 above, message = belief[parents[i]], up[i]
                 free = [a / m for a, m in zip(above, message)]  # all evidence but that of this subtree
-                belief[i] = [below[i][s] * sum(free[p] * edge[p][s] for p in STATES) for s in STATES]
+                belief[i] = [below[i][s] * sum(free[p] * edges[i][p][s] for p in STATES) for s in STATES]
             total = sum(belief[i])
             belief[i] = [v / total for v in belief[i]]
             out[i] = belief[i][CONTENT]
@@ -263,7 +282,8 @@ class Grammar:
     def prose(self, most: int = 7) -> str:
         parts = [self.sentence() for _ in range(self.r.randint(1, most))]
         if self.r.random() < 0.2:
-            parts[0] = f"<{self.r.choice(('b', 'i', 'em', 'strong', 'span'))}>{parts[0]}" + ("" if self.r.random() < 0.3 else "</b></i></em></strong></span>")
+            style = self.r.choice(("b", "i", "em", "strong", "span"))
+            parts[0] = f"<{style}>{parts[0]}" + ("" if self.r.random() < 0.3 else f"</{style}>")
         if self.r.random() < 0.2:
             parts.append(f'<a href="/{self.word()}">{self.word()}</a> {self.sentence()}')
         return " ".join(parts)
@@ -271,6 +291,10 @@ class Grammar:
     def short(self) -> str:
         return " ".join(self.word() for _ in range(self.r.randint(1, 5))).capitalize()
 
+    def heading(self) -> str:
+        level = self.r.randint(2, 4)
+        return f"<h{level}>{self.short()}</h{level}>"
+
     def links(self) -> str:
         items = [f'<a href="/{self.word()}">{self.short()}</a>' for _ in range(self.r.randint(2, 9))]
         return self.r.choice((lambda: "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", lambda: " | ".join(items), lambda: "".join(f"<div>{x}</div>" for x in items)))()
@@ -283,11 +307,11 @@ class Grammar:
         inner = {
             "nav": self.links, "header": lambda: r.choice((f"<h1>{self.short()}</h1>", f"<p>{self.sentence()}</p>", f'<a href="/">{self.short()}</a>', self.links())),
             "footer": lambda: r.choice((f"<p>&copy; {self.short()} {self.sentence()}</p>", f"&copy; {self.word()}.com &middot; {self.sentence()}", self.links(), f"<p>{self.prose(2)}</p>" + self.links())),
-            "aside": lambda: f"<h{r.randint(2, 4)}>{self.short()}</h3>" + r.choice((self.links(), f"<p>{self.prose(3)}</p>", f"<p>{self.sentence()}</p>" + self.links())),
+            "aside": lambda: self.heading() + r.choice((self.links(), f"<p>{self.prose(3)}</p>", f"<p>{self.sentence()}</p>" + self.links())),
             "notice": lambda: r.choice((f"<p>{self.prose(2)}</p>", self.prose(2), f"We use cookies. {self.sentence()} <button>OK</button>")),
             "ad": lambda: r.choice((self.sentence(), f"<p>{self.prose(2)}</p>", f'<a href="/ad">{self.sentence()}</a>', f"Sponsored {self.sentence()}")),
             "form": lambda: f"<label>{self.short()}</label><input name=q><p>{self.sentence()}</p><button>{self.short()}</button>",
-            "comments": lambda: f"<h3>{self.short()}</h3>" + "".join(
+            "comments": lambda: self.heading() + "".join(
                 r.choice((f'<div class="comment"><p>{self.prose(4)}</p></div>', f'<div class="comment-body"><b>{self.short()}</b><p>{self.prose(4)}</p></div>', f"<p>{self.prose(4)}</p>", f"<li>{self.prose(3)}</li>"))
                 for _ in range(r.randint(1, 6))),
             "share": lambda: r.choice((self.short(), f"By {self.short()}", self.links())),
@@ -308,10 +332,12 @@ class Grammar:
             kind = r.random()
             if kind < 0.78:
                 parts.append(f"<p>{self.prose()}" + ("<br>" if r.random() < 0.1 else "") + ("</p>" if r.random() < 0.9 else ""))
-            elif kind < 0.83:
+            elif kind < 0.81:
                 parts.append(f"<p>{self.short()}</p>")
-            elif kind < 0.88:
-                parts.append(f"<h{r.randint(2, 4)}>{self.short()}</h2>")
+            elif kind < 0.83:
+                parts.append(f"<p>{r.choice(('All rights reserved.', 'Licensed under the terms of use.', f'&copy; {self.short()}', f'Subscribe to {self.sentence()}', f'Cookies {self.sentence()}'))}</p>")
+            elif kind < 0.86:
+                parts.append(self.heading())
             elif kind < 0.91:
                 parts.append("<ul>" + "".join(f"<li>{self.sentence()}</li>" for _ in range(r.randint(2, 5))) + "</ul>")
             elif kind < 0.94:
@@ -329,7 +355,8 @@ class Grammar:
         name = f' {r.choice(("class", "id"))}="{r.choice(self.CONTENT_NAMES)}"' if tag in ("div", "section") or r.random() < 0.3 else ""
         body = f'<{tag}{name} data-y="1">{body}</{tag}>'
         if r.random() < 0.3:  # comments may stand inside an outer container
-            body = f'<{r.choice(("main", "div", "section"))} class="{r.choice(self.CONTENT_NAMES + self.WRAPPERS)}">{body}{self.box("comments") if r.random() < 0.5 else ""}</div></main></section>'
+            outer = r.choice(("main", "div", "section"))
+            body = f'<{outer} class="{r.choice(self.CONTENT_NAMES + self.WRAPPERS)}">{body}{self.box("comments") if r.random() < 0.5 else ""}</{outer}>'
         return body
 
     def page(self) -> str:
@@ -363,7 +390,7 @@ def train(labelled: DataFrame) -> dict[tuple[str, int, int], int]:
                     found["state", 0, state] += 1
                     found.update((f, state, 0) for f in page.features[node])
                     if node:
-                        found["edge", states[page.parents[node]], state] += 1
+                        found[page.edge_kind(node), states[page.parents[node]], state] += 1
         rows = [(*k, n) for k, n in found.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["name", "first", "second", "n"])
