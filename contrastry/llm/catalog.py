@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contrastry.llm import bpe, feistel, htmltext, jaccard, linequality, sharding, urlfilter, warc
+from contrastry.llm import bpe, feistel, htmltext, jaccard, linequality, sharding, substrings, urlfilter, warc
 
-OPERATORS = (jaccard, urlfilter, warc, linequality, feistel, sharding, bpe, htmltext)
+OPERATORS = (jaccard, substrings, urlfilter, warc, linequality, feistel, sharding, bpe, htmltext)
 
 QUERIES = {name: query for operator in OPERATORS for name, query in operator.QUERIES.items()}
 SQL = {name: text for operator in OPERATORS for name, text in operator.SQL.items()}
