@@ -18,6 +18,9 @@ BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Fixed value: bytes between words.
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Fixed value: separators of plain words, which are runs of ASCII letters, digits and all non-ASCII characters.
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = False
 AS_IS = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 LOWERED = AS_IS.copy()
 LOWERED[ord("A"):ord("Z") + 1] = AS_IS[ord("a"):ord("z") + 1]
@@ -59,12 +62,12 @@ def polynomial(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray)
 class Words:
     """Words of a text column: byte ranges in ``data``, hashes, and the first word of each row (``first[i]`` to ``first[i + 1]``)."""
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separator: np.ndarray = SEPARATOR):
         offsets = text_offsets(column)
         raw = column.buffers()[2]
         self.data = np.frombuffer(raw, np.uint8)[offsets[0]:offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
-        inside = ~SEPARATOR[self.data]
+        inside = ~separator[self.data]
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         ends = inside.copy()
