@@ -214,6 +214,11 @@ def vocabulary_source(path: str | None = None) -> str:
         return file.read()
 
 
+def as_lists(rows: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
+
+
 def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """``docs`` with ``ids``, the token ids of the text."""
     source = docs.sparkSession.sparkContext.broadcast(vocabulary_source(path))
@@ -224,9 +229,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None) -> Data
         vocabulary = loaded(source.value)
         for batch in slices(batches, text):
             rows = vocabulary.encode_all(batch.column(text).to_pylist())
-            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*others, "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, as_lists(rows)], [*others, "ids"])
 
     return docs.select(*[f"`{c}`" for c in others]).mapInArrow(run, schema)
 
@@ -246,21 +249,22 @@ def decode(coded: DataFrame, ids: str = "ids", path: str | None = None) -> DataF
     return coded.select(*[f"`{c}`" for c in others]).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """Encode and decode in one pass: ``doc_id``, ``n_tokens`` and digests of the ids and of the decoded text."""
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``doc_id``, ``n_tokens``, digests of the ids and of the decoded text, and the ids if wanted."""
     source = docs.sparkSession.sparkContext.broadcast(vocabulary_source(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(source.value)
         for batch in slices(batches, text):
             rows = vocabulary.encode_all(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([
+            columns = [
                 batch.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
                 pa.array([hashlib.sha256(vocabulary.in_decimals(r)).hexdigest() for r in rows]),
                 pa.array([hashlib.sha256(vocabulary.decode(r).decode("utf-8", "replace").encode()).hexdigest() for r in rows]),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ]
+            yield pa.RecordBatch.from_arrays(columns + [as_lists(rows)] * with_ids, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
