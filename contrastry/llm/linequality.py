@@ -94,10 +94,13 @@ def judge(docs: DataFrame, text: str = "text", max_lost_percent: int = MAX_LOST_
     before = F.length(F.array_join("__wordy", ""))
     after = F.length(F.array_join(F.filter("__left", lambda line: line.rlike(HAS_WORD)), ""))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return measured.select(
-        *others, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+    results = F.struct(
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (100 * (before - after) <= max_lost_percent * before)).alias("kept"), F.array_join("__left", "\n").alias("cleaned"),
     )
+    # generated columns: a filter on them stays above, instead of being pushed down and
+    # evaluating the split texts again for every word
+    return measured.select(*others, F.inline(F.array(results)))
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
