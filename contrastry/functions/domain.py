@@ -17,8 +17,12 @@ COHORT_TISSUES = (
 
 
 def cohort_map(spark: SparkSession, pairs=COHORT_TISSUES) -> DataFrame:
-    """Literal (cancer_type, tissue_site) map; its size is fixed by the caller's literal."""
-    return spark.createDataFrame(list(pairs), "cancer_type string, tissue_site string")
+    """Literal (cancer_type, tissue_site) map. It is a local relation, so Spark knows its size
+    and decides by that, like for any other input, whether to broadcast it."""
+    if not pairs:
+        return spark.createDataFrame([], "cancer_type string, tissue_site string")
+    rows = ", ".join("({}, {})".format(*("'" + str(part).replace("\\", "\\\\").replace("'", "\\'") + "'" for part in pair)) for pair in pairs)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS map(cancer_type, tissue_site)")
 
 
 def contains_tumour(sample_type: Column) -> Column:

@@ -160,3 +160,35 @@ def draw(n: Column, *parts: Column) -> Column:
 def shuffle_key(*parts: Column) -> Column:
     """Reproducible random order: sort by this hash."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def student_t_quantile(degrees: Column, level: float = 0.95, steps: int = 60) -> Column:
+    """Two-sided Student-t quantile for any whole number of degrees; NULL below one.
+
+    With t = sqrt(n) tan(a) the probability of |T| <= t is a finite series in cos(a); the
+    angle is found by halving its range.
+    """
+    n = degrees.cast("int")
+    odd = n % 2 == 1
+
+    def probability(angle: Column) -> Column:
+        square = F.cos(angle) * F.cos(angle)
+
+        def add(state: Column, j: Column) -> Column:
+            ratio = F.when(odd, 2.0 * j / (2.0 * j + 1.0)).otherwise((2.0 * j - 1.0) / (2.0 * j))
+            term = state["term"] * square * ratio
+            return F.struct((state["total"] + term).alias("total"), term.alias("term"))
+
+        first = F.when(odd, F.cos(angle)).otherwise(F.lit(1.0))
+        terms = F.greatest(F.floor((n - 2) / 2).cast("int"), F.lit(0))
+        series = F.aggregate(F.slice(F.sequence(F.lit(1), F.greatest(terms, F.lit(1))), F.lit(1), terms), F.struct(first.alias("total"), first.alias("term")), add, lambda s: s["total"])
+        return F.when(n == 1, angle * (2.0 / math.pi)).when(odd, (angle + F.sin(angle) * series) * (2.0 / math.pi)).otherwise(F.sin(angle) * series)
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = (state["low"] + state["high"]) / 2.0
+        below = probability(middle) < level
+        return F.struct(F.when(below, middle).otherwise(state["low"]).alias("low"), F.when(below, state["high"]).otherwise(middle).alias("high"))
+
+    start = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi / 2).alias("high"))
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2.0)
+    return F.when(n >= 1, F.sqrt(n.cast("double")) * F.tan(angle))

@@ -23,6 +23,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contrastry.session import materialize
+
 BLOCK = "_block"
 ONE = "_one"
 
@@ -130,11 +132,6 @@ def group_quantiles(
     return running_totals(cells, keys, "_v", ["_n"]).groupBy(*keys).agg(*aggs)
 
 
-def add_group_counts(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
-    """Attach the group's row count (aggregate, then join back)."""
-    return df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(out)), list(keys))
-
-
 def _with_offsets(df: DataFrame, keys: Sequence[str], block: Column, descending: bool) -> DataFrame:
     blocked = df.withColumn(BLOCK, block).withColumn(ONE, F.lit(1).cast("long"))
     return blocked.join(_offsets(blocked, keys, [ONE], descending), [*keys, BLOCK])
@@ -145,18 +142,22 @@ def _drop_helpers(df: DataFrame) -> DataFrame:
 
 
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, *, total: str | None = None, descending: bool = False) -> DataFrame:
-    """Average rank of every row within its group; ``total`` adds the group size."""
+    """Average rank of every row within its group; ``total`` adds the group size.
+
+    Ties collapse into one cell before anything is ordered, so a value shared by most rows
+    of a group is one row of the window; the rows then look their cell up. NULL ranks lowest.
+    """
     keys = list(keys)
-    joined = _with_offsets(df, keys, value_block(F.col(value), blocks_per_octave(df)), descending)
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(order)
-    ties = Window.partitionBy(*keys, BLOCK, value)
-    ranked = joined.withColumn(
-        out, F.col(f"_{ONE}_offset") + F.rank().over(inside) + (F.count(F.lit(1)).over(ties) - 1.0) / 2.0
-    )
-    if total:
-        ranked = ranked.withColumn(total, F.col(f"_{ONE}_all"))
-    return _drop_helpers(ranked)
+    cells = df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(value).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    low = F.lit(-(2**62))
+    block = F.when(F.col("_cell").isNull(), low).otherwise(value_block(F.col("_cell"), blocks_per_octave(df)))
+    ranks = running_totals(cells, [f"_k_{k}" for k in keys], "_cell", ["_n"], descending=descending, block=block)
+    ranks = ranks.select(*[f"_k_{k}" for k in keys], "_cell", mid_rank_of("_n").alias(out), F.col("_n_total").alias(total or "_n_total"))
+    same = F.col(value).eqNullSafe(F.col("_cell"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    helpers = [f"_k_{k}" for k in keys] + ["_cell"] + ([] if total else ["_n_total"])
+    return df.drop(*[c for c in (out, total) if c]).join(ranks, same).drop(*helpers)
 
 
 def row_rank(
@@ -192,8 +193,9 @@ def hash_rank(df: DataFrame, keys: Sequence[str], digest: Column, ties: Sequence
     """Ranks 1..n by a hexadecimal digest; its leading digits are an even block."""
     keys = list(keys)
     hashed = df.withColumn("_digest", digest)
-    # at most 4096 evenly filled blocks: three hexadecimal digits
-    joined = _with_offsets(hashed, keys, F.conv(F.substring("_digest", 1, 3), 16, 10).cast("long"), False)
+    # evenly filled blocks, 16 or more for each shuffle partition
+    digits = 2 + (blocks_per_octave(df) - 1).bit_length() // 4
+    joined = _with_offsets(hashed, keys, F.conv(F.substring("_digest", 1, digits), 16, 10).cast("long"), False)
     inside = Window.partitionBy(*keys, BLOCK).orderBy("_digest", *ties)
     ranked = joined.withColumn(out, F.col(f"_{ONE}_offset") + F.row_number().over(inside))
     if total:
@@ -210,21 +212,23 @@ def bh_q_values(df: DataFrame, family: Sequence[str], p: str, out: str) -> DataF
     family = list(family)
     clean = F.when(F.isnan(p) | F.col(p).isNull(), 1.0).otherwise(F.least(F.greatest(F.col(p), F.lit(0.0)), F.lit(1.0)))
     tested = df.withColumn("_bh_p", clean)
-    joined = _with_offsets(tested, family, small_value_block(F.col("_bh_p"), blocks_per_octave(df)), False)
-    up_to = Window.partitionBy(*family, BLOCK).orderBy("_bh_p").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    raw = joined.withColumn(
-        "_raw", F.col("_bh_p") * F.col(f"_{ONE}_all") / (F.col(f"_{ONE}_offset") + F.count(F.lit(1)).over(up_to))
-    )
-    above = Window.partitionBy(*family).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [f"_k_{k}" for k in family]
+    # equal p-values are one cell: all of p = 1, say, is one row from here on
+    cells = tested.groupBy(*[F.col(k).alias(f"_k_{k}") for k in family], F.col("_bh_p").alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    block = small_value_block(F.col("_cell"), blocks_per_octave(df))
+    raw = running_totals(cells, keys, "_cell", ["_n"], block=block).select(
+        *keys, "_cell", block.alias(BLOCK), (F.col("_cell") * F.col("_n_total") / (F.col("_n_before") + F.col("_n"))).alias("_raw"))
+    above = Window.partitionBy(*keys).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
     minima = (
-        raw.groupBy(*family, BLOCK).agg(F.min("_raw").alias("_low"))
-        .select(*family, BLOCK, F.coalesce(F.min("_low").over(above), F.lit(1.0)).alias("_later"))
-    )
-    inside = Window.partitionBy(*family, BLOCK).orderBy(F.col("_bh_p").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = raw.join(minima, [*family, BLOCK]).withColumn(
-        out, F.least(F.lit(1.0), F.col("_later"), F.min("_raw").over(inside))
+        raw.groupBy(*keys, BLOCK).agg(F.min("_raw").alias("_low"))
+        .select(*keys, BLOCK, F.coalesce(F.min("_low").over(above), F.lit(1.0)).alias("_later"))
     )
-    return _drop_helpers(stepped).drop("_bh_p", "_raw", "_later")
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(F.col("_cell").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stepped = raw.join(minima, [*keys, BLOCK]).select(*keys, "_cell", F.least(F.lit(1.0), F.col("_later"), F.min("_raw").over(inside)).alias(out))
+    same = F.col("_bh_p") == F.col("_cell")
+    for k in family:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return tested.drop(out).join(stepped, same).drop(*keys, "_cell", "_bh_p")
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str, *, minimum: int = 2, degenerate: float | None = None) -> DataFrame:
@@ -238,9 +242,24 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str, *, mi
     )
 
 
-def text_rank(df: DataFrame, keys: Sequence[str], columns: Sequence[str], out: str, *, prefix: int = 4) -> DataFrame:
-    """Ranks 1..n by text columns; the first characters of the first column are the block."""
+def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, *, total: str | None = None) -> DataFrame:
+    """Ranks 1..n along any order, within groups or (``keys`` empty) over all rows.
+
+    Rows are dealt by range of the whole order, with boundaries that Spark takes from the
+    data, so neither a shared prefix nor a tie on the first columns keeps a group together.
+    The dealt rows are written once: a part's number is then fixed, and a lost task reads it
+    again. Offsets need one row for each (group, part).
+    """
     keys = list(keys)
-    joined = _with_offsets(df, keys, F.coalesce(F.substring(F.col(columns[0]), 1, prefix), F.lit("")), False)
-    inside = Window.partitionBy(*keys, BLOCK).orderBy(*columns)
-    return _drop_helpers(joined.withColumn(out, F.col(f"_{ONE}_offset") + F.row_number().over(inside)))
+    along = [*[F.col(k) for k in keys], *order]
+    dealt = materialize(df.repartitionByRange(*along).withColumn(BLOCK, F.spark_partition_id().cast("long")), "ranges")
+    joined = _with_offsets(dealt, keys, F.col(BLOCK), False)
+    ranked = joined.withColumn(out, F.col(f"_{ONE}_offset") + F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order)))
+    if total:
+        ranked = ranked.withColumn(total, F.col(f"_{ONE}_all"))
+    return _drop_helpers(ranked)
+
+
+def text_rank(df: DataFrame, keys: Sequence[str], columns: Sequence[str], out: str) -> DataFrame:
+    """Ranks 1..n by text columns."""
+    return ordered_rank(df, keys, [F.col(c) for c in columns], out)

@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contrastry.functions.ordered import blocks_per_octave, row_rank, value_block
-from contrastry.session import materialize
+from contrastry.functions.ordered import ordered_rank, row_rank
 
 NODE = ["node_id", "node_label", "name", "primary_site", "source"]
 EDGE = ["edge_id", "source_node_id", "target_node_id", "edge_type", "weight", "evidence_source"]
@@ -180,13 +179,8 @@ def node_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
     zeros = {c: 0 for c in ("total_degree", "in_degree", "out_degree", "edge_type_count")}
     joined = nodes.select("node_id", "node_label", "name").join(totals, "node_id", "left").fillna({**zeros, "weighted_degree": 0.0})
-    # Leaves tie on degree and weight in masses. Where all nodes of a (degree, weight block)
-    # weigh the same, the block also follows the id's first characters.
-    weighed = materialize(joined.withColumn("_wb", value_block(F.col("weighted_degree"), min(64, blocks_per_octave(nodes)))), "degrees")
-    flat = weighed.groupBy("total_degree", "_wb").agg((F.min("weighted_degree") == F.max("weighted_degree")).alias("_flat"))
-    split = weighed.join(flat, ["total_degree", "_wb"])
-    block = F.struct(-F.col("total_degree"), -F.col("_wb"), F.when(F.col("_flat"), F.substring("node_id", 1, 10)).otherwise(""))
-    ranked = row_rank(split, [], "total_degree", [F.col("weighted_degree").desc(), F.col("node_id")], "degree_rank", block=block)
+    # leaves tie on degree and weight in masses: the ids take part in the ranges
+    ranked = ordered_rank(joined, [], [F.col("total_degree").desc(), F.col("weighted_degree").desc(), F.col("node_id")], "degree_rank")
     return ranked.select(
         "node_id", "node_label", "name", "total_degree", "in_degree", "out_degree", "weighted_degree", "edge_type_count", "degree_rank"
     )

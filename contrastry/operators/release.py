@@ -90,11 +90,24 @@ def require_public(df: DataFrame, name: str) -> None:
         raise ValueError(f"{name} has identifier-like values")
 
 
-def leaked_identifiers(texts: DataFrame, identifiers: DataFrame, *, text: str = "text", identifier: str = "identifier") -> DataFrame:
-    """Identifiers that occur as tokens of a text: tokens and identifiers meet in one equi-join."""
-    tokens = texts.select(F.explode(F.split(F.col(text), r"[^A-Za-z0-9_#-]+")).alias(identifier)).where(F.length(identifier) > 5)
-    counted = tokens.groupBy(identifier).agg(F.count(F.lit(1)).alias("occurrences"))
-    return counted.join(identifiers.select(identifier).distinct(), identifier, "left_semi")
+def leaked_identifiers(
+    texts: DataFrame, identifiers: DataFrame, *, text: str = "text", identifier: str = "identifier", min_length: int = 6
+) -> DataFrame:
+    """Identifiers that occur anywhere in a text, also inside longer words, and in how many texts.
+
+    Every place of a text whose first ``min_length`` characters begin some identifier gives
+    one candidate for each length that such identifiers have; candidates and identifiers meet
+    in an equi-join. Shorter identifiers are out of scope, which is what ``min_length`` says.
+    """
+    known = identifiers.select(F.col(identifier).alias("_id")).where(F.length("_id") >= min_length).distinct()
+    stems = known.groupBy(F.substring("_id", 1, min_length).alias("_stem")).agg(F.collect_set(F.length("_id")).alias("_lengths"))
+    longest = known.agg(F.max(F.length("_id"))).first()[0] or min_length  # one number
+    numbered = texts.select(F.monotonically_increasing_id().alias("_text"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
+    places = numbered.where(F.length("_body") >= min_length).select("_text", F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("_body") - (min_length - 1)), lambda at: F.substring(F.col("_body"), at, F.lit(longest)))).alias("_from"))
+    begun = places.withColumn("_stem", F.substring("_from", 1, min_length)).join(stems, "_stem")
+    candidates = begun.select("_text", F.explode(F.transform("_lengths", lambda n: F.substring(F.col("_from"), F.lit(1), n))).alias("_id")).distinct()
+    return candidates.join(known, "_id").groupBy(F.col("_id").alias(identifier)).agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 def resource_inventory(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -185,6 +185,12 @@ def traced(s, d):
     return x_ops.traceability(outcomes(s, d), {"expression": v.tumour(s, d), "mutations": v.mutations(s, d)})
 
 
+def shifted_percentiles(s, d):
+    """The batch mart with some percentiles moved: the faults that the rank check has to find."""
+    moved = {"tumor_expression_percentile": ("1", 0.01), "normal_expression_percentile": ("2", -0.00001)}
+    return gc.batch(s, d).withColumns({c: F.col(c) + F.when(F.col("gene_symbol").contains(mark), F.lit(by)).otherwise(0.0) for c, (mark, by) in moved.items()})
+
+
 def document_ids(s, d):
     """Customer names and document words as identifiers to look for in the documents' full texts."""
     words = v.table(s, d, "benchmark").select(F.explode(F.split("text", r"[^A-Za-z0-9_#-]+")).alias("identifier")).where(F.length("identifier") > 5)
@@ -253,7 +259,7 @@ QUERIES = {
     "quality_live_sanity": live_sanity,
     "quality_file_integrity": integrity,
     "quality_mapping_rate": lambda s, d: rounded(q_ops.mapping_rate(v.tumour(s, d), "data_origin")),
-    "quality_midrank_violations": lambda s, d: q_ops.midrank_violations(gc.batch(s, d), tolerance=-1.0),
+    "quality_midrank_violations": lambda s, d: q_ops.midrank_violations(shifted_percentiles(s, d)),
     "quality_multiset_parity": lambda s, d: rounded(q_ops.multiset_difference(
         ge.frequency_gene(s, d).select("cancer_type", "gene_symbol", "mutated_sample_count"), ge.functional(s, d).select("cancer_type", "gene_symbol", F.col("missense_sample_count").alias("mutated_sample_count")))),
     "quality_positive_gene_count": lambda s, d: ge.summary(s, d).where("gene_count > 0").select("gene_count"),
@@ -333,7 +339,13 @@ SQL = {
         SELECT 'bronze_tcga_download_file_presence' AS check_name, count(*) AS failed_rows FROM manifest WHERE access = 'open' AND CAST(substr(file_id, 2) AS BIGINT) % 5 = 0
         UNION ALL SELECT 'bronze_tcga_download_checksum_match', count(*) FROM manifest WHERE access = 'open' AND CAST(substr(file_id, 2) AS BIGINT) % 5 <> 0 AND CAST(substr(file_id, 2) AS BIGINT) % 3 = 0 AND md5(file_name) <> md5sum)""", "manifest"),
     "quality_mapping_rate": v.sql("SELECT 'gene_mapping_rate' AS check_name, CASE WHEN r >= 0.98 THEN 'passed' ELSE 'warning' END AS status, 'mapping_rate' AS metric_name, round(r, 6) AS metric_value, 0.98::DOUBLE AS threshold FROM (SELECT avg((data_origin <> '')::INT) AS r FROM tumour)", "tumour"),
-    "quality_midrank_violations": v.sql("SELECT cancer_type, gene_symbol FROM batch", "batch"),
+    "quality_midrank_violations": v.sql("""SELECT cancer_type, gene_symbol FROM (
+        SELECT *, CASE WHEN n > 1 THEN (rt - 1) / (n - 1) ELSE 0.5 END AS pt, CASE WHEN n > 1 THEN (rn - 1) / (n - 1) ELSE 0.5 END AS pn FROM (
+          SELECT *, count(*) OVER (PARTITION BY cancer_type) AS n,
+            rank() OVER (PARTITION BY cancer_type ORDER BY tumor_log2_median) + (count(*) OVER (PARTITION BY cancer_type, tumor_log2_median) - 1) / 2.0::DOUBLE AS rt,
+            rank() OVER (PARTITION BY cancer_type ORDER BY normal_log2_median) + (count(*) OVER (PARTITION BY cancer_type, normal_log2_median) - 1) / 2.0::DOUBLE AS rn FROM batch))
+        WHERE abs(pt - (tumor_expression_percentile + CASE WHEN gene_symbol LIKE '%1%' THEN 0.01 ELSE 0 END)) > 1e-6
+           OR abs(pn - (normal_expression_percentile - CASE WHEN gene_symbol LIKE '%2%' THEN 0.00001 ELSE 0 END)) > 1e-6""", "batch"),
     "quality_multiset_parity": v.sql("""SELECT *, 'first' AS side FROM (SELECT cancer_type, gene_symbol, mutated_sample_count FROM frequency_gene EXCEPT ALL SELECT cancer_type, gene_symbol, missense_sample_count FROM functional)
         UNION ALL SELECT *, 'second' FROM (SELECT cancer_type, gene_symbol, missense_sample_count FROM functional EXCEPT ALL SELECT cancer_type, gene_symbol, mutated_sample_count FROM frequency_gene)""", "frequency_gene", "functional"),
     "quality_positive_gene_count": v.sql("SELECT count(DISTINCT gene_id) AS gene_count FROM (SELECT gene_id FROM tumour UNION ALL SELECT gene_id FROM reference)", "tumour", "reference"),
@@ -357,8 +369,9 @@ SQL = {
     "individual_value_audit": v.sql(" UNION ALL ".join(
         f"SELECT '{c}' AS column_name, count(*) FILTER (regexp_matches(trim({c}), '(?i)^(PATIENT|SAMPLE|CASE|DONOR):') OR regexp_matches(trim({c}), '(?i)^TCGA-[A-Z0-9]{{2}}-[A-Z0-9]{{4}}(-|$)') "
         f"OR regexp_matches(trim({c}), '(?i)^GTEX-[A-Z0-9]{{4,}}(-|$)')) AS individual_like_rows FROM nodes" for c in g_ops.NODE), "nodes"),
-    "leaked_identifiers": """SELECT identifier, count(*) AS occurrences FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_#-]+')) AS identifier FROM documents)
-        WHERE length(identifier) > 5 AND identifier IN (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_#-]+')) FROM benchmark UNION SELECT c_name FROM customer) GROUP BY 1""",
+    "leaked_identifiers": """SELECT identifier, count(*) AS occurrences FROM documents JOIN (
+        SELECT DISTINCT identifier FROM (SELECT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_#-]+')) AS identifier FROM benchmark UNION ALL SELECT c_name FROM customer) WHERE length(identifier) >= 6
+        ) ids ON contains(text, identifier) GROUP BY 1""",
     "resource_inventory": v.sql("""SELECT 'contrast' AS name, count(*) AS row_count, 9::BIGINT AS column_count, 2::BIGINT AS string_columns, 2::BIGINT AS integer_columns, 5::BIGINT AS number_columns, 0::BIGINT AS boolean_columns FROM contrast
         UNION ALL SELECT 'priority', count(*), 12, 4, 4, 4, 0 FROM priority UNION ALL SELECT 'public_nodes', count(*), 5, 5, 0, 0, 0 FROM public_nodes""", "contrast", "priority", "public_nodes"),
     "content_fingerprint": "SELECT count(*) AS row_count, true AS order_independent FROM lineitem",

@@ -298,7 +298,7 @@ QUERIES = {
     "conform_mixed_workflows": lambda s, d: c_ops.mixed_workflows(_quant(s, d).withColumn("pipeline_workflow", F.col("data_origin"))),
     "conform_duplicate_measurements": lambda s, d: c_ops.duplicate_measurements(_quant(s, d)),
     "conform_valid_expression": lambda s, d: c_ops.valid_expression(v.tumour(s, d).withColumn("gene_id", F.when(F.col("data_origin") == "", " ").otherwise(F.col("gene_id")))).groupBy("project_id").agg(F.count(F.lit(1)).alias("rows")),
-    "conform_cohort_tissue_map": lambda s, d: v.reference(s, d).join(F.broadcast(v.cohorts(s)), "tissue_site").groupBy("cancer_type", "tissue_site").agg(F.count(F.lit(1)).alias("rows")),
+    "conform_cohort_tissue_map": lambda s, d: v.reference(s, d).join(v.cohorts(s), "tissue_site").groupBy("cancer_type", "tissue_site").agg(F.count(F.lit(1)).alias("rows")),
     "capped_file_selection": lambda s, d: c_ops.capped_selection(ge.manifest(s, d), caps(s)).select("project_id", "bucket", "file_id", "file_name"),
     "paired_case_selection": lambda s, d: c_ops.paired_selection(ge.manifest(s, d)).select("project_id", "case_id", "file_id"),
     "resolved_expression_files": lambda s, d: c_ops.resolve_files(ge.manifest(s, d), listing(s, d)).select("project_id", "file_id", "file_name", "data_origin"),

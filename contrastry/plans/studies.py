@@ -622,9 +622,14 @@ def truth_metrics(s, d):
     return a_ops.ranking_truth(truth_scores(s, d), top_k=TOP_K)
 
 
-def t_quantiles(spark):
-    # Two-sided 95% Student-t quantiles for the degrees of freedom in use.
-    return spark.createDataFrame([(1, 12.7062), (2, 4.30265), (3, 3.18245), (4, 2.77645), (5, 2.57058)], "degrees long, t double")
+def faulty_measurements(s, d):
+    """All tumour measurements with faults planted by sample: bad ids, negative values, duplicate cells."""
+    rows = v.tumour(s, d).select("gene_id", "sample_id", "expression_value")
+    spoilt = rows.withColumns({
+        "gene_id": F.when(F.col("sample_id").endswith("3"), F.concat(F.lit("X"), "gene_id")).otherwise(F.col("gene_id")),
+        "expression_value": F.when(F.col("sample_id").endswith("4"), F.lit(-1.0)).otherwise(F.col("expression_value")),
+    })
+    return spoilt.unionByName(rows.where(F.col("sample_id").endswith("2")))
 
 
 def overlap_boot(s, d):
@@ -682,7 +687,7 @@ QUERIES = {
     "study_balanced_units": balanced.fresh,
     "study_paired_units": paired_balanced,
     "study_partition_audit": lambda s, d: r_ops.partition_audit(index(s, d), global_split(s, d), balanced(s, d)),
-    "study_measurement_violations": lambda s, d: r_ops.measurement_violations(v.tumour(s, d)),
+    "study_measurement_violations": lambda s, d: r_ops.measurement_violations(faulty_measurements(s, d)),
     "contrast_effects": lambda s, d: rounded(dense_effects(s, d)),
     "scaled_fold_change": lambda s, d: dense_effects(s, d).select(
         *K, F.round(r_ops.fold_change(pseudocount=1.0, scale=10.0, scale_pseudocount=True), 6).alias("scaled_offset_fc"),
@@ -714,14 +719,14 @@ QUERIES = {
     "bootstrap_tie_overlap": lambda s, d: rounded(overlap_boot(s, d)[1]),
     "annotation_audit": lambda s, d: a_ops.annotation_audit(
         v.tumour(s, d).withColumnRenamed("project_id", "cancer_type"),
-        v.reference(s, d).join(F.broadcast(v.cohorts(s)), "tissue_site").withColumn("gene_symbol", F.regexp_replace("gene_symbol", "PROMO", "PROMOTED"))),
+        v.reference(s, d).join(v.cohorts(s), "tissue_site").withColumn("gene_symbol", F.regexp_replace("gene_symbol", "PROMO", "PROMOTED"))),
     "nested_hash_sample": lambda s, d: a_ops.nested_sample(specimen_manifest(s, d), seed=SEED, maximum=30, check=False),
     "tables_within_tolerance": lambda s, d: rounded(a_ops.tables_close(
         dense(s, d).select("cancer_type", "sample_id", "gene_symbol", "native_value"),
         panel(s, d).groupBy("cancer_type", "sample_id", F.substring_index("gene_symbol", "_", 1).alias("gene_symbol")).agg(F.min("native_value").alias("native_value")),
         ["cancer_type", "sample_id", "gene_symbol"])),
     "ranking_truth_metrics": lambda s, d: rounded(truth_metrics.fresh(s, d)),
-    "paired_precision_gain": lambda s, d: rounded(a_ops.paired_precision(truth_metrics(s, d), t_quantiles(s), proposed=r_ops.STABILITY)),
+    "paired_precision_gain": lambda s, d: rounded(a_ops.paired_precision(truth_metrics(s, d), proposed=r_ops.STABILITY)),
     "study_rollup": lambda s, d: rounded(a_ops.study_rollup({
         "native": r_ops.holdout_evaluation(study_scores(s, d), test_effects(s, d), top_k=TOP_K),
         "strict": r_ops.holdout_evaluation(study_scores(s, d), test_effects(s, d), top_k=TOP_K, threshold=0.1)}, k=5)),
@@ -762,8 +767,11 @@ SQL = {
         LEFT JOIN (SELECT cancer_type, partition, "group", count(*) AS selected_count FROM balanced GROUP BY 1, 2, 3) b ON a.cancer_type = b.cancer_type AND a.partition = b.partition AND a."group" = b."group"
         LEFT JOIN (SELECT cancer_type, partition, count(*) AS shared_case_count FROM (SELECT cancer_type, partition, unit_id FROM balanced WHERE "group" <> 'gtex' GROUP BY 1, 2, 3 HAVING count(DISTINCT "group") = 2) GROUP BY 1, 2) c
           ON a.cancer_type = c.cancer_type AND a.partition = c.partition""", "global_split", "balanced"),
-    "study_measurement_violations": v.sql("""SELECT coalesce(sum(n) FILTER (NOT regexp_matches(g, '^ENSG[0-9]+(_PAR_Y)?$')), 0)::BIGINT AS invalid_gene_ids, sum(bad)::BIGINT AS invalid_values, count(*) FILTER (n > 1) AS duplicate_cells
-        FROM (SELECT gene_id AS g, sample_id, count(*) AS n, count(*) FILTER (expression_value IS NULL OR expression_value < 0) AS bad FROM tumour GROUP BY 1, 2)""", "tumour"),
+    "study_measurement_violations": v.sql("""SELECT * FROM (WITH faulty AS (
+          SELECT CASE WHEN sample_id LIKE '%3' THEN 'X' || gene_id ELSE gene_id END AS gene_id, sample_id, CASE WHEN sample_id LIKE '%4' THEN -1 ELSE expression_value END AS expression_value FROM tumour
+          UNION ALL SELECT gene_id, sample_id, expression_value FROM tumour WHERE sample_id LIKE '%2')
+        SELECT coalesce(sum(n) FILTER (NOT regexp_matches(g, '^ENSG[0-9]+(_PAR_Y)?$')), 0)::BIGINT AS invalid_gene_ids, sum(bad)::BIGINT AS invalid_values, count(*) FILTER (n > 1) AS duplicate_cells
+        FROM (SELECT gene_id AS g, sample_id, count(*) AS n, count(*) FILTER (expression_value IS NULL OR expression_value < 0) AS bad FROM faulty GROUP BY 1, 2))""", "tumour"),
     "contrast_effects": v.sql(v.rounds(EFFECT_DOUBLES, "dense_effects"), "dense_effects"),
     "scaled_fold_change": v.sql("""SELECT cancer_type, gene_symbol, round(log2((median_tumor * 10 + 10) / (median_gtex * 10 + 10)), 6) AS scaled_offset_fc,
         round(log2((median_tumor * 10 + 1) / (median_gtex * 10 + 1)), 6) AS fixed_offset_fc FROM dense_effects""", "dense_effects"),
@@ -830,9 +838,18 @@ SQL = {
         FROM (SELECT cancer_type, sample_id, gene_symbol, native_value AS x FROM dense) FULL JOIN (SELECT cancer_type, sample_id, split_part(gene_symbol, '_', 1) AS gene_symbol, min(native_value) AS y FROM panel GROUP BY 1, 2, 3)
         USING (cancer_type, sample_id, gene_symbol)""", "dense", "panel"),
     "ranking_truth_metrics": v.sql(v.rounds("precision_at_k recall_at_k average_precision", "(SELECT * EXCLUDE (recall_n) FROM truth)"), "truth"),
-    "paired_precision_gain": v.sql(f"""SELECT 'all' AS scenario, top_k, baseline, round(m, 6) AS mean_precision_difference, round(m - 2.77645::DOUBLE * sd / sqrt(n), 6) AS monte_carlo_mean_ci_low, round(m + 2.77645::DOUBLE * sd / sqrt(n), 6) AS monte_carlo_mean_ci_high
-        FROM (SELECT b.top_k, b.method AS baseline, avg(p.precision_at_k - b.precision_at_k) AS m, stddev_samp(p.precision_at_k - b.precision_at_k) AS sd, count(*) AS n
-          FROM truth b JOIN truth p ON p.method = '{r_ops.STABILITY}' AND p.repetition = b.repetition AND p.top_k = b.top_k WHERE b.method <> '{r_ops.STABILITY}' GROUP BY 1, 2)""", "truth"),
+    # the t quantile by halving an angle: the share of the density c * cos(u)^(df - 1) below it, by the midpoint rule
+    "paired_precision_gain": v.sql(f"""SELECT * FROM (WITH RECURSIVE gains AS (SELECT b.top_k, b.method AS baseline, avg(p.precision_at_k - b.precision_at_k) AS m, stddev_samp(p.precision_at_k - b.precision_at_k) AS sd, count(*) AS n
+          FROM truth b JOIN truth p ON p.method = '{r_ops.STABILITY}' AND p.repetition = b.repetition AND p.top_k = b.top_k WHERE b.method <> '{r_ops.STABILITY}' GROUP BY 1, 2),
+        halving(df, low, high, step) AS (
+          SELECT DISTINCT n - 1, 0::DOUBLE, pi() / 2, 0 FROM gains WHERE n > 1
+          UNION ALL SELECT df, CASE WHEN share < 0.95 THEN middle ELSE low END, CASE WHEN share < 0.95 THEN high ELSE middle END, step + 1 FROM (
+            SELECT *, list_sum(list_transform(range(4000), lambda i: pow(cos(middle * (i + 0.5) / 4000), df - 1))) * middle
+                      / (list_sum(list_transform(range(4000), lambda i: pow(cos(pi() / 2 * (i + 0.5) / 4000), df - 1))) * pi() / 2) AS share
+            FROM (SELECT *, (low + high) / 2 AS middle FROM halving WHERE step < 45))),
+        quantiles AS (SELECT df, sqrt(df) * tan((low + high) / 2) AS t FROM halving WHERE step = 45)
+        SELECT 'all' AS scenario, top_k, baseline, round(m, 6) AS mean_precision_difference, round(m - t * sd / sqrt(n), 6) AS monte_carlo_mean_ci_low, round(m + t * sd / sqrt(n), 6) AS monte_carlo_mean_ci_high
+        FROM gains LEFT JOIN quantiles ON df = n - 1)""", "truth"),
     "study_rollup": v.sql(f"""SELECT study_id, cancer_type, round({_EVAL}, 6) AS {_EVAL}, round({_EVAL}_ci_low, 6) AS {_EVAL}_ci_low, round({_EVAL}_ci_high, 6) AS {_EVAL}_ci_high FROM (
         SELECT 'native' AS study_id, * FROM evaluation UNION ALL BY NAME SELECT 'strict' AS study_id, * FROM evaluation_loose) WHERE method = 'reference_maximin' AND top_k = 5""", "evaluation", "evaluation_loose"),
     "study_truth_means": v.sql("SELECT scenario, method, top_k, round(avg(precision_at_k), 6) AS precision_at_k FROM truth GROUP BY 1, 2, 3", "truth"),

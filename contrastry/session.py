@@ -18,14 +18,6 @@ DEFAULTS = {
 }
 
 
-def get_session(app: str = "contrastry", **extra: str) -> SparkSession:
-    """A session with the engine's defaults; master and resources come from spark-submit."""
-    builder = SparkSession.builder.appName(app)
-    for key, value in {**DEFAULTS, **extra}.items():
-        builder = builder.config(key, value)
-    return builder.getOrCreate()
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 

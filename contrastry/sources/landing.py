@@ -41,17 +41,18 @@ def resolve_column(df: DataFrame, aliases: Sequence[str]) -> str | None:
 
 
 def lines(spark: SparkSession, path: str, *, folders: bool = False) -> DataFrame:
-    """(file_name, file_path, value) of every line under the path.
+    """(file_name, file_path, value, _at) of every line under the path; ``_at`` orders the lines of a file.
 
     With ``folders`` each leaf folder is one logical file of several parts, named by
     its last path element (the value part of ``key=value``).
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
     file_path = F.col("_metadata.file_path")
+    place = F.struct(F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).alias("_at")
     if not folders:
-        return raw.select(F.col("_metadata.file_name").alias("file_name"), file_path.alias("file_path"), "value")
+        return raw.select(F.col("_metadata.file_name").alias("file_name"), file_path.alias("file_path"), "value", place)
     parent = F.regexp_replace(file_path, "/[^/]*$", "")
-    return raw.select(F.regexp_extract(parent, "([^/=]+)$", 1).alias("file_name"), parent.alias("file_path"), "value")
+    return raw.select(F.regexp_extract(parent, "([^/=]+)$", 1).alias("file_name"), parent.alias("file_path"), "value", place)
 
 
 def layouts(
@@ -59,9 +60,12 @@ def layouts(
 ) -> tuple[DataFrame, DataFrame]:
     """Split lines into (per-file layout, data rows).
 
-    A line holding one of the ``markers`` as a field is its file's header. The layout
-    has the header and, per wanted column, the position of the first alias present.
+    The first line of a file that holds one of the ``markers`` as a field is its header;
+    later lines with such a field (a gene of that name) are data. The layout has the header
+    and, per wanted column, the position of the first alias present.
     """
+    if "_at" not in raw.columns:
+        raw = raw.withColumn("_at", F.monotonically_increasing_id())
     parsed = raw.where(~F.col("value").startswith("#") & (F.trim("value") != "")).withColumn("_fields", F.split("value", sep))
     lowered = F.transform("_fields", lambda c: F.lower(F.trim(c)))
     tagged = parsed.withColumn("_header", F.arrays_overlap(lowered, F.array(*[F.lit(m.lower()) for m in markers])))
@@ -69,10 +73,10 @@ def layouts(
     def position(aliases: Sequence[str]) -> Column:
         return F.coalesce(*[F.nullif(F.array_position("header", a.lower()), F.lit(0).cast("long")) for a in aliases])
 
-    header = tagged.where("_header").select("file_name", "file_path", lowered.alias("header")).dropDuplicates(["file_path"])
-    layout = header.select("*", *[position(a).cast("int").alias(f"at_{c}") for c, a in columns.items()])
-    data = tagged.where(~F.col("_header")).select("file_name", "file_path", "_fields")
-    return layout, data
+    header = tagged.where("_header").groupBy("file_name", "file_path").agg(F.min_by(lowered, "_at").alias("header"), F.min("_at").alias("_header_at"))
+    layout = header.select("file_name", "file_path", "header", *[position(a).cast("int").alias(f"at_{c}") for c, a in columns.items()])
+    data = tagged.join(header.select("file_path", "_header_at"), "file_path").where(F.col("_at") != F.col("_header_at"))
+    return layout, data.select("file_name", "file_path", "_fields")
 
 
 def at(column: str) -> Column:

@@ -29,10 +29,6 @@ def write_manifest(records: DataFrame, path: str) -> None:
     ).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def write_metadata(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").option("header", True).csv(path)
-
-
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Header CSVs of the two graph tables."""
     nodes.select(*NODE).write.mode("overwrite").option("header", True).csv(f"{path}/nodes")

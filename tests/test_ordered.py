@@ -130,3 +130,32 @@ def test_no_window_over_a_whole_group_of_measurements(spark):
     plan = ordered.group_quantiles(df, ["k"], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [sum(_n" in line and "_v#" in line]
     assert windows and all("_block#" in line for line in windows)
+
+
+def test_ranks_do_not_depend_on_prefix_ties_or_range(spark):
+    """One shared prefix, half the rows tied, values in a narrow range."""
+    names = [f"TCGA-AB-{(i * 7919) % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([("g", n) for n in names] + [("h", "TCGA")], "k string, f string")
+    got = {(r.k, r.f): r.p for r in ordered.text_rank(df, ["k"], ["f"], "p").collect()}
+    assert [got["g", n] for n in sorted(names)] == list(range(1, 1001)) and got["h", "TCGA"] == 1
+    every = ordered.ordered_rank(df, [], [F.col("f").desc(), F.col("k")], "p", total="n").collect()
+    assert [r.f for r in sorted(every, key=lambda r: r.p)] == sorted([*names, "TCGA"], reverse=True) and {r.n for r in every} == {1001}
+    values = [1.7e9 + (0 if i % 2 else i) for i in range(600)]
+    mid = ordered.mid_rank(spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "k string, i long, v double"), ["k"], "v", "r", total="n")
+    ranks = {r.i: (r.r, r.n) for r in mid.collect()}
+    assert all(ranks[i] == (sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2, 600) for i, v in enumerate(values))
+
+
+def test_mid_rank_windows_hold_cells_not_rows(spark):
+    df = spark.createDataFrame(_skewed(50), "k string, i long, v double")
+    plan = ordered.mid_rank(df, ["k"], "v", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block#" in line or "_cell" not in line for line in plan.splitlines() if "Window" in line)
+    assert not any("i#" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_student_t_quantiles(spark):
+    # Two-sided 95 % quantiles of published tables.
+    known = {1: 12.7062, 2: 4.30265, 3: 3.18245, 4: 2.77645, 5: 2.57058, 9: 2.26216, 19: 2.09302, 20: 2.08596, 99: 1.98422, 199: 1.97196, 999: 1.96234}
+    df = spark.createDataFrame([(n,) for n in [0, *known]], "n long").select("n", expr.student_t_quantile(F.col("n")).alias("t"))
+    got = {r.n: r.t for r in df.collect()}
+    assert got.pop(0) is None and got == pytest.approx(known, abs=6e-5)

@@ -55,6 +55,14 @@ def test_expression_layouts_and_units(spark, tmp_path):
     assert (got["ENSG3"].sample_id, got["ENSG3"].expression_value, got["ENSG3"].expression_unit, got["ENSG3"].project_id) == ("SX", 0.0, "FPKM", "Unknown")
 
 
+def test_a_gene_named_like_a_column_is_data(spark, tmp_path):
+    _file(tmp_path / "g" / "a.tsv", "# made\ngene\tcount\nENSG7\t1\ngene\t2\ngene_id\t3\n")
+    manifest = spark.createDataFrame([("a.tsv", "P", "c", "s", "Primary Tumor", "HTSeq - Counts")],
+                                     "file_name string, project_id string, case_id string, sample_id string, sample_type string, workflow_type string")
+    got = land.land_expression_files(land.lines(spark, str(tmp_path / "g")), manifest)
+    assert sorted(r.expression_value for r in got.collect()) == [1.0, 2.0, 3.0]
+
+
 def test_reference_csv_defaults(spark, tmp_path):
     _file(tmp_path / "r" / "a.csv", "sample,tissue,gene_id,tpm\nGTEX-1A-2,Lung,ENSG5.1,1\nother,Lung,ENSG5.1,\n")
     got = land.land_reference_files(land.lines(spark, str(tmp_path / "r"))).orderBy("gtex_sample_id").collect()
@@ -191,8 +199,10 @@ def test_release_audits(spark):
             x_ops.require_public(bad, "t")
     x_ops.require_public(df.select(F.lit("TP53").alias("gene_symbol")), "t")
     ids = spark.createDataFrame([("SPECIMEN-12",), ("OTHERS-99",)], "identifier string")
-    texts = spark.createDataFrame([("see SPECIMEN-12, twice SPECIMEN-12.",)], "text string")
-    assert [tuple(r) for r in x_ops.leaked_identifiers(texts, ids).collect()] == [("SPECIMEN-12", 2)]
+    texts = spark.createDataFrame([("see SPECIMEN-12, twice SPECIMEN-12.",), ("GTEX-1117F-0226.SM and TCGA-AB-1234-01A",), (None,), ("xSPECIMEN-123",)], "text string")
+    ids = ids.union(spark.createDataFrame([("GTEX-1117F-0226.SM",), ("TCGA-AB-1234",), ("TCGA-AB-1234-01A",), ("short",), (None,)], "identifier string"))
+    got = {tuple(r) for r in x_ops.leaked_identifiers(texts, ids).collect()}
+    assert got == {("SPECIMEN-12", 2), ("GTEX-1117F-0226.SM", 1), ("TCGA-AB-1234", 1), ("TCGA-AB-1234-01A", 1)}
     same, other = x_ops.fingerprint(df).first(), x_ops.fingerprint(df.repartition(4).select("note", "node_id")).first()
     assert same == other and x_ops.fingerprint(df.limit(1)).first() != same
     plan = spark.createDataFrame([("t", same.fingerprint)], "name string, fingerprint string")
