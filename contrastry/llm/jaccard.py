@@ -46,7 +46,7 @@ PERCENT = 75
 #: Bytes of n-gram sets that a task may hold for one region.
 REGION_BYTES = 64 << 20
 #: Documents and n-grams packed together before they are handed to the shuffle.
-CHUNK_GRAMS = 4_000_000
+CHUNK_GRAMS = 2_000_000
 #: Bits of the filter of candidate sets; it is broadcast, 4 MB whatever the corpus.
 FILTER_BITS = 1 << 25
 
@@ -187,28 +187,33 @@ def measured_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
     return packed.mapInArrow(count_grams, COUNTED).repartition(partitions, "chunk").mapInArrow(add_counts(partitions), SETS)
 
 
+def tokens(doc_id: np.ndarray, absent: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """One number for a (document, set) pair; documents without an id share theirs."""
+    return keys ^ mix(np.where(absent, -1, doc_id).astype(np.int64).view(np.uint64)).view(np.int64)
+
+
 def filter_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     mixed = mix(keys.view(np.uint64) + np.uint64(11))
     return [(mixed >> np.uint64(s)) % np.uint64(bits) for s in (0, 17, 34)]
 
 
 def key_filter(sets: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bloom filter of the column set_key. A fuller filter lets more through, and loses nothing."""
+    """Bloom filter of the pairs (doc_id, set_key). A fuller filter lets more through, and loses nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits, bool)
         for batch in batches:
-            for at in filter_bits(np.asarray(batch.column(0)), bits):
+            for at in filter_bits(tokens(*rows_of(batch), np.asarray(batch.column("set_key"))), bits):
                 held[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for row in sets.select("set_key").coalesce(8).mapInArrow(run, "bits binary").collect():  # eight arrays of fixed size
+    for row in sets.select("doc_id", "set_key").coalesce(8).mapInArrow(run, "bits binary").collect():  # eight arrays of fixed size
         total |= np.frombuffer(row["bits"], np.uint8)
     return total
 
 
 def candidate_sets(docs: DataFrame, text: str, size: int, wanted: np.ndarray) -> DataFrame:
-    """(set_key, n, grams) of the sets that pass the filter, each once per task."""
+    """(set_key, n, grams) of the documents that pass the filter, each set once per task."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
     bits = len(wanted) * 8
 
@@ -218,7 +223,7 @@ def candidate_sets(docs: DataFrame, text: str, size: int, wanted: np.ndarray) ->
         for batch in slices(batches, text):
             sets = gram_sets(batch, text, size)
             keys = np.fromiter(map(set_key, sets), np.int64, len(sets))
-            hit = np.logical_and.reduce([kept[at] for at in filter_bits(keys, bits)]) & (keys != 0)
+            hit = np.logical_and.reduce([kept[at] for at in filter_bits(tokens(*rows_of(batch), keys), bits)]) & (keys != 0)
             rows = [i for i in np.flatnonzero(hit).tolist() if not (keys[i] in done or done.add(keys[i]))]
             if rows:
                 yield pa.RecordBatch.from_arrays([
@@ -228,25 +233,57 @@ def candidate_sets(docs: DataFrame, text: str, size: int, wanted: np.ndarray) ->
     return docs.mapInArrow(run, "set_key long, n long, grams binary")
 
 
-def pivots(sets: DataFrame, percent: int) -> DataFrame:
-    """(pivot, set_key): the first n - ceil(t n) + 1 n-grams of each set, in hash order."""
+def pivots(percent: int):
+    """(pivot, set_key, n): the first n - ceil(t n) + 1 n-grams of each set, in hash order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, lengths = [], []
-            for n, grams in zip(batch.column("n").to_pylist(), batch.column("grams").to_pylist()):
-                first = np.frombuffer(grams, np.int64, n - -(-percent * n // 100) + 1)
-                parts.append(first)
-                lengths.append(len(first))
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.repeat(np.asarray(batch.column("set_key")), lengths))], ["pivot", "set_key"])
+            sizes = batch.column("n").to_pylist()
+            parts = [np.frombuffer(grams, np.int64, n - -(-percent * n // 100) + 1) for n, grams in zip(sizes, batch.column("grams").to_pylist())]
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            if len(parts):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(parts)), pa.array(np.repeat(np.asarray(batch.column("set_key")), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)),
+                ], ["pivot", "set_key", "n"])
+
+    return run
 
-    return sets.mapInArrow(run, "pivot long, set_key long")
+
+def gathered(percent: int):
+    """Task over the rows of whole pivots: memberships (region, set_key, shared), counted within the task.
+
+    The sets of a pivot are cut where sizes differ too much for a link (the smaller set would
+    have to hold t of the larger); what is left with two sets or more is gathered around its
+    smallest key."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[np.asarray(batch.column(c)) for c in ("pivot", "set_key", "n")] for batch in batches]
+        if not columns:
+            return
+        pivot, key, size = (np.concatenate(c) for c in zip(*columns))
+        order = np.lexsort((key, size, pivot))
+        pivot, key, size = pivot[order], key[order], size[order]
+        once = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])])  # a set from two tasks counts once
+        pivot, key, size = pivot[once], key[once], size[once]
+        cut = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (100 * size[:-1] < percent * size[1:])])
+        start = np.flatnonzero(cut)
+        length = np.diff(np.concatenate([start, [len(key)]]))
+        region = np.repeat(np.minimum.reduceat(key, start), length)
+        shared = np.repeat(length, length) > 1
+        region, key = region[shared], key[shared]
+        order = np.lexsort((key, region))
+        region, key = region[order], key[order]
+        if not len(key):
+            return
+        first = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (key[1:] != key[:-1])]))
+        yield pa.RecordBatch.from_arrays([pa.array(region[first]), pa.array(key[first]), pa.array(np.diff(np.concatenate([first, [len(key)]])))], ["region", "set_key", "shared"])
+
+    return run
 
 
-def regions(pivot_rows: DataFrame) -> DataFrame:
-    """(region, set_key): pivots with two sets or more, gathered around their first set."""
-    first = pivot_rows.groupBy("pivot").agg(F.min("set_key").alias("region"), F.max("set_key").alias("last")).where("region <> last").drop("last")
-    return pivot_rows.join(first, "pivot").select("region", "set_key").distinct()
+def regions(sets: DataFrame, percent: int) -> DataFrame:
+    """(region, set_key, shared) of all sets that share a pivot with another of fitting size."""
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.mapInArrow(pivots(percent), "pivot long, set_key long, n long").repartition(partitions, "pivot")
+    return rows.mapInArrow(gathered(percent), "region long, set_key long, shared long").groupBy("region", "set_key").agg(F.sum("shared").alias("shared"))
 
 
 class Sets:
@@ -320,6 +357,24 @@ def resolve(sets: list[np.ndarray], percent: int, only: np.ndarray | None = None
     return links
 
 
+def smallest_of_class(keys: list[int], links: list[tuple[int, int]]) -> list[int]:
+    """For each key the smallest key that the links connect it with."""
+    parent = list(range(len(keys)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in links:
+        a, b = root(i), root(j)
+        if keys[a] > keys[b]:
+            a, b = b, a
+        parent[b] = a
+    return [keys[root(i)] for i in range(len(keys))]
+
+
 def linked_inside(percent: int, group: tuple[str, ...]):
     """Task over rows sorted by ``group``: links of each group. With a column ``role``, sets of role 1 are the pivots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,9 +384,10 @@ def linked_inside(percent: int, group: tuple[str, ...]):
             if len(keys) < 2:
                 return
             only = np.flatnonzero(roles) if "role" in names else None
-            found = resolve(sets, percent, only)
+            low = smallest_of_class(keys, resolve(sets, percent, only))
+            found = [(key, root) for key, root in zip(keys, low) if key != root]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in found], pa.int64()), pa.array([keys[j] for _, j in found], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
         names: list[str] = []
         for batch in batches:
@@ -368,7 +424,8 @@ def to_centre(percent: int):
                 union = len(centre) + len(own) - common
                 out.append((region, key, 100 * common >= percent * union, int(50 * (union - common) / union)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["region", "set_key", "linked", "step"])
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], ["region", "set_key", "linked", "step"])
 
     return run
 
@@ -402,10 +459,9 @@ def split_regions(members: DataFrame, sets: DataFrame, limit: int, percent: int)
     return links.union(joined.mapInArrow(linked_inside(percent, ("region", "block", "part", "piece")), "a long, b long"))
 
 
-def region_links(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Edges (a, b) between set keys that connect exactly the classes of linked sets."""
-    spark = sets.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def joined_regions(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Edges (a, b) from each set to the smallest key of its class inside each region."""
+    partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weights = members.join(sets.select("set_key", "n").distinct(), "set_key").groupBy("region").agg((F.sum("n") * 8).alias("bytes"))
     sizes = materialize(weights, "region-sizes")
     small = members.join(sizes.where(F.col("bytes") <= limit).select("region"), "region")
@@ -417,17 +473,32 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int, limit: int)
     return links.union(split_regions(materialize(members.join(large.select("region"), "region"), "large-regions"), sets, limit, percent))
 
 
+def region_links(members: DataFrame, sets: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Edges (a, b) between set keys that connect exactly the classes of linked sets.
+
+    Each set first goes to its home, the region with which it shares most pivots. Regions whose
+    members then all have one label need no second look; the others are joined in full."""
+    home = members.groupBy("set_key").agg(F.max(F.struct("shared", "region")).alias("best")).select(F.col("best.region").alias("region"), "set_key")
+    first = materialize(joined_regions(home, sets, percent, limit), "home-links").distinct()
+    label = first.groupBy("a").agg(F.min("b").alias("label"))
+    labelled = members.join(label, members["set_key"] == label["a"], "left").select("region", "set_key", F.coalesce("label", "set_key").alias("label"))
+    mixed = labelled.groupBy("region").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("region")
+    rest = materialize(members.join(mixed, "region").select("region", "set_key"), "mixed-regions")
+    return first.union(joined_regions(rest, sets, percent, limit))
+
+
 def jaccard_classes(docs: DataFrame, text: str = "text", size: int = NGRAM, percent: int = PERCENT, limit: int = REGION_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
     measured = materialize(measured_sets(source, text, size), "sets")
-    possible = measured.where(F.col("n") > 0).where(100 * F.col("repeated") >= percent * F.col("n"))
+    # a key stands for the smallest id that has it; only that document is a candidate
+    named = measured.where(F.col("n") > 0).groupBy("set_key").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("repeated").alias("repeated"))
+    possible = named.where(100 * F.col("repeated") >= percent * F.col("n")).select(F.col("first_id").alias("doc_id"), "set_key")
     sets = materialize(candidate_sets(source, text, size, key_filter(possible)), "candidates")
-    pivot_rows = materialize(pivots(sets, percent), "pivots")
-    members = materialize(regions(pivot_rows), "regions")
+    members = materialize(regions(sets, percent), "regions")
     links = region_links(members, sets, percent, limit)
-    # classes of keys, then of documents: a key stands for the smallest id that has it
-    named = measured.where(F.col("n") > 0).groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    # classes of keys, then of documents
     classes = components(links)
     ids = classes.join(named, classes["node"] == named["set_key"]).groupBy("component").agg(F.min("first_id").alias("class_id"))
     linked = classes.join(ids, "component").select(F.col("node").alias("set_key"), "class_id")
