@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 JOBS = (
     "tumour_vs_reference_contrast", "batch_effect_sensitivity", "reference_triangulation", "mann_whitney_native", "paired_wilcoxon",
-    "mutation_frequency_by_gene", "mutation_functional_evidence", "pathway_enrichment", "bootstrap_stability", "graph_node_metrics",
+    "mutation_frequency_by_gene", "mutation_functional_evidence", "pathway_enrichment", "bootstrap_stability", "graph_node_metrics", "cohort_summary",
 )
 LOOKUPS = (
     "top_mutated_genes", "consensus_lookup", "pathways_by_cancer", "edge_type_counts", "tumour_vs_normal_lookup", "mutation_class_breakdown",

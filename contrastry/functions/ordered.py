@@ -132,6 +132,13 @@ def group_quantiles(
     return running_totals(cells, keys, "_v", ["_n"]).groupBy(*keys).agg(*aggs)
 
 
+def unit_medians(df: DataFrame, keys: Sequence[str], outputs: Mapping[str, str]) -> DataFrame:
+    """Medians of columns (output name to column) per small group, in one shuffle; for keys that
+    hold a case or a sample. Groups without a value in one of the columns are left out."""
+    medians = df.groupBy(*keys).agg(*[F.median(column).alias(out) for out, column in outputs.items()])
+    return medians.dropna(subset=list(outputs))
+
+
 def _with_offsets(df: DataFrame, keys: Sequence[str], block: Column, descending: bool) -> DataFrame:
     blocked = df.withColumn(BLOCK, block).withColumn(ONE, F.lit(1).cast("long"))
     return blocked.join(_offsets(blocked, keys, [ONE], descending), [*keys, BLOCK])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrastry.functions.expr import rounded
-from contrastry.functions.ordered import group_quantiles
+from contrastry.functions.ordered import unit_medians
 from contrastry.operators import agreement as a_ops
 from contrastry.operators import resampling as r_ops
 from contrastry.operators import scores as s_ops
@@ -29,7 +29,7 @@ def _grid(s, d, gene: str, units: int):
         F.col("cohort").alias("cancer_type"), symbol.alias("gene_symbol"), arms[F.col("arm")].alias("_arm"), unit.alias("unit_id"), "value", "alt_value"
     )
     keys = ["cancer_type", "gene_symbol", "_arm", "unit_id"]
-    medians = group_quantiles(rows, keys, "value", {"native_value": 0.5}).join(group_quantiles(rows, keys, "alt_value", {"recount_value": 0.5}), keys)
+    medians = unit_medians(rows, keys, {"native_value": "value", "recount_value": "alt_value"})
     sample = F.concat("_arm", F.lit("-"), "unit_id")
     return medians.withColumn("sample_id", sample)
 
