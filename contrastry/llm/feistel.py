@@ -38,8 +38,12 @@ SHAPES = {
     "address": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-])",
-    "card": r"(?<![0-9])(?:[0-9][ -]?){12,18}[0-9](?![0-9])",
 }
+#: A whole run of digit groups; short numbers may stand beside the card. Where a date, address or e-mail name begins, it ends.
+SHAPES["card"] = (
+    r"(?<![0-9])(?![0-9]{20})(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -]" + rf"(?!{SHAPES['date']}|{SHAPES['address']}|{SHAPES['email']})" + r"[0-9]++)*+"
+)
+CARD_DIGITS = range(19, 12, -1)
 ANY = "|".join(SHAPES.values())
 KINDS = tuple(SHAPES)
 CYCLE_DAYS = 146_097
@@ -127,6 +131,33 @@ def pseudonym_card(value: Column, key: str) -> Column:
     return let(digits_of(value), swap)
 
 
+def cut(pieces: Column, shape: Column, kind: str) -> Column:
+    """``pieces`` (text, kind) with every match of ``shape`` in those without a kind as a piece of its own."""
+    def piece(text: Column, name: Column) -> Column:
+        return F.struct(text.alias("text"), name.cast("string").alias("kind"))
+
+    def parts(text: Column) -> Column:
+        hits = F.regexp_extract_all(text, shape, F.lit(0))
+        between = F.split(text, shape, -1)
+        return let(hits, lambda h: F.flatten(F.transform(between, lambda b, i: F.array(piece(b, F.lit(None)), piece(F.get(h, i), F.lit(kind))))))
+
+    cuts = F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull(), parts(p["text"])).otherwise(F.array(p))))
+    return F.filter(cuts, lambda p: p["text"] != "")
+
+
+def cut_cards(run: Column) -> Column:
+    """Pieces (text, kind) of a run of digit groups: the longest Luhn-valid stretches of whole groups first, then shorter ones beside them."""
+    def step(pieces: Column, size: Column) -> Column:
+        whole = F.concat(F.lit("(?<![0-9])(?=((?:[0-9][ -]?){"), (size - 1).cast("string"), F.lit("}[0-9])(?![0-9]))"))
+        found = F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull(), F.regexp_extract_all(p["text"], whole, F.lit(1))).otherwise(F.array().cast("array<string>"))))
+        valid = F.filter(F.array_distinct(found), lambda c: luhn_sum(digits_of(c), 2) % 10 == 0)
+        shape = let(valid, lambda v: F.when(F.size(v) > 0, F.concat(F.lit("(?<![0-9])(?:"), F.array_join(v, "|"), F.lit(")(?![0-9])"))))
+        return let(shape, lambda s: F.when(s.isNull(), pieces).otherwise(cut(pieces, s, "card")))
+
+    start = F.array(F.struct(run.alias("text"), F.lit(None).cast("string").alias("kind")))
+    return F.aggregate(F.array(*[F.lit(n) for n in CARD_DIGITS]), start, step)
+
+
 def pseudonym_phone(value: Column, key: str) -> Column:
     """The country code stays."""
     code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
@@ -172,7 +203,7 @@ def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), F.lit("email")).when(value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit("address")).when(value.startswith("+"), F.lit("phone"))
         .when(calendar_day(value).isNotNull(), F.lit("date"))
-        .when(value.rlike(r"^(?=.{13,37}$)([0-9][ -]?){12,18}[0-9]$") & (luhn_sum(digits_of(value), 2) % 10 == 0), F.lit("card"))
+        .when(value.rlike("^[0-9]{1,19}(?:[ -][0-9]+)*$") & (F.length(digits_of(value)) >= CARD_DIGITS[-1]), F.lit("run"))
         .when(value.rlike("^[0-9a-fA-F]{20,}$") | value.rlike("[a-fA-F]"), F.lit("secret")).otherwise(F.lit("other"))
     )
 
@@ -184,20 +215,30 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
+def rewritten(value: Column, kind: Column, key: str) -> Column:
+    """The kinds of the values in a match, and the match rewritten."""
+    def run(pieces: Column) -> Column:
+        return F.struct(
+            F.filter(F.transform(pieces, lambda p: p["kind"]), lambda k: k.isNotNull()).alias("kinds"),
+            F.array_join(F.transform(pieces, lambda p: F.when(p["kind"].isNull(), p["text"]).otherwise(pseudonym_card(p["text"], key))), "").alias("value"))
+
+    return F.when(kind == "run", let(cut_cards(value), run)).otherwise(F.struct(F.array(kind).alias("kinds"), pseudonym(value, kind, key).alias("value")))
+
+
 def tally(matches: Column, kind: str) -> Column:
-    return F.size(F.filter(matches, lambda match: match["kind"] == kind))
+    return F.size(F.filter(F.flatten(F.transform(matches, lambda match: match["kinds"])), lambda k: k == kind))
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMONSTRATION_KEY) -> DataFrame:
     """``docs`` with the text rewritten and ``n_pseudonyms``, an array of counts in the order of ``KINDS``."""
     body = F.col(text)
-    found = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda v: let(kind_of(v), lambda k: F.struct(k.alias("kind"), pseudonym(v, k, key).alias("value"))))
+    found = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda v: let(kind_of(v), lambda k: rewritten(v, k, key)))
 
     def woven(matches: Column) -> Column:
         pieces = F.split(body, ANY, -1)
-        rewritten = F.array_join(F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(matches, i)["value"], F.lit("")))), "")
+        whole = F.array_join(F.transform(pieces, lambda piece, i: F.concat(piece, F.coalesce(F.get(matches, i)["value"], F.lit("")))), "")
         counts = F.array(*[tally(matches, kind) for kind in KINDS])
-        return F.struct(rewritten.alias("text"), counts.alias("counts"))
+        return F.struct(whole.alias("text"), counts.alias("counts"))
 
     untouched = F.struct(body.alias("text"), F.array(*[F.lit(0)] * len(KINDS)).alias("counts"))
     others = [c for c in docs.columns if c.lower() not in {"n_pseudonyms", "__done"}]

@@ -96,6 +96,19 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert out[1]["n_pseudonyms"] == [1, 1, 1, 1, 2, 2]
 
 
+def test_cards_beside_other_numbers(spark):
+    near = ["4111 1111 1111 1111 12/27", "4111111111111111 123", "card 2 4111 1111 1111 1111", "4111 1111 1111 1111 5500-0000-0000-0004 7", "12 34 4111-1111-1111-1111 56 78",
+            "4111 1111 1111 1111 29.02.1984", "4111 1111 1111 1111 10.0.0.1", "4111111111111112 5", "1" * 25, "77 4111111111111111 42@mail.example.com"]
+    rows = feistel.pseudonymise(spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got, counts = [r["text"] for r in rows], [r["n_pseudonyms"] for r in rows]
+    assert [c[5] for c in counts] == [1, 1, 1, 2, 1, 1, 1, 0, 0, 1] and got[7:9] == near[7:9]
+    assert all("4111 1111" not in g and "4111-1111" not in g and "4111111111111111" not in g for g in got)
+    moved = {re.sub(r"\D", "", g) for g in (re.search(r"\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{4}", g).group() for i, g in enumerate(got) if i not in (4, 7, 8))}
+    assert len(moved) == 1 and luhn(moved.copy().pop())
+    assert got[0].endswith(" 12/27") and got[1].endswith(" 123") and got[2].startswith("card 2 ") and got[3].endswith(" 7") and "0000-0000" not in got[3]
+    assert counts[5][4] == 1 and "29.02" not in got[5] and counts[6][2] == 1 and "10.0.0.1" not in got[6] and counts[9][0] == 1 and " 42@" not in got[9]
+
+
 def test_permutations_are_bijections(spark):
     numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert numbers.select(feistel.permute_text(F.col("v"), feistel.DIGITS, "k", "x").alias("p")).distinct().count() == 1000
