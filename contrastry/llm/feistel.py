@@ -10,7 +10,8 @@ nothing.
 The network works on an array of digits with a radix for each place: one half is added,
 place by place, to a keystream that SHA-512 derives from the key, the kind of value, the round
 and the other half. Dates are two digits with radices 189 and 773, whose product is the number
-of days in a 400-year calendar cycle, so no value has to be walked back into range.
+of days in a 400-year calendar cycle. Only dates are walked: days up to 12 and later days of a
+month stay apart, as dates with days up to 12 can be read day first and month first.
 
 Defined results: a NULL text stays NULL, an empty text stays empty, numbers that fail their
 validation stay as they are, repeated rows get equal results. Further columns pass through;
@@ -32,19 +33,30 @@ DIGITS = ("0123456789",)
 HEX = ("0123456789abcdef", "ABCDEF")
 LETTERS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A further digit of a phone number, its separators before it; a card in groups does not belong to it.
+DIGIT = r"(?:(?:[ ./-]?\(|\)[ ./-]?|[ ./-])(?![0-9]{13}|(?:[0-9]{4}[ -]){3}[0-9]|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4}))?[0-9]"
+TRUNK = r"(?:[ ./-]?\(0\))?"
+#: Country codes whose numbers have a fixed length; others have 8 to 15 digits in all.
+PLANS = [rf"(?:{codes}){TRUNK}(?:{DIGIT}){{{size}}}" for codes, size in (("[17]|44|91", 10), ("3[0134]|41|48|61", 9), ("45|47|65", 8))]
+COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+#: Three, three and four digits with an area code from 200; or a trunk zero, a separated area code and 9 to 11 digits in all.
+BOUNDS = r"(?<![0-9+])(?<![0-9][.-])", r"(?![0-9]|[.-][0-9])"
+AREA_FIRST = r"(?:1[ .-])?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}".join(BOUNDS)
+TRUNK_FIRST = r"(?=\(?0[1-9][0-9]{0,4}\)?[ /-][0-9])\(?0[1-9](?:\)?[ /-]?[0-9]){7,9}".join(BOUNDS)
+NATIONAL = f"{AREA_FIRST}|{TRUNK_FIRST}"
 SHAPES = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": r"(?<=(?:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?[\"'])[0-9a-fA-F]{16,}(?=[\"'])",
     "address": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
-    "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![0-9/-])",
+    "phone": rf"(?<![0-9])\+(?:{'|'.join(PLANS)}|[1-9](?:{DIGIT}){{7,14}})(?![0-9])",
+    "date": r"(?<![0-9./-])(?:[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/)[0-9]{1,2}|(?:[0-9]{1,2}[./][0-9]{1,2}[./]|[0-9]{1,2}-[0-9]{1,2}-)[0-9]{4})(?![0-9/-])",
 }
-#: A whole run of digit groups; short numbers may stand beside the card. Where a date, address or e-mail name begins, it ends.
+#: A whole run of digit groups; short numbers may stand beside the card. Where a date, address, e-mail name or phone number with an area code begins, it ends.
 SHAPES["card"] = (
-    r"(?<![0-9])(?![0-9]{20})(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -]" + rf"(?!{SHAPES['date']}|{SHAPES['address']}|{SHAPES['email']})" + r"[0-9]++)*+"
+    r"(?<![0-9])(?![0-9]{20})(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -]" + rf"(?!{SHAPES['date']}|{SHAPES['address']}|{SHAPES['email']}|{AREA_FIRST})" + r"[0-9]++)*+"
 )
 CARD_DIGITS = range(19, 12, -1)
-ANY = "|".join(SHAPES.values())
+ANY = "|".join([*list(SHAPES.values())[:-1], AREA_FIRST, SHAPES["card"], TRUNK_FIRST])
 KINDS = tuple(SHAPES)
 CYCLE_DAYS = 146_097
 DATE_RADICES = (189, 773)
@@ -159,8 +171,8 @@ def cut_cards(run: Column) -> Column:
 
 
 def pseudonym_phone(value: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    """The country code or trunk digit stays, so that a number has one pseudonym with either."""
+    code = F.regexp_extract(value, rf"^(?:\+{COUNTRY}{TRUNK}|1[ .-]|\(?0(?=[1-9]))", 0)
     rest = F.substring(value, F.length(code) + 1, F.length(value))
     return F.concat(code, let(permute_text(digits_of(rest), DIGITS, key, "phone"), lambda d: refill(rest, d)))
 
@@ -176,27 +188,60 @@ def pseudonym_address(value: Column, key: str) -> Column:
     return F.array_join(permute(octets, F.array(*[F.lit(256)] * 4), key, "address").cast("array<string>"), ".")
 
 
+def calendar_date(value: Column) -> Column:
+    """Year first, else day first if that is a date, else month first; NULL for other shapes and impossible dates."""
+    def read(parts: Column) -> Column:
+        def of(year: int, month: int, day: int) -> Column:
+            return F.concat_ws("-", parts[year], F.lpad(parts[month], 2, "0"), F.lpad(parts[day], 2, "0")).try_cast("date")
+
+        return F.when(F.length(parts[0]) == 4, of(0, 1, 2)).otherwise(F.coalesce(of(2, 1, 0), of(2, 0, 1)))
+
+    shape = r"^(?:[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4})$"
+    return F.when(value.rlike(shape), let(F.split(value, "[./-]"), read))
+
+
 def calendar_day(value: Column) -> Column:
-    """Days since the cycle began; NULL for other shapes and impossible dates."""
-    iso = F.when(value.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), value).when(
-        value.rlike("^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.concat_ws("-", F.substring(value, 7, 4), F.substring(value, 4, 2), F.substring(value, 1, 2)))
-    return F.unix_date(iso.try_cast("date")) - CYCLE_START
+    """Days since the cycle began; NULL where there is no date."""
+    return F.unix_date(calendar_date(value)) - CYCLE_START
 
 
 def pseudonym_date(value: Column, key: str) -> Column:
-    """Inside the 400-year cycle from 1700; other years and impossible dates stay."""
-    iso = value.rlike("^[0-9]{4}-")
+    """Inside the 400-year cycle from 1700; other years and impossible dates stay.
+
+    Days up to 12 and later days are permuted among themselves: a date that can be read in one
+    order only keeps that order, and one date has one pseudonym in every layout.
+    """
     radices = F.array(*[F.lit(r) for r in DATE_RADICES])
 
+    def date_of(day: Column) -> Column:
+        return F.date_from_unix_date((day + CYCLE_START).cast("int"))
+
     def moved(day: Column) -> Column:
         pair = F.array(F.floor(day / DATE_RADICES[1]).cast("int"), F.pmod(day, F.lit(DATE_RADICES[1])).cast("int"))
-        return let(permute(pair, radices, key, "date"), lambda p: F.date_from_unix_date(p[0] * DATE_RADICES[1] + p[1] + CYCLE_START))
+        return let(permute(pair, radices, key, "date"), lambda p: p[0] * DATE_RADICES[1] + p[1])
+
+    def late(day: Column) -> Column:
+        return F.dayofmonth(date_of(day)) > 12
+
+    def walked(day: Column) -> Column:
+        """The next day of the same half on the way through the permutation; 60 steps all but never pass without one."""
+        start = F.struct(day.alias("at"), F.lit(False).alias("there"))
+        step = lambda s, _: F.when(s["there"], s).otherwise(let(moved(s["at"]), lambda m: F.struct(m.alias("at"), (late(m) == late(day)).alias("there"))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step)["at"]
 
     def shown(date: Column) -> Column:
-        mark = F.substring(value, 3, 1)
-        return F.when(iso, F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat(F.date_format(date, "dd"), mark, F.date_format(date, "MM"), mark, F.date_format(date, "yyyy")))
+        def write(parts: Column) -> Column:
+            width = F.when(F.regexp_count(value, F.lit(r"\b[0-9]\b")) > 0, 1).otherwise(2)
+            number = lambda c: let(c.cast("string"), lambda n: F.lpad(n, F.greatest(width, F.length(n)), F.lit("0")))
+            year, month, day = F.lpad(F.year(date).cast("string"), 4, "0"), number(F.month(date)), number(F.dayofmonth(date))
+            first, last = F.regexp_extract(value, "[./-]", 0), F.regexp_extract(value, "[./-][0-9]+([./-])", 1)
+            day_first = F.concat_ws("-", parts[2], F.lpad(parts[1], 2, "0"), F.lpad(parts[0], 2, "0")).try_cast("date").isNotNull()
+            return F.when(F.length(parts[0]) == 4, F.concat(year, first, month, last, day)).when(
+                day_first, F.concat(day, first, month, last, year)).otherwise(F.concat(month, first, day, last, year))
+
+        return let(F.split(value, "[./-]"), write)
 
-    return let(calendar_day(value), lambda d: F.when((d >= 0) & (d < CYCLE_DAYS), let(moved(d), shown)).otherwise(value))
+    return let(calendar_day(value), lambda d: F.when((d >= 0) & (d < CYCLE_DAYS), let(date_of(walked(d)), shown)).otherwise(value))
 
 
 def kind_of(value: Column) -> Column:
@@ -204,6 +249,7 @@ def kind_of(value: Column) -> Column:
         F.when(value.contains("@"), F.lit("email")).when(value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit("address")).when(value.startswith("+"), F.lit("phone"))
         .when(calendar_day(value).isNotNull(), F.lit("date"))
         .when(value.rlike("^[0-9]{1,19}(?:[ -][0-9]+)*$") & (F.length(digits_of(value)) >= CARD_DIGITS[-1]), F.lit("run"))
+        .when(value.rlike(f"^(?:{NATIONAL})$"), F.lit("phone"))
         .when(value.rlike("^[0-9a-fA-F]{20,}$") | value.rlike("[a-fA-F]"), F.lit("secret")).otherwise(F.lit("other"))
     )
 
@@ -220,9 +266,9 @@ def rewritten(value: Column, kind: Column, key: str) -> Column:
     def run(pieces: Column) -> Column:
         return F.struct(
             F.filter(F.transform(pieces, lambda p: p["kind"]), lambda k: k.isNotNull()).alias("kinds"),
-            F.array_join(F.transform(pieces, lambda p: F.when(p["kind"].isNull(), p["text"]).otherwise(pseudonym_card(p["text"], key))), "").alias("value"))
+            F.array_join(F.transform(pieces, lambda p: F.when(p["kind"] == "card", pseudonym_card(p["text"], key)).when(p["kind"] == "phone", pseudonym_phone(p["text"], key)).otherwise(p["text"])), "").alias("value"))
 
-    return F.when(kind == "run", let(cut_cards(value), run)).otherwise(F.struct(F.array(kind).alias("kinds"), pseudonym(value, kind, key).alias("value")))
+    return F.when(kind == "run", let(cut(cut_cards(value), F.lit(NATIONAL), "phone"), run)).otherwise(F.struct(F.array(kind).alias("kinds"), pseudonym(value, kind, key).alias("value")))
 
 
 def tally(matches: Column, kind: str) -> Column:

@@ -109,6 +109,27 @@ def test_cards_beside_other_numbers(spark):
     assert counts[5][4] == 1 and "29.02" not in got[5] and counts[6][2] == 1 and "10.0.0.1" not in got[6] and counts[9][0] == 1 and " 42@" not in got[9]
 
 
+def test_phone_numbers_and_dates_in_other_layouts(spark):
+    phones = ["+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 12345678", "+442079460958", "(555) 123-4567", "555-123-4567", "1-800-555-0187", "+1 (555) 123-4567", "020 7946 0958", "+44 (0)20 7946 0958"]
+    dates = ["5.3.1990", "1984/02/29", "12/25/2020", "25/12/2020", "2020-12-25", "05.03.1990", "29-02-1984"]
+    stay = ["31.02.1984", "13/32/2020", "1.2.3", "+12 34", "123-456", "2020/01/12/x"]
+    both = ["4111 1111 1111 1111 555-123-4567", "+49 30 12345 4111 1111 1111 1111", "+33 1 23 45 67 89 12 x", "4111 1111 1111 1111 12/25/2020"]
+    texts = [f"see {t}, then" for t in phones + dates + stay + both]
+    rows = feistel.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got, counts = [r["text"][4:-6] for r in rows], [r["n_pseudonyms"] for r in rows]
+    n, m, k = len(phones), len(phones) + len(dates), len(phones) + len(dates) + len(stay)
+    assert all(c == [0, 0, 0, 1, 0, 0] for c in counts[:n]) and all(g != p and re.sub(r"\d", "0", g) == re.sub(r"\d", "0", p) for g, p in zip(got, phones))
+    digits = [re.sub(r"\D", "", g) for g in got]
+    assert digits[4] == digits[5] == digits[7][1:] and digits[0][2:] == digits[3][2:] == digits[8][1:] == digits[9][3:] and digits[0][:2] == "44" and got[6][:2] == "1-"
+    assert all(c == [0, 0, 0, 0, 1, 0] for c in counts[n:m])
+    a, b = [re.split(r"\D", g) for g in got[n:m]], got[n:m]
+    assert b[0] != "5.3.1990" and a[0] == [str(int(x)) for x in a[5]] and a[1] == a[6][::-1] and b[1][4] == "/" and b[6][2] == "-"
+    assert a[3][::-1] == a[4] and [a[2][2], a[2][0], a[2][1]] == a[4] and int(a[2][1]) > 12
+    assert got[m:k] == stay and not any(sum(c) for c in counts[m:k])
+    assert [c[3:] for c in counts[k:]] == [[1, 0, 1], [1, 0, 1], [1, 0, 0], [0, 1, 1]] and all("4111 1" not in g and "1111 1111" not in g for g in got[k:])
+    assert got[k].endswith(got[5]) and got[k + 2] == got[1] + " 12 x" and got[k + 3].endswith(got[n + 2])
+
+
 def test_permutations_are_bijections(spark):
     numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
     assert numbers.select(feistel.permute_text(F.col("v"), feistel.DIGITS, "k", "x").alias("p")).distinct().count() == 1000
