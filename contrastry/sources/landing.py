@@ -313,9 +313,10 @@ def land_counts(raw: DataFrame, selected: DataFrame, annotation: DataFrame, *, e
 
 
 def pathway_id(name: Column, description: Column) -> Column:
-    """Stable identifier if the name or description carries one, else a slug of the name."""
+    """Stable identifier if the name or description carries one, else a slug of the name; beyond 96 characters a hash of the whole name ends it."""
     stable = F.coalesce(*[F.nullif(F.regexp_extract(c, r"(R-HSA-\d+)", 1), F.lit("")) for c in (name, description)])
-    slug = F.substring(F.upper(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", "")), 1, 96)
+    whole = F.upper(F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9_]+", "_"), r"^_+|_+$", ""))
+    slug = F.when(F.length(whole) <= 96, whole).otherwise(F.concat(F.substring(whole, 1, 96), F.lit("_"), F.upper(F.substring(F.sha2(name, 256), 1, 12))))
     return F.coalesce(stable, F.nullif(slug, F.lit("")), F.lit("UNKNOWN_PATHWAY"))
 
 

@@ -91,6 +91,13 @@ def test_annotation_and_scaled_counts(spark, tmp_path):
     assert (row.expression_value, row.gene_symbol, row.gene_id, row.sample_id) == (10.0, "GENEA", "ENSG1", "s1")
 
 
+def test_long_gene_set_names_stay_apart(spark):
+    names = ["A" * 96, "long name " * 10 + "one", "long name " * 10 + "two"]
+    rows = land.land_gene_sets(spark.createDataFrame([(f"{n}\tx\tg{i}",) for i, n in enumerate(names)], "value string")).orderBy("gene_symbol").collect()
+    ids = [r["pathway_id"] for r in rows]
+    assert ids[0] == "A" * 96 and ids[1] != ids[2] and ids[1][:96] == ids[2][:96] and all(len(i) == 109 for i in ids[1:])
+
+
 def test_gene_sets(spark, tmp_path):
     _file(tmp_path / "s" / "p.gmt", "Cell cycle, mitotic\tna\ttp53\tTP53 \tEGFR\nX R-HSA-12\tna\tA\nshort\tna\n")
     raw = land.lines(spark, str(tmp_path / "s"))
