@@ -56,6 +56,8 @@ REGIONS = frozenset("header footer nav aside section form div ul ol h1 h2".split
 SPACE = re.compile(r"\s+")
 NAME_PART = re.compile(r"[a-z]+")
 
+HEAD = {"title", "meta", "link", "base", "basefont", "bgsound", "style", "script", "noscript", "noframes", "template", "head", "html"}
+
 
 class Page(HTMLParser):
     """Nodes of a page in page order: parent, features, label mark, and the text of blocks."""
@@ -128,7 +130,14 @@ class Page(HTMLParser):
             if tag in until:
                 return
 
+    def close_head(self) -> None:
+        """Both </head> and <body> may be left out: what cannot stand in a head ends it."""
+        if self.open[-1][0] == "head":
+            self.pop_to(len(self.open) - 1)
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self.close_head()
         if tag in INLINE:
             if tag == "br":
                 self.pieces.append(" ")
@@ -177,6 +186,8 @@ class Page(HTMLParser):
         self.pop_to(depth)
 
     def handle_data(self, data):
+        if data.strip():
+            self.close_head()
         if not self.silent:
             self.pieces.append(data)
             if self.link_depth:

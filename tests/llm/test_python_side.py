@@ -210,3 +210,11 @@ def test_records_survive_any_cut():
         assert [r for _, r in warc.records_of(pieces)] == [record] * 7
     with pytest.raises(ValueError):
         list(warc.records_of(iter([whole[:-1]])))
+
+
+def test_head_ends_without_its_end_tag_or_a_body_tag():
+    words = "The article goes on, as articles do, and says a good deal. " * 3
+    for page in (f"<html><head><title>T</title><meta charset=x><p>{words}<p>{words}", f"<head><title>T</title><a href=x>{words}</a>", f"<head><title>T</title>{words}"):
+        texts = list(htmltext.Page(page).texts.values())
+        assert texts and all(t == words.strip() for t in texts), page
+    assert list(htmltext.Page("<head><title>T</title><noscript><p>no</p></noscript><script>x</script></head><body><p>yes").texts.values()) == ["yes"]
