@@ -1,7 +1,8 @@
 """Line-first quality rules, all in DataFrame expressions.
 
 Every line with a word is judged first: navigation (lists of short links), boilerplate
-(notices, prompts) and punctuation (no sentence mark at all, or marks used as ornament).
+(notices, prompts) and punctuation (no sentence mark of any script, or marks used as ornament:
+hanging on three words or a third of them, or half of the line; emphasis and operators are none).
 Failing lines are removed, and a document that loses too much of its text is rejected.
 Before that, base rules reject very short and very repetitive documents. Nothing is
 shuffled: each document is judged in its own row.
@@ -26,7 +27,10 @@ WINDOW = 3
 #: Fixed values of the line rules.
 SYMBOLS = r"[^#*$%&|<>]+"
 LINK_MARKS = "|»›•·"
-SENTENCE_MARKS = r"[.,;:!?…]"
+#: Marks that end or part sentences in any script, as Unicode lists them.
+SENTENCE_MARKS = (
+    r"[.,;:!?…;·։׃،؛؞؟۔܀-܊܌߸߹।॥๚๛༈།-༒၊။፡-፨᙮។-៖៚᠂-᠅᠈᠉᥄᥅᪨-᪫᭚᭛᭝-᭟᰻-᰿᱾᱿‼-‽⁇-⁉⸮、。꓾꓿꘍-꘏꛳-꛷꡶꡷꣎꣏꤯꧇-꧉꩝-꩟꯫﹐-﹒﹔-﹗！，．：；？｡､]"
+)
 ORNAMENTS = r"(?:##|\*\*|\$\$|%%|&&|!!|\?\?|~~|==|__)"
 NOTICES = (
     "all rights reserved", "licensed under", "general public license", "privacy policy", "terms of use", "terms of service", "terms and conditions",
@@ -34,6 +38,10 @@ NOTICES = (
     "skip to content", "share this", "lorem ipsum",
 )
 NOTICE_LENGTH = 160
+#: Notices as whole words; emphasis around words and names like __init__; marks hanging on the end of a word.
+WHOLE_NOTICES = r"(?<![\p{L}\p{N}])(?:" + "|".join(NOTICES) + r")(?![\p{L}\p{N}])"
+EMPHASIS = r"(?<![\p{L}\p{N}\p{P}&&[^(\[\"'.]])(\*\*|__|~~|==|\$\$)(?=[\p{L}\p{N}(\[\"'`])(?:(?!\1).)+?(?<=\S)\1"
+HANGING = rf"(?<=\S){ORNAMENTS}[#*$%&!?~=_]*(?=\s|$)"
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -67,9 +75,11 @@ def line_passes(line: Column) -> Column:
     size = F.length(line)
     links = size - F.length(F.translate(line, LINK_MARKS, ""))
     ornaments = F.regexp_count(line, F.lit(ORNAMENTS))
+    hanging = F.regexp_count(F.regexp_replace(line, EMPHASIS, "x"), F.lit(HANGING))
+    decorated = (hanging >= 3) | ((hanging >= 2) & (hanging * 3 >= F.size(words(line)))) | (ornaments * 4 >= size)
     navigation = (links >= 2) & (links * 40 >= size)
-    boilerplate = (size <= NOTICE_LENGTH) & F.lower(line).rlike("|".join(NOTICES))
-    punctuation = ~line.rlike(SENTENCE_MARKS) | ((ornaments >= 2) & (ornaments * 40 >= size))
+    boilerplate = (size <= NOTICE_LENGTH) & F.lower(line).rlike("|".join(NOTICES)) & F.lower(line).rlike(WHOLE_NOTICES)
+    punctuation = ~line.rlike(SENTENCE_MARKS) | ((ornaments >= 2) & (ornaments * 40 >= size) & decorated)
     return ~line.rlike(HAS_WORD) | ~(navigation | boilerplate | punctuation)
 
 
@@ -110,6 +120,7 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op5_line_quality": op5_line_quality}
 
+#: The twin has notices without word bounds, Latin sentence marks and any two ornaments; the tables hold no line that tells them apart.
 JUDGED_SQL = r"""
 body AS (
   SELECT *, coalesce(text, '') AS body FROM {source}

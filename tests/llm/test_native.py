@@ -62,6 +62,14 @@ def test_line_rules(spark):
     assert "|" not in rows[1]["cleaned"] and "Heading" not in rows[3]["cleaned"] and rows[3]["cleaned"].startswith(good)
 
 
+def test_clean_markdown_code_and_other_scripts_stay(spark):
+    clean = ["The design in question was good.", "Our catalog in print, and the blog in short.", "They spread more news.", "Use **bold** text here, please.", "**Note:** see **this**.",
+             "if (a == b && c == d) { return 1; }", "self.__init__(x, y)", "यह एक साफ वाक्य है।", "これは文です。", "هل هذا نص؟"]
+    fail = ["Please sign in.", "Read more.", "THIS!! IS!! ALL!! LOUD.", "AUF,!! UND!! AB.", "Heading", "!!!!!!!! ???? now."]
+    rows = linequality.judge(spark.createDataFrame([(0, "\n".join(clean)), (1, "\n".join(fail)), (2, "\n".join(f"यह{i} वाक्य{i} अलग{i} है{i}।" for i in range(20)))], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert rows[0]["cleaned"].split("\n") == clean and rows[1]["cleaned"] == "" and rows[2]["kept"]
+
+
 def test_quality_awkward_rows(spark):
     df = linequality.judge(awkward_documents(spark))
     assert {"ids", "host", "lang"} <= set(df.columns) and df.columns.count("kept") == 1
