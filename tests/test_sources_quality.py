@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import tumour_rows
+from frames import tumour_rows
 from contrastry.operators import conform as c_ops
 from contrastry.operators import lookups as l_ops
 from contrastry.operators import quality as q_ops
