@@ -20,13 +20,16 @@ columns named like the results are replaced.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrastry.llm.inputs import let, table
 
 ROUNDS = 8
-DEMONSTRATION_KEY = "a key for the registered query; pass your own"
+#: Session settings: the key itself, or a file whose first line it is. Their names fall under Spark's redaction.
+KEY_SETTING, KEY_FILE_SETTING = "spark.contrastry.pseudonym.secret", "spark.contrastry.pseudonym.secret.file"
 
 #: Alphabets inside which a character is permuted, and the shapes of the values.
 DIGITS = ("0123456789",)
@@ -41,11 +44,15 @@ PLANS = [rf"(?:{codes}){TRUNK}(?:{DIGIT}){{{size}}}" for codes, size in (("[17]|
 COUNTRY = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 #: Three, three and four digits with an area code from 200; or a trunk zero, a separated area code and 9 to 11 digits in all.
 BOUNDS = r"(?<![0-9+])(?<![0-9][.-])", r"(?![0-9]|[.-][0-9])"
-AREA_FIRST = r"(?:1[ .-])?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}".join(BOUNDS)
+AREA_FIRST = "(?:" + "|".join([
+    r"(?:1[ .-])?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[.-])[0-9]{3}[ .-][0-9]{4}".join(BOUNDS),
+    # with spaces alone it must not stand among other figures
+    r"(?<![0-9] )(?:1 )?[2-9][0-9]{2} [0-9]{3}[ .-][0-9]{4}(?! [0-9])".join(BOUNDS),
+]) + ")"
 TRUNK_FIRST = r"(?=\(?0[1-9][0-9]{0,4}\)?[ /-][0-9])\(?0[1-9](?:\)?[ /-]?[0-9]){7,9}".join(BOUNDS)
 NATIONAL = f"{AREA_FIRST}|{TRUNK_FIRST}"
 SHAPES = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "secret": r"(?<=(?:token|secret|password|passwd|api_key|apikey|access_key)\s?[=:]\s?[\"'])[0-9a-fA-F]{16,}(?=[\"'])",
     "address": rf"(?<![0-9.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9]|\.[0-9])",
     "phone": rf"(?<![0-9])\+(?:{'|'.join(PLANS)}|[1-9](?:{DIGIT}){{7,14}})(?![0-9])",
@@ -55,7 +62,14 @@ SHAPES = {
 SHAPES["card"] = (
     r"(?<![0-9])(?![0-9]{20})(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -]" + rf"(?!{SHAPES['date']}|{SHAPES['address']}|{SHAPES['email']}|{AREA_FIRST})" + r"[0-9]++)*+"
 )
-CARD_DIGITS = range(19, 12, -1)
+CARD_DIGITS = range(13, 20)
+#: First digits and lengths of card numbers by issuer, and the ways in which they are grouped.
+ISSUERS = "|".join([
+    "4[0-9]{12}(?:[0-9]{3}){0,2}", "(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}", "3[47][0-9]{13}", "3(?:0[0-5]|[689][0-9])[0-9]{11}",
+    "(?:6011|64[4-9][0-9]|65[0-9]{2})[0-9]{12,15}", "35(?:2[89]|[3-8][0-9])[0-9]{12,15}", "62[0-9]{14,17}", "(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15}",
+])
+SHORT_RUN = 8
+LAYOUTS = {5: "4-4-4-4-3", 4: "4-4-4-4", 3: "4-6-5|4-6-4|4-4-5", 1: "1[3-9]"}
 ANY = "|".join([*list(SHAPES.values())[:-1], AREA_FIRST, SHAPES["card"], TRUNK_FIRST])
 KINDS = tuple(SHAPES)
 CYCLE_DAYS = 146_097
@@ -158,16 +172,72 @@ def cut(pieces: Column, shape: Column, kind: str) -> Column:
 
 
 def cut_cards(run: Column) -> Column:
-    """Pieces (text, kind) of a run of digit groups: the longest Luhn-valid stretches of whole groups first, then shorter ones beside them."""
-    def step(pieces: Column, size: Column) -> Column:
-        whole = F.concat(F.lit("(?<![0-9])(?=((?:[0-9][ -]?){"), (size - 1).cast("string"), F.lit("}[0-9])(?![0-9]))"))
-        found = F.flatten(F.transform(pieces, lambda p: F.when(p["kind"].isNull(), F.regexp_extract_all(p["text"], whole, F.lit(1))).otherwise(F.array().cast("array<string>"))))
-        valid = F.filter(F.array_distinct(found), lambda c: luhn_sum(digits_of(c), 2) % 10 == 0)
-        shape = let(valid, lambda v: F.when(F.size(v) > 0, F.concat(F.lit("(?<![0-9])(?:"), F.array_join(v, "|"), F.lit(")(?![0-9])"))))
-        return let(shape, lambda s: F.when(s.isNull(), pieces).otherwise(cut(pieces, s, "card")))
+    """Pieces (text, kind) of a run of digit groups, with its cards as pieces of their own.
+
+    A card is an unbroken group or some whole groups in a usual layout, with the first digits and
+    length of an issuer and a right check digit. Inside a table of figures groups are none: where
+    numbers of more than two digits stand beside them in a run longer than ``SHORT_RUN``, or two of
+    four digits in any, unless three cards follow one another there.
+    """
+    def found(parts: Column, digits: Column) -> Column:
+        def size(i: Column) -> Column:
+            return F.coalesce(F.length(F.get(digits, i)), F.lit(0))
+
+        def card_groups(group: Column, i: Column) -> Column:
+            """Number of groups of the card that begins at group i, or 0."""
+            def of(layout: Column) -> Column:
+                chain = F
+                for groups, shape in LAYOUTS.items():
+                    number = F.array_join(F.slice(digits, i + 1, groups), "")
+                    chain = chain.when(layout.rlike(f"^(?:{shape})(?:-|$)") & let(number, lambda n: n.rlike(f"^(?:{ISSUERS})$") & (luhn_sum(n, 2) % 10 == 0)), groups)
+                return chain.otherwise(0)
+
+            sizes = F.array_join(F.transform(F.slice(digits, i + 1, 5), lambda g: F.length(g).cast("string")), "-")
+            return F.when((F.length(group) == 4) | F.length(group).between(CARD_DIGITS[0], CARD_DIGITS[-1]), let(sizes, of)).otherwise(0)
+
+        def chosen(groups: Column) -> Column:
+            def kept(starts: Column) -> Column:
+                def has(i: Column) -> Column:
+                    return F.array_contains(starts, i) & (F.get(groups, i) == 4)
+
+                def alone(i: Column) -> Column:
+                    first, behind = F.when(has(i - 4), i - 4).otherwise(i), F.when(has(i + 4), i + 8).otherwise(i + F.get(groups, i))
+                    short = F.size(digits) <= SHORT_RUN
+
+                    def side(near: Column, far: Column) -> Column:
+                        return (size(near) <= 2) | (short & ~((size(near) == 4) & (size(far) == 4)))
+
+                    return side(first - 1, first - 2) & side(behind, behind + 1)
+
+                def three(i: Column) -> Column:
+                    return (has(i - 4) & (has(i - 8) | has(i + 4))) | (has(i + 4) & has(i + 8))
+
+                return F.filter(starts, lambda i: (F.get(groups, i) == 1) | alone(i) | three(i))
 
-    start = F.array(F.struct(run.alias("text"), F.lit(None).cast("string").alias("kind")))
-    return F.aggregate(F.array(*[F.lit(n) for n in CARD_DIGITS]), start, step)
+            def step(state: Column, i: Column) -> Column:
+                return F.when(i >= state["end"], F.struct((i + F.get(groups, i)).alias("end"), F.concat(state["at"], F.array(i)).alias("at"))).otherwise(state)
+
+            starts = F.filter(F.sequence(F.lit(0), F.size(digits) - 1), lambda i: F.get(groups, i) > 0)
+            first = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+            return let(starts, lambda s: F.aggregate(let(s, kept), first, step)["at"])
+
+        def pieces(groups: Column) -> Column:
+            def stretch(begin: Column, end: Column, kind: str | None) -> Column:
+                return F.struct(F.array_join(F.slice(parts, begin + 1, end - begin), "").alias("text"), F.lit(kind).cast("string").alias("kind"))
+
+            def woven(at: Column) -> Column:
+                end = lambda k: F.coalesce(F.get(at, k) + F.get(groups, F.get(at, k)), F.lit(0))
+                cards = F.transform(at, lambda i, k: F.array(stretch(end(k - 1), i, None), stretch(i, i + F.get(groups, i), "card")))
+                return F.concat(F.flatten(cards), F.array(stretch(end(F.size(at) - 1), F.size(parts), None)))
+
+            return let(chosen(groups), woven)
+
+        return let(F.transform(digits, card_groups), pieces)
+
+    def parted(parts: Column) -> Column:
+        return let(F.transform(parts, digits_of), lambda digits: found(parts, digits))
+
+    return F.filter(let(F.regexp_extract_all(run, F.lit("[0-9]++[ -]?"), F.lit(0)), parted), lambda p: p["text"] != "")
 
 
 def pseudonym_phone(value: Column, key: str) -> Column:
@@ -248,7 +318,7 @@ def kind_of(value: Column) -> Column:
     return (
         F.when(value.contains("@"), F.lit("email")).when(value.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.lit("address")).when(value.startswith("+"), F.lit("phone"))
         .when(calendar_day(value).isNotNull(), F.lit("date"))
-        .when(value.rlike("^[0-9]{1,19}(?:[ -][0-9]+)*$") & (F.length(digits_of(value)) >= CARD_DIGITS[-1]), F.lit("run"))
+        .when(value.rlike("^[0-9]{1,19}(?:[ -][0-9]++)*+$") & (F.length(digits_of(value)) >= CARD_DIGITS[0]), F.lit("run"))
         .when(value.rlike(f"^(?:{NATIONAL})$"), F.lit("phone"))
         .when(value.rlike("^[0-9a-fA-F]{20,}$") | value.rlike("[a-fA-F]"), F.lit("secret")).otherwise(F.lit("other"))
     )
@@ -275,8 +345,22 @@ def tally(matches: Column, kind: str) -> Column:
     return F.size(F.filter(F.flatten(F.transform(matches, lambda match: match["kinds"])), lambda k: k == kind))
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEMONSTRATION_KEY) -> DataFrame:
-    """``docs`` with the text rewritten and ``n_pseudonyms``, an array of counts in the order of ``KINDS``."""
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; where it names none, a random one for this session alone."""
+    path = spark.conf.get(KEY_FILE_SETTING, None)
+    if path:
+        return spark.read.text(path).first()[0]
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
+
+
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """``docs`` with the text rewritten and ``n_pseudonyms``, an array of counts in the order of ``KINDS``.
+
+    Without a key the session's is taken; values stay linked across runs only under the same key.
+    """
+    key = key or session_key(docs.sparkSession)
     body = F.col(text)
     found = F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda v: let(kind_of(v), lambda k: rewritten(v, k, key)))
 

@@ -194,3 +194,34 @@ def test_empty_layout(spark):
     sharding.write_map(spark, path, 0, sharding.rebalanced(sharding.first_map(16, 8), {}, 8))
     assert rows_of(sharding.layout(records, sharding.read_map(spark, path), loads)) == []
     assert sharding.slotted(awkward_documents(spark)).count() == awkward_documents(spark).count()
+
+
+def test_long_runs_of_groups_and_labels_do_not_kill_the_task(spark):
+    texts = ["7341 " * 100_000, "12-" * 100_000 + "3", "a@" + "b." * 100_000 + "c", "9" * 300_000, "+49" + " 1" * 50_000, "4111 1111 1111 1111 " * 500, "1.2." * 50_000]
+    rows = feistel.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["text"] == t for r, t in zip(rows, texts)][:2] == [True, True] and rows[3]["text"] == texts[3] and rows[6]["text"] == texts[6]
+    assert rows[2]["text"] != texts[2] and rows[2]["text"].endswith("b.c") and rows[5]["n_pseudonyms"][5] == 500 and "4111" not in rows[5]["text"]
+
+
+def test_tables_of_figures_stay_and_cards_in_usual_layouts_go(spark):
+    import random
+
+    r = random.Random(9)
+    tables = [" ".join(str(r.randrange(*span)) for _ in range(300)) for span in ((10, 100), (1_000, 10_000), (1, 10**6), (100, 10**4), (1_000, 10_000), (10**5, 10**6)) for _ in range(30)]
+    rows = feistel.pseudonymise(spark.createDataFrame(list(enumerate(tables)), "doc_id long, text string")).collect()
+    changed = sum(a != b for row in rows for a, b in zip(tables[row["doc_id"]].split(), row["text"].split()))
+    assert changed < 300 * len(tables) / 1_000
+    cards = ["4111111111111111", "5555 5555 5555 4444", "3782 822463 10005", "3056-930902-5904", "4222 2222 22222", "6011111111111117", "2023 4111 1111 1111 1111", "4111 1111 1111 1111 2027",
+             "4111 1111 1111 1111 123", "6200 0000 0000 0000 000", "12 4111 1111 1111 1111 5555 5555 5555 4444 4111 1111 1111 1111 9"]
+    got = feistel.pseudonymise(spark.createDataFrame(list(enumerate(cards)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [g["n_pseudonyms"][5] for g in got] == [1] * 10 + [3]
+    assert got[6]["text"].startswith("2023 ") and got[7]["text"].endswith(" 2027") and got[8]["text"].endswith(" 123")
+    none = ["9111111111111111", "4111111111111112", "1234 5678 9012 3456", "0000 0000 0000 0000"]
+    assert [g["text"] for g in feistel.pseudonymise(spark.createDataFrame(list(enumerate(none)), "doc_id long, text string")).orderBy("doc_id").collect()] == none
+
+
+def test_key_of_the_session_decides(spark):
+    docs = spark.createDataFrame([(1, "4111111111111111 on 1984-02-29")], "doc_id long, text string")
+    one, two, again = (feistel.pseudonymise(docs, key=k).first()["text"] for k in ("a", "b", "a"))
+    assert one == again != two
+    assert feistel.pseudonymise(docs).first()["text"] == feistel.pseudonymise(docs).first()["text"] and len(spark.conf.get(feistel.KEY_SETTING)) == 64
