@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,15 @@ INDEX = "archive string, offset long, length long, record string"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload string"
 
 
+def rooted(spark: SparkSession, path: str, beside: str) -> str:
+    """``path`` as a URI. A path without a scheme is on the file system that Spark resolves such paths
+    against, which tasks cannot tell; it is read off the names of the files under ``beside``."""
+    if ":" in path.split("/")[0]:
+        return path
+    names = spark.read.format("binaryFile").load(beside).select("path").head(1)
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*(?=/))?", names[0][0])[0] + path if names else path
+
+
 def opened(path: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; ``file:/x`` is accepted as Hadoop writes it."""
     if path.startswith("file:"):
@@ -83,14 +93,16 @@ def write_monolithic(rows: DataFrame, path: str, records: int = RECORDS_PER_ARCH
 
 def inflated(stream) -> Iterator[bytes]:
     """Pieces of a stream of one or more gzip members."""
-    inflate = zlib.decompressobj(31)
+    inflate = None
     while piece := stream.read(CHUNK):
         while piece:
+            inflate = inflate or zlib.decompressobj(31)
             yield inflate.decompress(piece)
             piece = inflate.unused_data
             if inflate.eof:
-                inflate = zlib.decompressobj(31)
-    yield inflate.flush()
+                inflate = None
+    if inflate:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records_of(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -139,6 +151,7 @@ def normalise_one(source: str, target_dir: str) -> tuple[str, str, int]:
 
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite all archives under ``source`` into ``target``; a row for each (archive, index, records)."""
+    target = rooted(spark, target, source)
     files, path = opened(target)
     files.create_dir(path, recursive=True)
 
@@ -159,6 +172,8 @@ def read_index(spark: SparkSession, target: str) -> DataFrame:
 def read_records(index: DataFrame, target: str, with_payload: bool = True) -> DataFrame:
     """The records at the offsets of an index, each inflated on its own; digests and sizes of
     responses are those of the payload that was read."""
+    target = rooted(index.sparkSession, target, target)
+
     def number(field: str | None) -> int | None:
         tail = (field or "").removeprefix("<urn:page:").removesuffix(">")
         return int(tail) if tail not in ("", "null") else None
