@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,8 +43,13 @@ BLOCK_WEIGHT = 0.4
 
 #: Fixed values of HTML: elements without an end tag, elements inside a line, elements that are no text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = frozenset("head script style noscript template svg math iframe object canvas audio video select option textarea button title".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split())
+SILENT = frozenset("head script style noscript template svg annotation iframe object canvas audio video select option textarea button title".split())
+#: Silent elements that take no place in a line, and elements that no button holds: an open button ends before them.
+UNSEEN = frozenset("script style noscript template svg".split())
+NOT_IN_BUTTON = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre article section main aside header footer nav form figure".split())
+NOT_IN_DRAWING = NOT_IN_BUTTON | frozenset("body center dd div dt hr li menu ruby".split())
 #: Elements of one kind end an open one of the same kind, up to the container that may nest them.
 SIBLINGS = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
@@ -70,7 +75,10 @@ class Page(HTMLParser):
         self.parts: list[bool] = [False]
         self.texts: dict[int, str] = {}
         self.open: list[tuple[str, int]] = [("#root", 0)]
-        self.silent = 0
+        #: Depths of the open elements with a node, and of those of each tag: nothing walks through the open elements.
+        self.blocks: list[int] = [0]
+        self.depths: defaultdict[str, list[int]] = defaultdict(list)
+        self.silent = self.hush = 0  # open silent elements, and the depth of the outermost
         self.pieces: list[str] = []
         self.link_depth = 0
         self.linked = 0
@@ -89,7 +97,7 @@ class Page(HTMLParser):
         words = text.count(" ") + 1
         share = min(1.0, linked / len(text))
         low = text.lower()
-        tag = next(t for t, n in reversed(self.open) if n >= 0)
+        tag = self.open[self.blocks[-1]][0]
         self.features[node] += [
             f"in={'plain' if tag in PLAIN else tag}", f"words={min(7, words.bit_length())}", f"link={0 if share < 0.2 else 1 if share < 0.7 else 2}",
             f"end={text[-1] if text[-1] in '.!?:;' else 'x'}", f"stops={min(3, sum(text.count(m) for m in ('. ', ', ')))}",
@@ -101,7 +109,20 @@ class Page(HTMLParser):
         self.texts[node] = text
 
     def block_parent(self) -> int:
-        return next(n for _, n in reversed(self.open) if n >= 0)
+        return self.open[self.blocks[-1]][1]
+
+    def last(self, *tags: str) -> int:
+        """Depth of the innermost open element with one of the tags, 0 without one."""
+        return max((self.depths[tag][-1] for tag in tags if self.depths[tag]), default=0)
+
+    def push(self, tag: str, node: int) -> None:
+        if node >= 0:
+            self.blocks.append(len(self.open))
+        self.depths[tag].append(len(self.open))
+        if tag in SILENT and not self.silent:
+            self.hush = len(self.open)
+        self.open.append((tag, node))
+        self.silent += tag in SILENT
 
     def node(self, parent: int, mark: str | None) -> int:
         self.parents.append(parent)
@@ -114,20 +135,19 @@ class Page(HTMLParser):
         return "block" if node in self.texts else "part" if self.parts[node] else "edge"
 
     def pop_to(self, depth: int) -> None:
-        for tag, _ in self.open[depth:]:
+        while len(self.open) > depth:
+            tag, node = self.open.pop()
+            self.depths[tag].pop()
+            if node >= 0:
+                self.blocks.pop()
             self.silent -= tag in SILENT
             self.link_depth -= tag == "a"
-        del self.open[depth:]
 
     def close_sibling(self, closing: tuple[str, ...], until: tuple[str, ...]) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
+        while (depth := self.last(*closing)) > self.last(*until):
             tag = self.open[depth][0]
-            if tag in closing:
-                self.pop_to(depth)
-                if tag in ("td", "th") and "tr" in closing:
-                    continue
-                return
-            if tag in until:
+            self.pop_to(depth)
+            if tag not in ("td", "th") or "tr" not in closing:
                 return
 
     def close_head(self) -> None:
@@ -142,33 +162,32 @@ class Page(HTMLParser):
             if tag == "br":
                 self.pieces.append(" ")
             elif tag not in VOID:
-                self.open.append((tag, -1))
+                self.push(tag, -1)
                 self.link_depth += tag == "a"
             return
-        self.end_block()
+        if tag in NOT_IN_BUTTON and self.depths["button"]:
+            self.pop_to(self.depths["button"][-1])
+        if tag in NOT_IN_DRAWING and self.depths["svg"] and not self.depths["foreignobject"]:
+            self.pop_to(self.depths["svg"][0])
+        if tag not in UNSEEN and not self.silent:
+            self.end_block()
         if tag in SIBLINGS:
             self.close_sibling(*SIBLINGS[tag])
-        if tag not in SILENT or tag in ("button", "select", "textarea"):
-            for depth in range(len(self.open) - 1, 0, -1):
-                if self.open[depth][0] == "p":
-                    self.pop_to(depth)
-                    break
-                if self.open[depth][1] >= 0:
-                    break
+        if (tag not in SILENT or tag in ("button", "select", "textarea")) and self.open[self.blocks[-1]][0] == "p":
+            self.pop_to(self.blocks[-1])
         if tag in VOID:
             return
-        if tag == "body" and any(t == "head" for t, _ in self.open):
-            self.pop_to(next(i for i, (t, _) in enumerate(self.open) if t == "head"))
+        if tag == "body" and self.depths["head"]:
+            self.pop_to(self.depths["head"][0])
         fields = dict(attrs)
         node = self.node(self.block_parent(), fields.get("data-y"))
         names = {p.rstrip("s") or p for key in ("class", "id", "role") for p in NAME_PART.findall((fields.get(key) or "").lower())}
-        inside = any(t in ("article", "main") for t, _ in self.open)
+        inside = self.last("article", "main") > 0
         self.parts[node] = tag in PLAIN
         if tag not in PLAIN:
             self.features[node].append(f"tag={tag}{'@article' if inside and tag in REGIONS else ''}")
         self.features[node] += sorted(f"name={n}" for n in names)
-        self.open.append((tag, node))
-        self.silent += tag in SILENT
+        self.push(tag, node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -176,12 +195,12 @@ class Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in VOID or not any(t == tag for t, _ in self.open[1:]):
+        depth = self.last(tag)
+        if tag in VOID or not depth:
             return
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in UNSEEN and (not self.silent or depth <= self.hush):
             self.end_block()
-        depth = max(i for i, (t, _) in enumerate(self.open) if t == tag)
-        if tag in INLINE and any(n >= 0 for _, n in self.open[depth:]):
+        if tag in INLINE and self.blocks[-1] > depth:
             return  # a block is open inside: the line element goes with it
         self.pop_to(depth)
 

@@ -218,3 +218,45 @@ def test_head_ends_without_its_end_tag_or_a_body_tag():
         texts = list(htmltext.Page(page).texts.values())
         assert texts and all(t == words.strip() for t in texts), page
     assert list(htmltext.Page("<head><title>T</title><noscript><p>no</p></noscript><script>x</script></head><body><p>yes").texts.values()) == ["yes"]
+
+
+def test_cut_archives_are_refused(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 30) for i in range(7)], "page_id long, url string, html string")
+    whole = b"".join(f"WARC/1.1\r\nContent-Length: 3\r\n\r\nab{i}\r\n\r\n".encode() for i in range(7))
+    packer = __import__("zlib").compressobj(5, 8, 31)
+    flushed = packer.compress(whole[:len(whole) // 7 * 3]) + packer.flush(__import__("zlib").Z_FULL_FLUSH)
+    rest = packer.compress(whole[len(whole) // 7 * 3:]) + packer.flush()
+    import io
+
+    assert len(list(warc.records_of(warc.inflated(io.BytesIO(flushed + rest))))) == 7
+    for cut in (flushed, flushed + rest[:-1], flushed + rest[:-8]):
+        with pytest.raises(ValueError):
+            list(warc.records_of(warc.inflated(io.BytesIO(cut))))
+    assert warc.rooted(spark, "s3://bucket/x", "y") == "s3://bucket/x"
+    warc.write_monolithic(warc.with_roles(pages), str(tmp_path / "raw"))
+    assert warc.rooted(spark, str(tmp_path / "out"), str(tmp_path / "raw")).startswith("file:")
+
+
+def blocks_of(html):
+    return list(htmltext.Page(html).texts.values())
+
+
+def test_silence_ends_with_its_element():
+    assert blocks_of("<p>before</p><button>ok<p>one</p><p>two</p>") == ["before", "one", "two"]
+    assert blocks_of("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</p>") == ["a x=1 b"]
+    assert blocks_of("<p>a<script>var x;</script>b <svg><path d=1><text>t</text></svg>c</p>") == ["ab c"]
+    assert blocks_of("<div><button>Menu</button> text</div>") == ["text"] and blocks_of("<select><option>a<option>b</select><p>c") == ["c"]
+    assert blocks_of("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == ["a", "b", "c", "d"] and blocks_of("<table><tr><td>a<td>b<tr><td>c</table>") == ["a", "b", "c"]
+
+
+def test_deep_and_unclosed_pages_take_time_in_proportion():
+    import time
+
+    def took(size):
+        start = time.process_time()
+        page = htmltext.Page("<b>" * size + "<p>x" * size + "<div>" * size + "y")
+        assert len(page.texts) == size + 1
+        return time.process_time() - start
+
+    took(1_000)
+    assert took(40_000) < 10
