@@ -4,8 +4,8 @@ Every stage is one operator of ``contrastry.llm`` on all rows that the stage bef
 result is written as Parquet under the shared folder and read again, so a stage that loses
 executors only repeats itself. All stages but the last return the columns of ``documents``.
 
-Defined results: documents without words are rejected by the first stage; rows with a NULL id
-cannot be named by a duplicate class and stay; of repeated rows one stays; columns beyond those
+Defined results: documents without words are rejected by the first stage; different texts that
+share an id, or have none, are documents of their own; of repeated rows one stays; columns beyond those
 of ``documents`` are dropped; an empty table runs through to an empty result.
 """
 
@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contrastry.functions.ordered import ordered_rank
 from contrastry.llm import bpe, decontaminate, feistel, jaccard, linequality
 from contrastry.llm.inputs import table
-from contrastry.session import scratch_path
+from contrastry.session import materialize, scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,11 +32,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the smallest id stays."""
-    classes = jaccard.jaccard_classes(docs)
-    chosen = classes.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """Of each class of linked documents one row stays: that of the smallest id, then of the smallest text hash.
+
+    Rows are told apart by a number of their own for each distinct (id, text), not by the id: texts
+    under one id, or under none, are documents of their own.
+    """
+    rows = materialize(docs.select(*COLUMNS).withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), "rows-by-text")
+    order = [F.col("doc_id").asc_nulls_last(), F.col("text_key")]
+    keys = materialize(ordered_rank(rows.select("doc_id", "text_key").distinct(), [], order, "row_key"), "row-keys")
+    alone = F.struct("lang", "source", "n_chars", "text")
+    distinct = materialize(rows.join(keys, rows.text_key.eqNullSafe(keys.text_key) & rows.doc_id.eqNullSafe(keys.doc_id)).groupBy("row_key").agg(
+        F.first(rows.doc_id).alias("doc_id"), F.min(alone).alias("row")), "distinct-rows")
+    classes = jaccard.jaccard_classes(distinct.select(F.col("row_key").cast("long").alias("doc_id"), F.col("row.text").alias("text")))
+    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias("row_key"))
+    return distinct.join(chosen, "row_key", "left_semi").select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars").select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
