@@ -121,15 +121,43 @@ def group_quantiles(
 
     ``weight`` is a multiplicity column: the quantile is that of the rows repeated
     so many times (used by the resampling operators).
+
+    Selection instead of ordering: a first pass counts rows by block and finds the blocks that
+    hold the wanted positions; only the rows of these blocks are shuffled and ordered. The mean
+    and the count come from the first pass too. ``df`` is read twice.
     """
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(n.alias("_n"))
-    aggs = [quantile_of("_v", "_n", q).alias(name) for name, q in outputs.items()]
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), *([F.col(weight).alias("_w")] if weight else []))
+    rows = rows.withColumn(BLOCK, value_block(F.col("_v"), blocks_per_octave(df)))
+    times = F.col("_w") if weight else F.lit(1).cast("long")
+    n = F.sum("_w") if weight else F.count(F.lit(1))
+    along = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    held = rows.groupBy(*keys, BLOCK).agg(n.alias("_n"), *([F.sum(F.col("_v") * times).alias("_s")] if mean else []))
+    placed = held.select(
+        *keys, BLOCK, "_n", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset"), F.sum("_n").over(whole).alias("_n_total"),
+        *([(F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_mean")] if mean else []),
+    )
+
+    def inside(position: Column) -> Column:
+        return (F.col("_offset") <= position) & (position < F.col("_offset") + F.col("_n"))
+
+    wanted = F.lit(False)
+    for q in outputs.values():
+        position = (F.col("_n_total") - 1.0) * q
+        wanted = wanted | inside(F.floor(position)) | inside(F.ceil(position))
+    chosen = placed.where(wanted).drop("_n")
+    shared = ["_offset", "_n_total", *(["_mean"] if mean else [])]
+    cells = rows.join(chosen, [*keys, BLOCK]).groupBy(*keys, BLOCK, "_v").agg(n.alias("_n"), *[F.first(c).alias(c) for c in shared])
+    before = Window.partitionBy(*keys, BLOCK).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = cells.withColumn("_n_before", F.col("_offset") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # a value that changed between the passes must not pass for a missing one
+    aggs = [F.coalesce(quantile_of("_v", "_n", q), F.raise_error(F.lit("values changed between two reads")).cast("double")).alias(name) for name, q in outputs.items()]
     if mean:
-        aggs.append((F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")).alias(mean))
+        aggs.append(F.first("_mean").alias(mean))
     if count:
-        aggs.append(F.sum("_n").alias(count))
-    return running_totals(cells, keys, "_v", ["_n"]).groupBy(*keys).agg(*aggs)
+        aggs.append(F.first("_n_total").alias(count))
+    return ordered.groupBy(*keys).agg(*aggs)
 
 
 def unit_medians(df: DataFrame, keys: Sequence[str], outputs: Mapping[str, str]) -> DataFrame:

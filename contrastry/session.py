@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+INFERENCE = "spark.sql.constraintPropagation.enabled"
+
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -39,8 +41,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Cut lineage with a written table; survives the loss of any executor."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, label: str = "stage", *, inferred: bool = True) -> DataFrame:
+    """Cut lineage with a written table; survives the loss of any executor.
+
+    ``inferred=False`` plans the job without inferred filters: over expressions of many columns
+    Spark derives one for every combination of their aliases.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(INFERENCE, "true")
+    if not inferred:
+        spark.conf.set(INFERENCE, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(INFERENCE, before)
+    return spark.read.schema(df.schema).parquet(path)

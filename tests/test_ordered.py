@@ -159,3 +159,32 @@ def test_student_t_quantiles(spark):
     df = spark.createDataFrame([(n,) for n in [0, *known]], "n long").select("n", expr.student_t_quantile(F.col("n")).alias("t"))
     got = {r.n: r.t for r in df.collect()}
     assert got.pop(0) is None and got == pytest.approx(known, abs=6e-5)
+
+
+def test_replicates_match_repeated_rows(spark):
+    from contrastry.functions import replicates
+
+    rng = random.Random(12)
+    rows = [(k, arm, rng.choice([0.0, float(rng.randrange(5)), rng.uniform(-3, 900)]), [rng.choice((0, 0, 1, 1, 2, 5)) for _ in range(5)]) for k in ("a", "b") for arm in "tn" for _ in range(60)]
+    rows += [("alone", "t", 1.0, [1, 0, 1, 0, 1]), ("alone", "n", 1.0, [1, 1, 0, 0, 1])]
+    df = spark.createDataFrame(rows, "k string, arm string, v double, times array<int>")
+    numbers = [-1, 0, 1, 2, 3]
+    medians = {(r.k, r.arm, r.replicate): r.m for r in replicates.replicated_quantile(df, ["k", "arm"], "v", "times", numbers, "m").collect()}
+    upper = {(r.k, r.arm, r.replicate): r.m for r in replicates.replicated_quantile(df, ["k", "arm"], "v", "times", numbers, "m", 0.9).collect()}
+    effects = {(r.k, r.replicate): (r.effect, r.median_t, r.median_n) for r in replicates.replicated_rank_effects(df, ["k"], "arm", "v", "times", numbers).collect()}
+    for k in ("a", "b", "alone"):
+        for i, number in enumerate(numbers):
+            repeated = {arm: [v for kk, a, v, times in rows if kk == k and a == arm for _ in range(times[i])] for arm in "tn"}
+            for arm, values in repeated.items():
+                if values:
+                    assert medians[k, arm, number] == pytest.approx(float(np.median(values)), rel=1e-12)
+                    assert upper[k, arm, number] == pytest.approx(float(np.quantile(values, 0.9)), rel=1e-9)
+                else:
+                    assert (k, arm, number) not in medians
+            t, n = repeated["t"], repeated["n"]
+            if t and n:
+                u = sum((x > y) + 0.5 * (x == y) for x in t for y in n)
+                assert effects[k, number][0] == pytest.approx(2 * u / (len(t) * len(n)) - 1, abs=1e-12)
+                assert effects[k, number][1:] == (pytest.approx(float(np.median(t))), pytest.approx(float(np.median(n))))
+            else:
+                assert (k, number) not in effects
