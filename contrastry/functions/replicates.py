@@ -94,7 +94,8 @@ def replicated_quantile(values: DataFrame, keys: Sequence[str], value: str, time
     held = rows.groupBy(*keys, BLOCK).agg(*w.sums())
     along = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     placed = held.select(*keys, BLOCK, *w.columns, *w.over(along, "_off"), *w.over(Window.partitionBy(*keys), "_all"))
-    chosen = placed.where(F.exists(_holding(w.lanes("_off"), w.lanes(), w.lanes("_all"), q), lambda s: s.isNotNull())).drop(*w.columns)
+    holds = F.exists(_holding(w.lanes("_off"), w.lanes(), w.lanes("_all"), q), lambda s: s.isNotNull())
+    chosen = materialize(placed.where(holds).drop(*w.columns), "blocks", inferred=False)  # a few rows for each group
     cells = rows.join(chosen.select(*keys, BLOCK), [*keys, BLOCK], "left_semi").groupBy(*keys, BLOCK, "_v").agg(*w.sums())
     before = Window.partitionBy(*keys, BLOCK).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ordered = cells.select(*keys, BLOCK, "_v", *w.columns, *w.over(before, "_in")).join(chosen, [*keys, BLOCK])
@@ -124,7 +125,7 @@ def replicated_rank_effects(rows: DataFrame, keys: Sequence[str], arm: str, valu
     def begin(p: Packed) -> Column:
         return F.zip_with(p.lanes("_off"), p.lanes("_in"), lambda a, b: a + b)
 
-    ordered = inner.select(*keys, "_v", *[c for p in (t, n) for c in (p.lanes().alias(p.name), begin(p).alias(f"{p.name}_begin"), p.lanes("_all").alias(f"{p.name}_total"))])
+    ordered = materialize(inner.select(*keys, "_v", *[c for p in (t, n) for c in (p.lanes().alias(p.name), begin(p).alias(f"{p.name}_begin"), p.lanes("_all").alias(f"{p.name}_total"))]), "cells", inferred=False)
     # what a cell adds to the rank sum of arm t: its draws there, each at the middle rank of the cell
     size = F.zip_with("_t", "_n", lambda a, b: (a + b + 1) / F.lit(2.0))
     middle = F.zip_with(F.zip_with("_t_begin", "_n_begin", lambda a, b: a + b), size, lambda a, b: a + b)
