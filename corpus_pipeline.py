@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrastry.functions.ordered import ordered_rank
 from contrastry.llm import bpe, decontaminate, feistel, jaccard, linequality
 from contrastry.llm.inputs import table
 from contrastry.session import materialize, scratch_path
@@ -34,18 +33,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents one row stays: that of the smallest id, then of the smallest text hash.
 
-    Rows are told apart by a number of their own for each distinct (id, text), not by the id: texts
-    under one id, or under none, are documents of their own.
+    Rows are told apart by a hash of (id, text), not by the id: texts under one id, or under none,
+    are documents of their own. Only keys are grouped to choose; should two rows share a key, both stay.
     """
-    rows = materialize(docs.select(*COLUMNS).withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)), "rows-by-text")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text_key")]
-    keys = materialize(ordered_rank(rows.select("doc_id", "text_key").distinct(), [], order, "row_key"), "row-keys")
-    alone = F.struct("lang", "source", "n_chars", "text")
-    distinct = materialize(rows.join(keys, rows.text_key.eqNullSafe(keys.text_key) & rows.doc_id.eqNullSafe(keys.doc_id)).groupBy("row_key").agg(
-        F.first(rows.doc_id).alias("doc_id"), F.min(alone).alias("row")), "distinct-rows")
-    classes = jaccard.jaccard_classes(distinct.select(F.col("row_key").cast("long").alias("doc_id"), F.col("row.text").alias("text")))
-    chosen = classes.where("doc_id = component_id").select(F.col("doc_id").alias("row_key"))
-    return distinct.join(chosen, "row_key", "left_semi").select("doc_id", "row.text", "row.lang", "row.source", "row.n_chars").select(*COLUMNS)
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("row_key"))
+    classes = materialize(jaccard.jaccard_classes(keyed.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id").distinct(), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_key"), "row_key")
+    chosen = keyed.select("row_key", order.alias("order")).join(classes, "row_key").groupBy("component_id").agg(F.min("order").alias("first")).select("first.row_key")
+    kept = keyed.join(chosen, "row_key", "left_semi").groupBy("row_key", "doc_id", "text").agg(*[F.min(c).alias(c) for c in COLUMNS[2:]])
+    return kept.select(*COLUMNS)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
