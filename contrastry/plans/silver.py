@@ -101,22 +101,26 @@ _MUTATION_SQL = f"""SELECT *, CASE WHEN {_N} IN {ge._in(ge.m_ops.PROTEIN_ALTERIN
 
 # ---------------------------------------------------------------- matrices and counts
 
-UNITS = [f"U{i}" for i in range(16)]
+#: Samples of a file that the capped landings keep.
+MATRIX_CAP, COUNT_CAP = 10, 12
 
 
 def _matrix_rows(s, d, value: str):
-    """One wide line per (cohort, gene): the fixed sixteen units in order, blank where unmeasured."""
-    rows = st.dense(s, d).where("_arm = 'n'")
-    cells = rows.groupBy("cancer_type", "gene_symbol").agg(*[F.max(F.when(F.col("unit_id") == u, F.col(value))).alias(u) for u in UNITS])
-    return cells, [F.coalesce(F.col(u).cast("string"), F.lit("")) for u in UNITS]
+    """(cohort, gene, cells): one cell for each sample of the dense table in order of its name, blank where unmeasured; and the names."""
+    rows = st.dense(s, d)
+    names = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(st.unit_count(s, d, "dense") - 1)), lambda u: F.transform(
+        F.array(F.lit("a"), F.lit("n"), F.lit("t")), lambda arm: F.concat(arm, F.lit("-U"), u))))
+    # one entry for each column of the file; a line is as wide as its file
+    held = rows.groupBy("cancer_type", "gene_symbol").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col(value).cast("string")))).alias("_held"))
+    return held.select("cancer_type", "gene_symbol", F.transform(names, lambda n: F.coalesce(F.try_element_at("_held", n), F.lit(""))).alias("cells")), names
 
 
 def matrix_path(s, d):
-    cells, columns = _matrix_rows(s, d, "native_value")
+    lines, names = _matrix_rows(s, d, "native_value")
     gene = F.concat(F.lit("ENSG"), F.regexp_extract("gene_symbol", r"(\d+)", 1), F.lit(".7"))
-    body = cells.select(F.col("cancer_type").alias("name"), F.concat_ws("\t", F.lit("0"), gene, "gene_symbol", *columns).alias("value"))
-    head = F.concat_ws("\t", F.lit("id"), F.lit("Name"), F.lit("Description"), *[F.concat(F.lit("GTEX-"), "name", F.lit(f"-{u}")) for u in UNITS])
-    return _write_lines(_with_headers(body, [F.lit("#1.3"), F.lit("25\t16"), head]), "matrix")
+    body = lines.select(F.col("cancer_type").alias("name"), F.concat(F.concat_ws("\t", F.lit("0"), gene, "gene_symbol"), F.lit("\t"), F.array_join("cells", "\t")).alias("value"))
+    head = F.concat(F.lit("id\tName\tDescription\t"), F.array_join(F.transform(names, lambda n: F.concat(F.lit("GTEX-"), "name", F.lit("-"), n)), "\t"))
+    return _write_lines(_with_headers(body, [F.lit("#1.3"), F.lit("25\t48"), head]), "matrix")
 
 
 def _tissues(s):
@@ -125,9 +129,14 @@ def _tissues(s):
 
 @v.mart("landed_matrix")
 def landed_matrix(s, d):
+    """All samples of all arms."""
     raw = land.lines(s, matrix_path(s, d), folders=True)
     require_none(land.malformed_matrices(raw), "malformed matrix file")
-    return land.land_matrix(raw, _tissues(s), cap=10)
+    return land.land_matrix(raw, _tissues(s))
+
+
+def capped_matrix(s, d):
+    return land.land_matrix(land.lines(s, matrix_path(s, d), folders=True), _tissues(s), cap=MATRIX_CAP)
 
 
 def attributes(s, d):
@@ -135,34 +144,38 @@ def attributes(s, d):
     return samples.select(F.col("gtex_sample_id").alias("SAMPID"), F.when(F.col("gtex_sample_id").endswith("U3"), "elsewhere").otherwise(F.col("tissue_site")).alias("SMTSD"))
 
 
-v.SQL_VIEWS["matrix"] = (("dense",), """
-    SELECT 'GTEX-' || c || '-' || u AS gtex_sample_id, 'GTEX-' || c AS donor_id, c || ' tissue' AS tissue_site, c || ' tissue' AS tissue_detail, 'ENSG' || regexp_extract(g, '(\\d+)', 1) AS gene_id, g AS gene_symbol,
-           coalesce(native_value, 0) AS expression_value, 'TPM' AS expression_unit, log2(coalesce(native_value, 0) + 1) AS log2_expression, 'v8' AS source_version
-    FROM (SELECT DISTINCT cancer_type AS c, gene_symbol AS g FROM dense WHERE _arm = 'n'), (SELECT 'U' || i AS u FROM range(0, 10) r(i))
-    LEFT JOIN (SELECT * FROM dense WHERE _arm = 'n') ON cancer_type = c AND gene_symbol = g AND unit_id = u""")
+v.SQL_VIEWS["matrix"] = (("dense",), f"""
+    SELECT 'GTEX-' || c || '-' || y AS gtex_sample_id, 'GTEX-' || c AS donor_id, c || ' tissue' AS tissue_site, c || ' tissue' AS tissue_detail, 'ENSG' || regexp_extract(g, '(\\d+)', 1) AS gene_id, g AS gene_symbol,
+           coalesce(native_value, 0) AS expression_value, 'TPM' AS expression_unit, log2(coalesce(native_value, 0) + 1) AS log2_expression, 'v8' AS source_version, k AS _place
+    FROM (SELECT DISTINCT cancer_type AS c, gene_symbol AS g FROM dense),
+         (SELECT a || '-U' || i AS y, 3 * i + p AS k FROM range(0, {st._unit_count_sql('dense')}) r(i), (VALUES ('a', 0), ('n', 1), ('t', 2)) arms(a, p))
+    LEFT JOIN dense ON cancer_type = c AND gene_symbol = g AND sample_id = y""")
 
 
-def counts(s, d):
-    cells, columns = _matrix_rows(s, d, "recount_value")
+def counts(s, d, cap=None):
+    lines, names = _matrix_rows(s, d, "recount_value")
     gene = F.concat(F.lit("ENSG"), F.regexp_extract("gene_symbol", r"(\d+)", 1), F.lit(".1"))
-    body = cells.select(F.col("cancer_type").alias("name"), F.concat_ws("\t", gene, *columns).alias("value"))
-    head = F.concat_ws("\t", F.lit("gene_id"), *[F.concat("name", F.lit(f"-{u}")) for u in UNITS])
+    body = lines.select(F.col("cancer_type").alias("name"), F.concat(gene, F.lit("\t"), F.array_join("cells", "\t")).alias("value"))
+    head = F.concat(F.lit("gene_id\t"), F.array_join(F.transform(names, lambda n: F.concat("name", F.lit("-"), n)), "\t"))
     path = _write_lines(_with_headers(body, [F.lit("##annotation=G029"), F.lit("##date=2020"), head]), "counts")
-    units = st.dense(s, d).where("_arm = 'n'").select("cancer_type", "unit_id").distinct()
-    metadata = units.select(
-        F.concat_ws("-", "cancer_type", "unit_id").alias("sample_id"), F.col("cancer_type").alias("cohort"), F.lit("GTEX").alias("source"), F.lit("").alias("project_id"),
-        F.lit("Normal").alias("sample_type"), F.concat("cancer_type", F.lit(" tissue")).alias("tissue_site"))
-    number = F.substring("unit_id", 2, 5).cast("double")
-    qc = units.select(F.concat_ws("-", "cancer_type", "unit_id").alias("sample_id"), (number * 1e7).alias("auc"))
-    selected = land.select_count_samples(metadata, qc, cap=12)
+    samples = st.dense(s, d).select("cancer_type", "unit_id", "sample_id", "_arm").distinct()
+    identity = F.concat_ws("-", "cancer_type", "sample_id").alias("sample_id")
+    normal = F.col("_arm") == "n"
+    metadata = samples.select(
+        identity, F.concat_ws(" ", "cancer_type", "_arm").alias("cohort"), F.when(normal, "GTEX").otherwise("TCGA").alias("source"), F.when(normal, "").otherwise(F.col("cancer_type")).alias("project_id"),
+        F.when(normal, "Normal").when(F.col("_arm") == "t", "Primary Tumor").otherwise("Solid Tissue Normal").alias("sample_type"), F.when(normal, F.concat("cancer_type", F.lit(" tissue"))).otherwise("").alias("tissue_site"))
+    qc = samples.select(identity, (F.substring("unit_id", 2, 9).cast("double") * 1e7).alias("auc"))
+    selected = land.select_count_samples(metadata, qc, cap=cap)
     annotation = st.dense(s, d).select(F.concat(F.lit("ENSG"), F.regexp_extract("gene_symbol", r"(\d+)", 1), F.lit(".1")).alias("raw_gene_id"), "gene_symbol").distinct()
     return rounded(land.land_counts(land.lines(s, path, folders=True), selected, annotation))
 
 
-_COUNTS_SQL = """SELECT 'GTEX' AS source, '' AS project_id, cancer_type || '-' || unit_id AS sample_id, 'Normal' AS sample_type, cancer_type || ' tissue' AS tissue_site, 'ENSG' || regexp_extract(gene_symbol, '(\\d+)', 1) AS gene_id,
+def _counts_sql(cap: int | None) -> str:
+    first = f"QUALIFY row_number() OVER (PARTITION BY cancer_type, _arm ORDER BY cancer_type || '-' || sample_id) <= {cap}" if cap else ""
+    return f"""SELECT CASE _arm WHEN 'n' THEN 'GTEX' ELSE 'TCGA' END AS source, CASE _arm WHEN 'n' THEN '' ELSE cancer_type END AS project_id, cancer_type || '-' || sample_id AS sample_id,
+    CASE _arm WHEN 'n' THEN 'Normal' WHEN 't' THEN 'Primary Tumor' ELSE 'Solid Tissue Normal' END AS sample_type, CASE _arm WHEN 'n' THEN cancer_type || ' tissue' ELSE '' END AS tissue_site, 'ENSG' || regexp_extract(gene_symbol, '(\\d+)', 1) AS gene_id,
     gene_symbol, round(recount_value * (4e7::DOUBLE / (CAST(substr(unit_id, 2) AS DOUBLE) * 1e7::DOUBLE)), 6) AS expression_value, 'AUC-scaled coverage count (40M target)' AS expression_unit, 'G029' AS external_annotation
-    FROM dense JOIN (SELECT cancer_type, unit_id FROM (SELECT DISTINCT cancer_type, unit_id FROM dense WHERE _arm = 'n' AND unit_id <> 'U0')
-      QUALIFY row_number() OVER (PARTITION BY cancer_type ORDER BY cancer_type || '-' || unit_id) <= 12) USING (cancer_type, unit_id) WHERE _arm = 'n'"""
+    FROM dense JOIN (SELECT cancer_type, _arm, sample_id FROM (SELECT DISTINCT cancer_type, _arm, unit_id, sample_id FROM dense WHERE unit_id <> 'U0') {first}) USING (cancer_type, _arm, sample_id)"""
 
 
 # ---------------------------------------------------------------- annotation, gene sets, metadata
@@ -275,7 +288,9 @@ QUERIES = {
     "landing_expression_matrix": lambda s, d: rounded(landed_matrix.fresh(s, d).drop("data_origin")),
     "landing_matrix_report": lambda s, d: land.matrix_report(landed_matrix(s, d)),
     "landing_tissue_mismatches": lambda s, d: land.tissue_mismatches(landed_matrix(s, d), attributes(s, d)),
+    "landing_expression_matrix_capped": lambda s, d: rounded(capped_matrix(s, d).drop("data_origin")),
     "landing_scaled_counts": counts,
+    "landing_scaled_counts_capped": lambda s, d: counts(s, d, COUNT_CAP),
     "landing_gene_annotation": annotation,
     "landing_gene_sets": lambda s, d: land.land_gene_sets(_gmt(s, d)),
     "landing_gene_set_structure": lambda s, d: land.gene_set_structure(_gmt(s, d)),
@@ -309,10 +324,12 @@ QUERIES = {
 SQL = {
     "landing_expression_files": _EXPRESSION_SQL,
     "landing_mutation_files": _MUTATION_SQL,
-    "landing_expression_matrix": v.sql(v.rounds("expression_value log2_expression", "matrix"), "matrix"),
+    "landing_expression_matrix": v.sql(v.rounds("expression_value log2_expression", "(SELECT * EXCLUDE _place FROM matrix)"), "matrix"),
+    "landing_expression_matrix_capped": v.sql(v.rounds("expression_value log2_expression", f"(SELECT * EXCLUDE _place FROM matrix WHERE _place < {MATRIX_CAP})"), "matrix"),
     "landing_matrix_report": v.sql("SELECT tissue_site, count(*) AS row_count, count(DISTINCT gtex_sample_id) AS sample_count, count(DISTINCT gene_id) AS gene_count FROM matrix GROUP BY 1", "matrix"),
     "landing_tissue_mismatches": v.sql("SELECT DISTINCT gtex_sample_id, tissue_site, 'elsewhere' AS declared FROM matrix WHERE gtex_sample_id LIKE '%U3'", "matrix"),
-    "landing_scaled_counts": v.sql(_COUNTS_SQL, "dense"),
+    "landing_scaled_counts": v.sql(_counts_sql(None), "dense"),
+    "landing_scaled_counts_capped": v.sql(_counts_sql(COUNT_CAP), "dense"),
     "landing_gene_annotation": "SELECT 'ENSG' || p_partkey || '.' || p_size AS raw_gene_id, upper(p_name) AS gene_symbol FROM part",
     "landing_gene_sets": v.sql("SELECT CASE WHEN pathway_id LIKE '%5' THEN 'R-HSA-' || substr(pathway_id, 5) ELSE pathway_id END AS pathway_id, pathway_name, pathway_source, gene_symbol FROM gene_sets", "gene_sets"),
     "landing_gene_set_structure": v.sql("SELECT count(DISTINCT pathway_id) AS set_lines, 0::BIGINT AS short_lines, count(*) + count(DISTINCT pathway_id) AS member_entries, true AS accepted FROM gene_sets", "gene_sets"),

@@ -20,9 +20,23 @@ SEED, RUNS, TOP_K, TIE_DRAWS = 20, 20, (5, 10), 10
 
 # ---------------------------------------------------------------- complete gene x sample tables
 
-def _grid(s, d, gene: str, units: int):
-    """Median value per (cohort, gene, arm, unit): customers fold into a fixed number of units."""
-    unit = F.concat(F.lit("U"), F.pmod(F.substring("case_id", 2, 20).cast("long"), F.lit(units)))
+#: Table: fewest units, and customers that share a unit beyond them. A unit must hold enough of them to measure every gene.
+UNIT_SHARES = {"dense": (16, 93), "panel": (6, 500)}
+
+
+def unit_count(s, d, table: str) -> int:
+    fewest, share = UNIT_SHARES[table]
+    return max(fewest, v.table(s, d, "customer").count() // share)
+
+
+def _unit_count_sql(table: str) -> str:
+    fewest, share = UNIT_SHARES[table]
+    return f"(SELECT greatest({fewest}, count(*) // {share}) FROM customer)"
+
+
+def _grid(s, d, gene: str, table: str):
+    """Median value per (cohort, gene, arm, unit); the units grow with the customers."""
+    unit = F.concat(F.lit("U"), F.pmod(F.substring("case_id", 2, 20).cast("long"), F.lit(unit_count(s, d, table))))
     arms = F.create_map(*[F.lit(x) for x in ("A", "t", "R", "a", "N", "n")])
     symbol = F.col("gene_symbol") if gene == "product" else F.substring_index("gene_symbol", "_", 1)
     rows = v.measurements(s, d).select(
@@ -34,25 +48,25 @@ def _grid(s, d, gene: str, units: int):
     return medians.withColumn("sample_id", sample)
 
 
-def _grid_sql(gene: str, units: int) -> str:
+def _grid_sql(gene: str, table: str) -> str:
     return f"""SELECT *, _arm || '-' || unit_id AS sample_id FROM (
         SELECT cohort AS cancer_type, {gene} AS gene_symbol, CASE arm WHEN 'A' THEN 't' WHEN 'R' THEN 'a' ELSE 'n' END AS _arm,
-               'U' || (CAST(substr(case_id, 2) AS BIGINT) % {units}) AS unit_id, median(value) AS native_value, median(alt_value) AS recount_value
+               'U' || (CAST(substr(case_id, 2) AS BIGINT) % {_unit_count_sql(table)}) AS unit_id, median(value) AS native_value, median(alt_value) AS recount_value
         FROM measurements GROUP BY ALL)"""
 
 
-v.SQL_VIEWS["dense"] = (("measurements",), _grid_sql("split_part(gene_symbol, '_', 1)", 16))
-v.SQL_VIEWS["panel"] = (("measurements",), _grid_sql("gene_symbol", 6))
+v.SQL_VIEWS["dense"] = (("measurements",), _grid_sql("split_part(gene_symbol, '_', 1)", "dense"))
+v.SQL_VIEWS["panel"] = (("measurements",), _grid_sql("gene_symbol", "panel"))
 
 
 @mart("dense")
 def dense(s, d):
-    return _grid(s, d, "brand", 16)
+    return _grid(s, d, "brand", "dense")
 
 
 @mart("panel")
 def panel(s, d):
-    return _grid(s, d, "product", 6)
+    return _grid(s, d, "product", "panel")
 
 
 def native_rows(df):

@@ -97,6 +97,8 @@ VALUE_NAMES = (
 STAR_VALUES = ("tpm_unstranded", "fpkm_unstranded", "fpkm_uq_unstranded", "unstranded", "read_count", "count")
 HTSEQ_VALUES = ("count", "read_count", "unstranded")
 FPKM_VALUES = ("fpkm_uq_unstranded", "fpkm_unstranded", "fpkm")
+#: Columns of a wide line that become rows together.
+TILE = 1_000
 SUMMARY_ROWS = ("n_unmapped", "n_multimapping", "n_nofeature", "n_ambiguous")
 
 
@@ -180,23 +182,38 @@ def land_matrix(raw: DataFrame, tissues: DataFrame, *, cap: int | None = None, v
     fields = F.split("value", "\t")
     header_line = F.lower("value").rlike("^id\\tname\\tdescription\\t")
     matrix = raw.where(F.instr("value", "\t") > 0)
-
-    def columns(df: DataFrame) -> DataFrame:
-        cells = F.slice(fields, 4, F.greatest(F.size(fields) - 3, F.lit(0)))
-        return df.select("file_name", "file_path", fields[1].alias("_raw"), fields[2].alias("gene_symbol"), F.posexplode(cells).alias("_pos", "_cell"))
-
-    samples = columns(matrix.where(header_line)).select("file_path", "_pos", F.col("_cell").alias("gtex_sample_id"))
-    samples = samples if cap is None else samples.where(F.col("_pos") < cap)
+    names = matrix.where(header_line).select("file_path", F.posexplode(_behind(fields, 3)).alias("_pos", "gtex_sample_id"))
+    names = names if cap is None else names.where(F.col("_pos") < cap)
     # dimension lines ("genes<TAB>samples") have no name column
-    data = columns(matrix.where(~header_line & (F.size(fields) >= 4)))
+    data = matrix.where(~header_line & (F.size(fields) >= 4)).select("file_name", "file_path", fields[1].alias("_raw"), fields[2].alias("gene_symbol"), _behind(fields, 3).alias("_cells"))
     value = F.coalesce(F.col("_cell").try_cast("double"), F.lit(0.0))
-    return data.join(samples, ["file_path", "_pos"]).join(tissues, "file_name").select(
+    return selected_cells(data, names, ["gtex_sample_id"]).join(tissues, "file_name").select(
         "gtex_sample_id", donor_id(F.col("gtex_sample_id")).alias("donor_id"), "tissue_site", F.col("tissue_site").alias("tissue_detail"),
         strip_gene_version(F.col("_raw")).alias("gene_id"), "gene_symbol", value.alias("expression_value"), F.lit("TPM").alias("expression_unit"),
         log2p1(value).alias("log2_expression"), F.lit(version).alias("source_version"), F.col("file_path").alias("data_origin"),
     )
 
 
+def _behind(fields: Column, first: int) -> Column:
+    return F.slice(fields, first + 1, F.greatest(F.size(fields) - first, F.lit(0)))
+
+
+def selected_cells(data: DataFrame, columns: DataFrame, attributes: Sequence[str], *, tile: int = TILE) -> DataFrame:
+    """Wide rows (file_path, …, _cells) to one row (…, attributes, _cell) for each selected column.
+
+    ``columns`` is (file_path, _pos, attributes…) with the columns to keep. They are gathered into
+    tiles of ``tile`` columns with their positions, so a line of any width becomes one row a tile,
+    and only the cells at the positions of a tile ever become rows. A line that is too short
+    lacks its last cells.
+    """
+    tiles = columns.withColumn("_tile", F.floor(F.col("_pos") / tile)).groupBy("file_path", "_tile").agg(
+        F.collect_list(F.struct("_pos", *attributes)).alias("_kept"))  # at most ``tile`` columns
+    tiled = data.join(tiles, "file_path")
+    found = F.filter(F.transform("_kept", lambda c: F.struct(*[c[a].alias(a) for a in attributes], F.get("_cells", c["_pos"]).alias("_cell"))), lambda c: c["_cell"].isNotNull())
+    others = [c for c in data.columns if c != "_cells"]
+    return tiled.select(*others, F.inline(found))
+
+
 def tissue_mismatches(landed: DataFrame, attributes: DataFrame) -> DataFrame:
     """Samples whose declared tissue (SAMPID, SMTSD) differs from their file's; must be empty."""
     declared = attributes.select(F.col("SAMPID").alias("gtex_sample_id"), F.col("SMTSD").alias("declared"))
@@ -302,11 +319,11 @@ def land_counts(raw: DataFrame, selected: DataFrame, annotation: DataFrame, *, e
     fields = F.split("value", "\t")
     body = raw.where(~F.col("value").startswith("#"))
     header_line = F.col("value").startswith("gene_id\t")
-    cells = F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0)))
-    header = body.where(header_line).select("file_path", F.posexplode(cells).alias("_pos", "sample_id")).join(selected, "sample_id")
-    data = body.where(~header_line).select("file_path", fields[0].alias("raw_gene_id"), F.posexplode(cells).alias("_pos", "_cell"))
+    attributes = ["sample_id", "source", "project_id", "sample_type", "tissue_site", "auc"]
+    columns = body.where(header_line).select("file_path", F.posexplode(_behind(fields, 1)).alias("_pos", "sample_id")).join(selected, "sample_id").select("file_path", "_pos", *attributes)
+    data = body.where(~header_line).select("file_path", fields[0].alias("raw_gene_id"), _behind(fields, 1).alias("_cells")).join(annotation, "raw_gene_id")
     value = F.col("_cell").try_cast("double") * (F.lit(TARGET_LIBRARY) / F.col("auc"))
-    return data.join(header, ["file_path", "_pos"]).join(annotation, "raw_gene_id").select(
+    return selected_cells(data, columns, attributes).select(
         "source", "project_id", "sample_id", "sample_type", "tissue_site", strip_gene_version(F.col("raw_gene_id")).alias("gene_id"), "gene_symbol",
         value.alias("expression_value"), F.lit("AUC-scaled coverage count (40M target)").alias("expression_unit"), F.lit(external_annotation).alias("external_annotation"),
     ).where(F.col("expression_value") >= 0)
