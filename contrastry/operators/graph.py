@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrastry.functions.ordered import ordered_rank, row_rank
+from contrastry.session import materialize
 
 NODE = ["node_id", "node_label", "name", "primary_site", "source"]
 EDGE = ["edge_id", "source_node_id", "target_node_id", "edge_type", "weight", "evidence_source"]
@@ -196,10 +197,10 @@ def edge_type_summary(edges: DataFrame) -> DataFrame:
     return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edge_count"), F.avg(weight).alias("mean_weight"))
 
 
-def neighbourhood_edges(
-    nodes: DataFrame, edges: DataFrame, *, edge_types: Sequence[str] | None = None, node_query: str | None = None, max_rows: int = 500
+def touching_edges(
+    nodes: DataFrame, edges: DataFrame, *, edge_types: Sequence[str] | None = None, node_query: str | None = None,
 ) -> DataFrame:
-    """Public edges of the given types touching a node that matches the text, capped."""
+    """All public edges of the given types touching a node that matches the text."""
     kept = public_edges(nodes, edges)
     if edge_types:
         kept = kept.where(F.col("edge_type").isin(*edge_types))
@@ -215,7 +216,25 @@ def neighbourhood_edges(
         kept = kept.join(source, "source_node_id", "left").join(target, "target_node_id", "left").where(
             F.col("_s").isNotNull() | F.col("_t").isNotNull()
         )
-    return kept.select(*EDGE).orderBy("edge_id").limit(max_rows)
+    return kept.select(*EDGE)
+
+
+def neighbourhood_edges(
+    nodes: DataFrame, edges: DataFrame, *, edge_types: Sequence[str] | None = None, node_query: str | None = None, max_rows: int = 500
+) -> DataFrame:
+    """The first of the touching edges; ``neighbourhood_counts`` tells how many there are."""
+    return touching_edges(nodes, edges, edge_types=edge_types, node_query=node_query).orderBy("edge_id").limit(max_rows)
+
+
+def neighbourhood_counts(nodes: DataFrame, edges: DataFrame, *, edge_types: Sequence[str] | None = None, node_query: str | None = None, max_rows: int = 500) -> DataFrame:
+    """Edges by type and their end nodes by label, before any cut: (kind, name, n, total, shown)."""
+    kept = materialize(touching_edges(nodes, edges, edge_types=edge_types, node_query=node_query), "neighbourhood")
+    ends = kept.select(F.explode(F.array("source_node_id", "target_node_id")).alias("node_id")).distinct()
+    counted = kept.groupBy(F.lit("edge").alias("kind"), F.col("edge_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).unionByName(
+        public_nodes(nodes).join(ends, "node_id", "left_semi").groupBy(F.lit("node").alias("kind"), F.col("node_label").alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    # a handful of rows: one for each type and label
+    total = F.sum("n").over(Window.partitionBy("kind"))
+    return counted.withColumn("total", total).withColumn("shown", F.least("total", F.lit(max_rows)).cast("long"))
 
 
 def induced_nodes(nodes: DataFrame, edges: DataFrame, max_rows: int = 500) -> DataFrame:

@@ -355,6 +355,8 @@ QUERIES = {
         nodes(s, d), edges(s, d), edge_types=["MUTATED_IN_CANCER", "EXPRESSED_IN_TISSUE"], node_query=QUERY_TEXT.lower(), max_rows=100)),
     "graph_neighbourhood_nodes": lambda s, d: g_ops.induced_nodes(nodes(s, d), g_ops.neighbourhood_edges(
         nodes(s, d), edges(s, d), edge_types=["MUTATED_IN_CANCER", "EXPRESSED_IN_TISSUE"], node_query=QUERY_TEXT.lower(), max_rows=100)),
+    "graph_neighbourhood_counts": lambda s, d: g_ops.neighbourhood_counts(
+        nodes(s, d), edges(s, d), edge_types=["MUTATED_IN_CANCER", "EXPRESSED_IN_TISSUE"], node_query=QUERY_TEXT.lower(), max_rows=100),
     "graph_enriched_pathway_links": lambda s, d: rounded(g_ops.enriched_pathway_links(nodes(s, d), edges(s, d))),
     "graph_size": lambda s, d: g_ops.graph_size(nodes(s, d), edges(s, d)),
     "expression_provenance": lambda s, d: rounded(s_ops.expression_provenance(v.tumour(s, d), v.reference(s, d), v.cohorts(s))),
@@ -368,6 +370,7 @@ _NEIGHBOUR = f"""SELECT e.* FROM public_edges e WHERE edge_type IN ('MUTATED_IN_
     AND (source_node_id IN (SELECT node_id FROM hits) OR target_node_id IN (SELECT node_id FROM hits)) ORDER BY edge_id LIMIT 100"""
 v.SQL_VIEWS["hits"] = (("public_nodes",), f"""SELECT node_id FROM public_nodes
     WHERE contains(upper(node_id), '{QUERY_TEXT}') OR contains(upper(name), '{QUERY_TEXT}') OR contains(upper(node_label), '{QUERY_TEXT}')""")
+_ALL_NEAR = _NEIGHBOUR.split("ORDER BY")[0]
 v.SQL_VIEWS["neighbours"] = (("public_edges", "hits"), _NEIGHBOUR)
 _TIERS = ", ".join(f"count(*) FILTER (confidence_tier = '{t}') AS {t}_count" for t in ("high", "moderate", "limited", "low"))
 
@@ -403,6 +406,10 @@ SQL = {
     "graph_top_nodes": v.sql(v.rounds("weighted_degree", "metrics") + " ORDER BY total_degree DESC, metrics.weighted_degree DESC, node_id LIMIT 20", "metrics"),
     "graph_edge_type_summary": v.sql("SELECT edge_type, count(*) AS edge_count, round(avg(weight), 6) AS mean_weight FROM public_edges GROUP BY 1", "public_edges"),
     "graph_neighbourhood_edges": v.sql(v.rounds("weight", "neighbours"), "neighbours"),
+    "graph_neighbourhood_counts": v.sql(f"""SELECT * FROM (WITH near AS ({_ALL_NEAR}), counted AS (
+        SELECT 'edge' AS kind, edge_type AS name, count(*) AS n FROM near GROUP BY ALL
+        UNION ALL SELECT 'node', node_label, count(*) FROM public_nodes WHERE node_id IN (SELECT source_node_id FROM near UNION SELECT target_node_id FROM near) GROUP BY ALL)
+        SELECT *, sum(n) OVER (PARTITION BY kind)::BIGINT AS total, least(100, sum(n) OVER (PARTITION BY kind))::BIGINT AS shown FROM counted)""", "public_edges", "hits", "public_nodes"),
     "graph_neighbourhood_nodes": v.sql("""SELECT * FROM public_nodes WHERE node_id IN (SELECT source_node_id FROM neighbours UNION SELECT target_node_id FROM neighbours)
         ORDER BY node_id, node_label LIMIT 500""", "neighbours", "public_nodes"),
     "graph_enriched_pathway_links": v.sql("""SELECT target_node_id AS cancer_type, name AS pathway_name, round(weight, 6) AS enrichment_score, evidence_source

@@ -238,8 +238,9 @@ def bulk_sink(s, d):
 
 def table_sink(s, d):
     path = scratch_path(s, "table")
-    sinks.write_table(v.tumour(s, d), path, partition_by=("project_id",), sort_by=("gene_symbol",))
-    back = land.read_parquet_or_empty(s, path, v.tumour(s, d).schema.simpleString()[7:-1].replace(":", " "))
+    sinks.write_table(v.tumour(s, d).where("sample_type = 'Primary Tumor'"), path, partition_by=("project_id",), sort_by=("gene_symbol",))
+    sinks.write_table(v.tumour(s, d), path, partition_by=("project_id",), sort_by=("gene_symbol",))  # replaces the version before
+    back = sinks.read_table(s, path)
     return rounded(back.where("project_id = 'BUILDING' and gene_symbol = 'BRAND#12_PROMO'").groupBy("project_id", "sample_type").agg(
         F.count(F.lit(1)).alias("rows"), F.max("expression_value").alias("largest")))
 

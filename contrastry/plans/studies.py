@@ -653,6 +653,24 @@ def overlap_boot(s, d):
 SENS = dict(repeats=3, thresholds=(0.0, 45000.0), pseudocounts=(1.0, 1000.0), scales=(0.1, 1.0), top_k=TOP_K, prevalence=0.5, maximum=12, seed=SEED)
 
 
+def range_violations(s, d):
+    """Faults are planted: a share above 1, a correlation below -1, a weight above 1."""
+    of = F.col("cancer_type")
+    compared = comparison(s, d).withColumn("top_k_jaccard", F.when((of == "BUILDING") & (F.col("top_k") == 25), F.col("top_k_jaccard") + 1.5).otherwise(F.col("top_k_jaccard"))).withColumn(
+        "spearman_abs_effect", F.when(of == "FURNITURE", -1.25).otherwise(F.col("spearman_abs_effect")))
+    ablated = ablation(s, d).withColumn("retained_weight", F.when(of == "MACHINERY", F.col("retained_weight") + 1).otherwise(F.col("retained_weight")))
+    return a_ops.out_of_range_metrics(compared, ablated)
+
+
+PAIRED_DRAWS_SQL = f"""
+    SELECT * FROM (WITH units AS (SELECT DISTINCT cancer_type, CASE WHEN _arm = 'n' THEN 'n' ELSE 'case' END AS pool, unit_id FROM dense
+        WHERE _arm = 'n' OR (cancer_type, unit_id) IN (SELECT cancer_type, unit_id FROM dense WHERE _arm <> 'n' GROUP BY 1, 2 HAVING count(DISTINCT _arm) = 2)),
+    sizes AS (SELECT cancer_type, least(12, greatest(2, CAST(floor(min(c) * 0.8::DOUBLE) AS BIGINT))) AS group_size FROM (SELECT cancer_type, pool, count(*) AS c FROM units GROUP BY 1, 2) GROUP BY 1),
+    chosen AS (SELECT * FROM (SELECT u.*, repeat::INT AS repeat, row_number() OVER (PARTITION BY cancer_type, repeat, pool ORDER BY md5(concat_ws('|', {SEED}, cancer_type, repeat, pool, unit_id)), unit_id) AS p
+        FROM units u, range(0, 3) r(repeat)) JOIN sizes USING (cancer_type) WHERE p <= group_size)
+    SELECT cancer_type, repeat, unnest(CASE pool WHEN 'n' THEN ['n'] ELSE ['t', 'a'] END) AS _arm, unit_id, group_size FROM chosen)"""
+
+
 def sensitivity(s, d):
     return r_ops.development_sensitivity(native_rows(dense(s, d)), **SENS)
 
@@ -692,7 +710,8 @@ QUERIES = {
     "consensus_tier_counts": lambda s, d: s_ops.label_counts(consensus(s, d), "consensus_decision", "publication_tier"),
     "reference_method_comparison": comparison.fresh,
     "consensus_component_ablation": ablation.fresh,
-    "evaluation_range_violations": lambda s, d: a_ops.out_of_range_metrics(comparison(s, d), ablation(s, d)),
+    "evaluation_range_violations": range_violations,
+    "sensitivity_paired_draws": lambda s, d: r_ops.subsamples(native_rows(dense(s, d)), repeats=3, maximum=12, seed=SEED, paired=True),
     "study_sample_index": index.fresh,
     "study_ambiguous_samples": lambda s, d: r_ops.ambiguous_samples(all_index(s, d)),
     "study_grouped_partition": split.fresh,
@@ -764,9 +783,13 @@ SQL = {
     "consensus_tier_counts": v.sql("SELECT consensus_decision, publication_tier, count(*) AS row_count FROM consensus GROUP BY 1, 2", "consensus"),
     "reference_method_comparison": v.sql("SELECT * FROM comparison", "comparison"),
     "consensus_component_ablation": v.sql("SELECT * FROM ablation", "ablation"),
-    "evaluation_range_violations": v.sql("""SELECT 'comparison' AS mart, cancer_type, method_a || '/' || method_b AS item, top_k FROM comparison
+    "sensitivity_paired_draws": v.sql(PAIRED_DRAWS_SQL, "dense"),
+    "evaluation_range_violations": v.sql("""SELECT * FROM (WITH compared AS (SELECT * REPLACE (CASE WHEN cancer_type = 'BUILDING' AND top_k = 25 THEN top_k_jaccard + 1.5 ELSE top_k_jaccard END AS top_k_jaccard,
+            CASE WHEN cancer_type = 'FURNITURE' THEN -1.25 ELSE spearman_abs_effect END AS spearman_abs_effect) FROM comparison),
+        ablated AS (SELECT * REPLACE (CASE WHEN cancer_type = 'MACHINERY' THEN retained_weight + 1 ELSE retained_weight END AS retained_weight) FROM ablation)
+        SELECT 'comparison' AS mart, cancer_type, method_a || '/' || method_b AS item, top_k FROM compared
         WHERE NOT (top_k_jaccard BETWEEN 0 AND 1) OR NOT (spearman_abs_effect BETWEEN -1 AND 1) OR median_abs_effect_delta < 0 OR top_k_overlap_count > top_k
-        UNION ALL SELECT 'ablation', cancer_type, ablation_scenario, top_k FROM ablation WHERE NOT (top_k_jaccard BETWEEN 0 AND 1) OR retained_weight > 1""", "comparison", "ablation"),
+        UNION ALL SELECT 'ablation', cancer_type, ablation_scenario, top_k FROM ablated WHERE NOT (top_k_jaccard BETWEEN 0 AND 1) OR retained_weight > 1)""", "comparison", "ablation"),
     "study_sample_index": v.sql("SELECT * FROM index", "index"),
     "study_ambiguous_samples": v.sql("""SELECT 'TCGA' AS source, project_id AS cancer_type, sample_id, count(DISTINCT (case_id, sample_type)) AS owners FROM tumour GROUP BY 1, 2, 3 HAVING count(DISTINCT (case_id, sample_type)) > 1""", "tumour"),
     "study_grouped_partition": v.sql("SELECT * FROM split", "split"),

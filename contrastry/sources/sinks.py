@@ -2,24 +2,54 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from contrastry.operators.graph import EDGE, NODE
 
 
-def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> None:
-    """Parquet (zstd), replaced as a whole.
+POINTER = "version long, folder string"
+
+
+def _pointers(spark: SparkSession, path: str) -> list[Row]:
+    """Versions that were published, the latest first."""
+    try:
+        return spark.read.schema(POINTER).json(f"{path}/_published").orderBy(F.col("version").desc(), F.col("folder").desc()).collect()  # one row a version
+    except AnalysisException:
+        return []  # nothing published yet
+
+
+def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> int:
+    """Parquet (zstd), replaced as a whole; returns the version.
+
+    The rows go to a folder of their own, and one line that names it is published last: until then,
+    and for good if the write fails, readers of ``read_table`` find the version before. Older versions
+    stay readable for those who have begun.
 
     ``partition_by`` suits low-cardinality cohort columns; ``sort_by`` clusters files so
     that look-ups skip row groups. Rows are not shuffled by the partition column: a hot
     cohort stays spread over all tasks.
     """
+    spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
     ordered = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
-    writer = ordered.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    writer = ordered.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{folder}")
+    earlier = _pointers(spark, path)
+    version = earlier[0]["version"] + 1 if earlier else 1
+    spark.createDataFrame([(version, folder)], POINTER).coalesce(1).write.mode("append").json(f"{path}/_published")
+    return version
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The latest published version, or the one asked for."""
+    found = [p for p in _pointers(spark, path) if version in (None, p["version"])]
+    if not found:
+        raise FileNotFoundError(f"no such table or version under {path}")
+    return spark.read.parquet(f"{path}/{found[0]['folder']}")
 
 
 def write_manifest(records: DataFrame, path: str) -> None:

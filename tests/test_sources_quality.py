@@ -120,7 +120,9 @@ def test_absent_table_is_empty_and_sinks_round_trip(spark, tmp_path):
     assert land.read_parquet_or_empty(spark, str(tmp_path / "none"), "a string, b double").columns == ["a", "b"]
     df = spark.createDataFrame([("P", "g", 1.0)], "project_id string, gene_symbol string, v double")
     sinks.write_table(df, str(tmp_path / "t"), partition_by=("project_id",), sort_by=("gene_symbol",))
-    assert land.read_parquet_or_empty(spark, str(tmp_path / "t"), "project_id string, gene_symbol string, v double").first().v == 1.0
+    assert sinks.read_table(spark, str(tmp_path / "t")).first().v == 1.0
+    df.write.parquet(str(tmp_path / "plain"))
+    assert land.read_parquet_or_empty(spark, str(tmp_path / "plain"), "project_id string, gene_symbol string, v double").first().v == 1.0
     assert land.resolve_column(df, ["x", "GENE_SYMBOL"]) == "gene_symbol" and land.resolve_column(df, ["x"]) is None
 
 
@@ -224,3 +226,25 @@ def test_traceability_warns_about_unparsed_files(spark):
     got = {r.modality: r for r in x_ops.traceability(outcomes, {"expression": silver, "mutations": silver.limit(0)}).collect()}
     assert got["expression"].parsed_vs_local_file_ratio == 2.0 and got["expression"].warnings == "stub_origin_rows" and got["expression"].failed_files == 1
     assert got["mutations"].warnings == "local_files_without_parsed_rows"
+
+
+def test_failed_replacement_leaves_the_table_and_readers_see_one_version(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    numbers = spark.range(1000).selectExpr("id", "id % 3 AS part")
+    assert sinks.write_table(numbers, path, partition_by=("part",)) == 1
+    begun = sinks.read_table(spark, path)
+    with pytest.raises(Exception):
+        sinks.write_table(numbers.selectExpr("IF(id = 999, raise_error('stop'), id) AS id", "part"), path)
+    assert sinks.read_table(spark, path).count() == 1000
+    assert sinks.write_table(numbers.where("id < 10"), path, partition_by=("part",)) == 2
+    assert sinks.read_table(spark, path).count() == 10 and sinks.read_table(spark, path, 1).count() == 1000 and begun.count() == 1000
+
+
+def test_wide_lines_land_in_tiles(spark):
+    wide = [("f", "p", 1, ["a", "", "c", "d", "e"]), ("f", "p", 2, ["v", "w"]), ("f", "q", 3, ["x"])]
+    data = spark.createDataFrame(wide, "file_name string, file_path string, gene int, _cells array<string>")
+    columns = spark.createDataFrame([("p", k, f"S{k}") for k in (0, 1, 3, 4)] + [("q", 7, "S7")], "file_path string, _pos int, sample string")
+    got = land.selected_cells(data, columns, ["sample"], tile=2)
+    assert sorted(tuple(r) for r in got.select("gene", "sample", "_cell").collect()) == [(1, "S0", "a"), (1, "S1", ""), (1, "S3", "d"), (1, "S4", "e"), (2, "S0", "v"), (2, "S1", "w")]
