@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from contrastry.functions.ordered import mid_rank
 from contrastry.operators.scores import is_public_origin
+from contrastry.sources.listing import listed_files, with_digests
 
 RESULT = ["check_name", "status", "failed_rows"]
 
@@ -260,7 +261,7 @@ def mapping_rate(df: DataFrame, column: str, *, threshold: float = 0.98, name: s
 def file_integrity(manifest: DataFrame, listing: DataFrame, *, selected: DataFrame | None = None, partial: bool = False) -> DataFrame:
     """Open manifest files that are absent or whose checksum differs.
 
-    ``listing`` is (file_name, md5) as derived from a ``binaryFile`` scan.
+    ``listing`` is (file_name, md5), as ``file_listing`` gives it.
     """
     wanted = manifest.where((F.lower("access") == "open") & (F.trim("file_name") != ""))
     if selected is not None:
@@ -275,10 +276,9 @@ def file_integrity(manifest: DataFrame, listing: DataFrame, *, selected: DataFra
     return graded(long, otherwise="warning" if partial else "failed")
 
 
-def file_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, md5) of the files under a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), F.md5("content").alias("md5"))
+def file_listing(spark: SparkSession, path: str, *, name: str = r"([^/]+)$") -> DataFrame:
+    """(file_name, md5) of the files under a folder, read in pieces."""
+    return with_digests(listed_files(spark, path, name=name)).select("file_name", "md5")
 
 
 def roll_up(results: DataFrame) -> DataFrame:

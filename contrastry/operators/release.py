@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from contrastry.session import materialize
 
 # Column names and value patterns that identify individuals.
 FORBIDDEN_COLUMNS = frozenset((
@@ -65,6 +65,18 @@ def forbidden_columns(df: DataFrame) -> list[str]:
     return sorted(c for c in df.columns if re.sub(r"[^a-z0-9]+", "_", c.lower()).strip("_") in FORBIDDEN_COLUMNS)
 
 
+def forbidden_column_audit(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Identifier columns of each table and how many rows fill them; one aggregation per table."""
+    out = spark.createDataFrame([], "table_name string, column_name string, filled_rows long")
+    for name, df in tables.items():
+        found = forbidden_columns(df)
+        if found:
+            counts = df.agg(*[F.count_if(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "").alias(c) for c in found])
+            pairs = F.create_map(*[x for c in found for x in (F.lit(c), F.col(c))])
+            out = out.unionByName(counts.select(F.lit(name).alias("table_name"), F.explode(pairs).alias("column_name", "filled_rows")))
+    return out
+
+
 def individual_values(df: DataFrame) -> DataFrame:
     """Rows with an identifier-like value, per string column; one aggregation for all of them."""
     strings = [f.name for f in df.schema if f.dataType.typeName() == "string"]
@@ -91,22 +103,41 @@ def require_public(df: DataFrame, name: str) -> None:
 
 
 def leaked_identifiers(
-    texts: DataFrame, identifiers: DataFrame, *, text: str = "text", identifier: str = "identifier", min_length: int = 6
+    texts: DataFrame, identifiers: DataFrame, *, text: str = "text", identifier: str = "identifier", min_length: int = 6,
+    piece: int = 1 << 16, cells: int = 1 << 20,
 ) -> DataFrame:
     """Identifiers that occur anywhere in a text, also inside longer words, and in how many texts.
 
-    Every place of a text whose first ``min_length`` characters begin some identifier gives
-    one candidate for each length that such identifiers have; candidates and identifiers meet
-    in an equi-join. Shorter identifiers are out of scope, which is what ``min_length`` says.
+    A place of a text is a candidate if its first ``min_length`` characters begin some identifier.
+    Most places fall to a table of at most ``cells`` bytes inside the row; the others leave the scan
+    as hash of the text, position and stem, and meet the stems in an equi-join. Candidates are cut
+    out of the text afterwards, one for each length that such identifiers have, and compared whole.
+    Texts are scanned in pieces of ``piece`` characters. Shorter identifiers are out of scope, which
+    is what ``min_length`` says.
     """
-    known = identifiers.select(F.col(identifier).alias("_id")).where(F.length("_id") >= min_length).distinct()
+    known = materialize(identifiers.select(F.col(identifier).alias("_id")).where(F.length("_id") >= min_length).distinct(), "identifiers")
     stems = known.groupBy(F.substring("_id", 1, min_length).alias("_stem")).agg(F.collect_set(F.length("_id")).alias("_lengths"))
-    longest = known.agg(F.max(F.length("_id"))).first()[0] or min_length  # one number
-    numbered = texts.select(F.monotonically_increasing_id().alias("_text"), F.coalesce(F.col(text), F.lit("")).alias("_body"))
-    places = numbered.where(F.length("_body") >= min_length).select("_text", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("_body") - (min_length - 1)), lambda at: F.substring(F.col("_body"), at, F.lit(longest)))).alias("_from"))
-    begun = places.withColumn("_stem", F.substring("_from", 1, min_length)).join(stems, "_stem")
-    candidates = begun.select("_text", F.explode(F.transform("_lengths", lambda n: F.substring(F.col("_from"), F.lit(1), n))).alias("_id")).distinct()
+    size = min(cells, 1 << max(12, (16 * stems.count()).bit_length()))
+    marked = bytearray(size)
+    for row in stems.select(F.pmod(F.xxhash64("_stem"), F.lit(size)).cast("int").alias("cell")).distinct().collect():  # at most `cells` numbers
+        marked[row.cell] = 1
+
+    def begins(place: Column) -> Column:
+        return F.substring(F.lit(bytes(marked)), (F.pmod(F.xxhash64(place["stem"]), F.lit(size)) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+
+    keys = ["_first", "_second"]
+    bodies = texts.select(F.coalesce(F.col(text), F.lit("")).alias("_body")).where(F.length("_body") >= min_length)
+    keyed = bodies.select(F.xxhash64("_body").alias("_first"), F.xxhash64(F.lit(1), "_body").alias("_second"), "_body")
+    pieces = keyed.select(*keys, "_body", F.explode(F.sequence(F.lit(0), F.length("_body") - 1, F.lit(piece))).alias("_from")).select(
+        *keys, "_from", F.substring("_body", F.col("_from") + 1, F.lit(piece + min_length - 1)).alias("_piece"))
+    every = F.regexp_extract_all("_piece", F.lit(f"(?s)(?=(.{{{min_length}}}))."), F.lit(1))  # the stem at each character, in one pass
+    places = F.filter(F.transform(every, lambda s, i: F.struct((F.col("_from") + i + 1).alias("at"), s.alias("stem"))), begins)
+    hits = (
+        pieces.select(*keys, F.explode(places).alias("_place")).select(*keys, F.col("_place.at").alias("at"), F.col("_place.stem").alias("_stem"))
+        .join(stems, "_stem").groupBy(*keys).agg(F.collect_set(F.struct("at", "_lengths")).alias("_places"))
+    )
+    cut = F.flatten(F.transform("_places", lambda p: F.transform(p["_lengths"], lambda n: F.substring(F.col("_body"), p["at"], n))))
+    candidates = keyed.join(hits, keys).select(F.explode(F.array_distinct(cut)).alias("_id"))
     return candidates.join(known, "_id").groupBy(F.col("_id").alias(identifier)).agg(F.count(F.lit(1)).alias("occurrences"))
 
 

@@ -9,6 +9,7 @@ from contrastry.operators import graph as g_ops
 from contrastry.operators import lookups as l_ops
 from contrastry.operators import quality as q_ops
 from contrastry.operators import release as x_ops
+from contrastry.plans import files
 from contrastry.plans import gold_contrasts as gc
 from contrastry.plans import gold_evidence as ge
 from contrastry.plans import gold_statistics as gs
@@ -114,19 +115,12 @@ def live_sanity(s, d):
     return q_ops.non_empty({"tumour": v.tumour(s, d), "mutations": ge.classified(s, d), "frequency": ge.frequency_gene(s, d), "closed": ge.manifest(s, d).where("access = 'sealed'")})
 
 
-def integrity(s, d):
-    m = ge.manifest(s, d)
-    number = F.substring("file_id", 2, 20).cast("long")
-    listing = m.where(number % 5 != 0).select("file_name", F.when(number % 3 == 0, F.md5("file_name")).otherwise(F.col("md5sum")).alias("md5"))
-    return q_ops.file_integrity(m, listing)
-
-
 def all_results(s, d):
     t = silver_tables(s, d)
     return (
         q_ops.row_rules(t, q_ops.SILVER_RULES).unionByName(q_ops.row_rules(mart_tables(s, d), q_ops.CONTRACT_RULES))
         .unionByName(key_checks(s, d)).unionByName(foreign_keys(s, d)).unionByName(q_ops.schema_presence(s, {**t, **mart_tables(s, d), "nodes": ge.nodes(s, d), "edges": ge.edges(s, d)}))
-        .unionByName(live_sanity(s, d)).unionByName(integrity(s, d)).unionByName(support_checks(s, d).select(*q_ops.RESULT))
+        .unionByName(live_sanity(s, d)).unionByName(files.integrity(s, d)).unionByName(support_checks(s, d).select(*q_ops.RESULT))
     )
 
 
@@ -210,11 +204,6 @@ def fingerprints(s, d):
     return x_ops.fingerprint(lines).select("row_count", (F.col("fingerprint") == other).alias("order_independent"))
 
 
-def history(s, d):
-    runs = v.table(s, d, "events").select(F.col("event_id").alias("run_id"), F.col("ts").cast("string").alias("started_at"), F.col("event_type").alias("status"))
-    return x_ops.bounded_history(runs).select("run_id", "status")
-
-
 QUERIES = {
     # reads
     "project_list": lambda s, d: l_ops.project_list(ge.projects(s, d)),
@@ -257,7 +246,6 @@ QUERIES = {
     "quality_foreign_keys": foreign_keys,
     "quality_minimum_support": lambda s, d: rounded(support_checks(s, d)),
     "quality_live_sanity": live_sanity,
-    "quality_file_integrity": integrity,
     "quality_mapping_rate": lambda s, d: rounded(q_ops.mapping_rate(v.tumour(s, d), "data_origin")),
     "quality_midrank_violations": lambda s, d: q_ops.midrank_violations(shifted_percentiles(s, d)),
     "quality_multiset_parity": lambda s, d: rounded(q_ops.multiset_difference(
@@ -277,7 +265,6 @@ QUERIES = {
     "leaked_identifiers": lambda s, d: x_ops.leaked_identifiers(v.table(s, d, "documents"), document_ids(s, d)),
     "resource_inventory": lambda s, d: x_ops.resource_inventory(s, {"contrast": gc.contrast(s, d), "priority": ge.priority(s, d), "public_nodes": g_ops.public_nodes(ge.nodes(s, d))}),
     "content_fingerprint": fingerprints,
-    "run_history": history,
 }
 
 PRIORITY = "mutation_frequency abs_log2_fold_change log2_fold_change"
@@ -335,9 +322,6 @@ SQL = {
         SELECT 'silver_expression_gtex_min_tissue_sample_support' AS check_name, min(n) AS m FROM (SELECT count(DISTINCT gtex_sample_id) AS n FROM reference GROUP BY tissue_site)
         UNION ALL SELECT 'gold_reference_triangulation_min_tcga_normal_support', min(sample_count_tcga_normal) FROM triangulation)""", "reference", "triangulation"),
     "quality_live_sanity": "SELECT 'live_mode_non_zero_row_sanity' AS check_name, 'failed' AS status, 1::BIGINT AS failed_rows FROM (SELECT count(*) AS n FROM events) WHERE n > 0",
-    "quality_file_integrity": v.sql("""SELECT check_name, CASE WHEN failed_rows = 0 THEN 'passed' ELSE 'failed' END AS status, failed_rows FROM (
-        SELECT 'bronze_tcga_download_file_presence' AS check_name, count(*) AS failed_rows FROM manifest WHERE access = 'open' AND CAST(substr(file_id, 2) AS BIGINT) % 5 = 0
-        UNION ALL SELECT 'bronze_tcga_download_checksum_match', count(*) FROM manifest WHERE access = 'open' AND CAST(substr(file_id, 2) AS BIGINT) % 5 <> 0 AND CAST(substr(file_id, 2) AS BIGINT) % 3 = 0 AND md5(file_name) <> md5sum)""", "manifest"),
     "quality_mapping_rate": v.sql("SELECT 'gene_mapping_rate' AS check_name, CASE WHEN r >= 0.98 THEN 'passed' ELSE 'warning' END AS status, 'mapping_rate' AS metric_name, round(r, 6) AS metric_value, 0.98::DOUBLE AS threshold FROM (SELECT avg((data_origin <> '')::INT) AS r FROM tumour)", "tumour"),
     "quality_midrank_violations": v.sql("""SELECT cancer_type, gene_symbol FROM (
         SELECT *, CASE WHEN n > 1 THEN (rt - 1) / (n - 1) ELSE 0.5 END AS pt, CASE WHEN n > 1 THEN (rn - 1) / (n - 1) ELSE 0.5 END AS pn FROM (
@@ -375,7 +359,6 @@ SQL = {
     "resource_inventory": v.sql("""SELECT 'contrast' AS name, count(*) AS row_count, 9::BIGINT AS column_count, 2::BIGINT AS string_columns, 2::BIGINT AS integer_columns, 5::BIGINT AS number_columns, 0::BIGINT AS boolean_columns FROM contrast
         UNION ALL SELECT 'priority', count(*), 12, 4, 4, 4, 0 FROM priority UNION ALL SELECT 'public_nodes', count(*), 5, 5, 0, 0, 0 FROM public_nodes""", "contrast", "priority", "public_nodes"),
     "content_fingerprint": "SELECT count(*) AS row_count, true AS order_independent FROM lineitem",
-    "run_history": "SELECT event_id AS run_id, event_type AS status FROM events ORDER BY ts DESC, event_id DESC LIMIT 200",
 }
 QUERIES.update({name: _text_query(name) for name in SQL_TEXTS})
 SQL.update({name: v.sql(text, view) for name, (view, text) in SQL_TEXTS.items()})

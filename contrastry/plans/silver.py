@@ -67,6 +67,22 @@ _EXPRESSION_SQL = """SELECT 'P1' AS project_id, 'C' || name AS case_id, 'S' || n
     WHERE star OR l_linenumber <> 7"""
 
 
+def reference_files(s, d):
+    """Reference measurements as long comma-separated files, one for each tissue."""
+    rows = v.reference(s, d).withColumn("name", F.regexp_replace("tissue_site", "[^A-Za-z0-9]+", "_"))
+    body = rows.select("name", F.concat_ws(",", F.when(F.col("gene_symbol").contains("#1"), F.concat(F.lit("GTEX-"), F.regexp_replace("donor_id", "[^A-Za-z0-9]", ""), F.lit("-"), "gtex_sample_id"))
+                                           .otherwise(F.col("gtex_sample_id")), "tissue_site", F.concat("gene_id", F.lit(".7")), "gene_symbol", F.col("expression_value").cast("string")).alias("value"))
+    path = _write_lines(_with_headers(body, [F.lit("sample,tissue,gene_id,symbol,tpm")]), "reference")
+    landed = land.land_reference_files(land.lines(s, path, folders=True))
+    return rounded(landed.groupBy("tissue_site", "tissue_detail", "gene_id", "gene_symbol", "donor_id", "expression_unit", "source_version").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("gtex_sample_id").alias("samples"), F.max("expression_value").alias("largest"), F.max("log2_expression").alias("largest_log2")))
+
+
+_REFERENCE_SQL = """SELECT tissue_site, tissue_site AS tissue_detail, gene_id, gene_symbol,
+    CASE WHEN gene_symbol LIKE '%#1%' THEN 'GTEX-' || regexp_replace(donor_id, '[^A-Za-z0-9]', '', 'g') ELSE 'Unknown' END AS donor_id, 'TPM' AS expression_unit, 'v8' AS source_version,
+    count(*) AS rows, count(DISTINCT gtex_sample_id) AS samples, round(max(expression_value), 6) AS largest, round(max(log2(expression_value + 1)), 6) AS largest_log2 FROM reference GROUP BY ALL"""
+
+
 # ---------------------------------------------------------------- mutation files
 
 def mutation_files(s, d):
@@ -285,6 +301,7 @@ def reprocessed_parts(s, d):
 
 QUERIES = {
     "landing_expression_files": lambda s, d: rounded(expression_files(s, d)),
+    "landing_reference_files": reference_files,
     "landing_mutation_files": mutation_files,
     "landing_expression_matrix": lambda s, d: rounded(landed_matrix.fresh(s, d).drop("data_origin")),
     "landing_matrix_report": lambda s, d: land.matrix_report(landed_matrix(s, d)),
@@ -324,6 +341,7 @@ QUERIES = {
 
 SQL = {
     "landing_expression_files": _EXPRESSION_SQL,
+    "landing_reference_files": v.sql(_REFERENCE_SQL, "reference"),
     "landing_mutation_files": _MUTATION_SQL,
     "landing_expression_matrix": v.sql(v.rounds("expression_value log2_expression", "(SELECT * EXCLUDE _place FROM matrix)"), "matrix"),
     "landing_expression_matrix_capped": v.sql(v.rounds("expression_value log2_expression", f"(SELECT * EXCLUDE _place FROM matrix WHERE _place < {MATRIX_CAP})"), "matrix"),

@@ -52,6 +52,15 @@ def read_table(spark: SparkSession, path: str, version: int | None = None) -> Da
     return spark.read.parquet(f"{path}/{found[0]['folder']}")
 
 
+def append_runs(records: DataFrame, path: str) -> None:
+    """Run records added to the log; a single record is one file, and nothing written before changes."""
+    records.write.mode("append").json(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def write_manifest(records: DataFrame, path: str) -> None:
     """Tab-separated id, filename, md5, size, state."""
     records.select(

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +186,62 @@ def test_file_integrity(spark, tmp_path):
     assert {r.status for r in q_ops.file_integrity(m, q_ops.file_listing(spark, str(tmp_path / "d")), partial=True).collect()} == {"warning"}
 
 
+def test_digests_of_large_files_and_changes(spark, tmp_path):
+    import hashlib
+
+    from contrastry.sources import listing
+    _file(tmp_path / "one" / "a b%20.tsv", "x")
+    _file(tmp_path / "one" / "small.tsv", "s")
+    _file(tmp_path / "one" / "empty.tsv", "")
+    with open(tmp_path / "one" / "sparse.bin", "wb") as f:
+        f.truncate(3 << 30)  # more than one row can hold
+    before = listing.with_digests(listing.listed_files(spark, str(tmp_path / "one")))
+    got = {r.file_name: r for r in before.collect()}
+    assert got["a b%20.tsv"].md5 == hashlib.md5(b"x").hexdigest() and "empty.tsv" not in got
+    zeros = hashlib.md5()
+    for _ in range(3 << 10):
+        zeros.update(bytes(1 << 20))
+    assert (got["sparse.bin"].length, got["sparse.bin"].md5) == (3 << 30, zeros.hexdigest())
+    # digests of unchanged files are taken over: a wrong one shows that the file was not read
+    known = spark.createDataFrame([(r.path, r.file_name, r.length, r.modified, "old" if r.file_name == "sparse.bin" else r.md5) for r in got.values()], before.schema)
+    _file(tmp_path / "one" / "small.tsv", "changed")
+    _file(tmp_path / "one" / "new.tsv", "new")
+    os.remove(tmp_path / "one" / "a b%20.tsv")
+    after = listing.refreshed(listing.listed_files(spark, str(tmp_path / "one")), known)
+    kinds = {r.file_name: r.change for r in listing.changes(known, after).collect()}
+    assert kinds == {"a b%20.tsv": "removed", "small.tsv": "changed", "new.tsv": "added", "sparse.bin": "unchanged"}
+    listing.require_unchanged(known, known)
+    with pytest.raises(ValueError):
+        listing.require_unchanged(known, after)
+
+
+def test_leak_scan_equals_brute_force(spark):
+    import random
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab\u00e9\U0001F600\n") for _ in range(n))
+    texts = [word(rng.choice((0, 3, 9, 40, 900))) for _ in range(80)] * 2 + [None]
+    ids = sorted({word(rng.choice((2, 3, 4, 5, 30))) for _ in range(200)} | {texts[k][5:200] for k in range(80) if texts[k] and len(texts[k]) == 900})
+    want = {(i, n) for i in ids if len(i) >= 3 and (n := sum(i in t for t in texts if t))}
+    frames = (spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(i,) for i in ids], "identifier string"))
+    for piece, cells in ((1 << 16, 1 << 20), (7, 2)):
+        got = x_ops.leaked_identifiers(*frames, min_length=3, piece=piece, cells=cells)
+        assert {tuple(r) for r in got.collect()} == want
+    assert x_ops.leaked_identifiers(frames[0], frames[1].limit(0)).count() == 0 == x_ops.leaked_identifiers(frames[0].limit(0), frames[1]).count()
+
+
+def test_run_log_is_appended(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for run in ("r1", "r2", "r3"):
+        record = x_ops.run_record(spark, run, "passed", f"2024-01-0{run[1]}", "", {"tumour": 3})
+        sinks.append_runs(record, path)
+    assert [r.run_id for r in x_ops.bounded_history(sinks.read_runs(spark, path, record.schema), keep=2).collect()] == ["r3", "r2"]
+
+
+def test_forbidden_column_audit(spark):
+    df = spark.createDataFrame([("a", None), (" ", "x")], "`Case ID` string, gene string")
+    assert [tuple(r) for r in x_ops.forbidden_column_audit(spark, {"t": df, "u": df.select("gene")}).collect()] == [("t", "Case ID", 1)]
+
+
 def test_lookup_filters_order_and_total(spark):
     df = spark.createDataFrame([("BRCA", "TP53", 0.9, 2, 0.5, 2.0, "high"), ("BRCA", "TP53BP1", 0.3, 1, 0.1, 1.0, "medium"), ("LUAD", "EGFR", 0.5, 1, 0.2, 1.0, "high")],
                                "cancer_type string, gene_symbol string, priority_score double, evidence_count long, mutation_frequency double, abs_log2_fold_change double, priority_tier string")
