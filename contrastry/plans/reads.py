@@ -115,11 +115,15 @@ def live_sanity(s, d):
     return q_ops.non_empty({"tumour": v.tumour(s, d), "mutations": ge.classified(s, d), "frequency": ge.frequency_gene(s, d), "closed": ge.manifest(s, d).where("access = 'sealed'")})
 
 
+def schema_checks(s, d):
+    return q_ops.schema_presence(s, {**silver_tables(s, d), **mart_tables(s, d), "nodes": ge.nodes(s, d), "edges": ge.edges(s, d)})
+
+
 def all_results(s, d):
     t = silver_tables(s, d)
     return (
         q_ops.row_rules(t, q_ops.SILVER_RULES).unionByName(q_ops.row_rules(mart_tables(s, d), q_ops.CONTRACT_RULES))
-        .unionByName(key_checks(s, d)).unionByName(foreign_keys(s, d)).unionByName(q_ops.schema_presence(s, {**t, **mart_tables(s, d), "nodes": ge.nodes(s, d), "edges": ge.edges(s, d)}))
+        .unionByName(key_checks(s, d)).unionByName(foreign_keys(s, d)).unionByName(schema_checks(s, d))
         .unionByName(live_sanity(s, d)).unionByName(files.integrity(s, d)).unionByName(support_checks(s, d).select(*q_ops.RESULT))
     )
 
@@ -231,13 +235,13 @@ QUERIES = {
     "mutation_landscape": _look(ge.frequency_gene, "mutation_frequency", equal={"cancer_type": COHORT}, text="promo"),
     "mutation_class_breakdown": lambda s, d: l_ops.class_breakdown(ge.frequency_gene(s, d)),
     "top_hub_genes": lambda s, d: rounded(g_ops.top_nodes(ge.metrics(s, d), 15, "Gene")),
-    "pathways_by_cancer": lambda s, d: gs.enrichment(s, d).where("p_value <= 0.5").groupBy("cancer_type").agg(F.count(F.lit(1)).alias("pathway_count")),
+    "pathways_by_cancer": lambda s, d: gs.enrichment(s, d).where(f"fdr_q_value <= {ge.MAX_FDR}").groupBy("cancer_type").agg(F.count(F.lit(1)).alias("pathway_count")),
     "edge_type_counts": lambda s, d: ge.edges(s, d).groupBy("edge_type").agg(F.count(F.lit(1)).alias("edge_count")),
     "single_gene_contrast_task": lambda s, d: rounded(l_ops.exactly_one(
         gc.contrast(s, d).where((F.col("cancer_type") == COHORT) & (F.col("gene_symbol") == GENE)), "contrast row").select("cancer_type", "gene_symbol", "log2_fold_change")),
-    "ablation_summary": lambda s, d: st.ablation(s, d).where("top_k = 50").select(
+    "ablation_summary": lambda s, d: st.ablation(s, d).where("top_k = 100").select(
         "cancer_type", "ablation_scenario", "top_k_jaccard", "spearman_consensus_score", "fixed_threshold_retention_rate", "sensitivity_tier"),
-    "comparison_summary": lambda s, d: st.comparison(s, d).where("top_k = 50").select(
+    "comparison_summary": lambda s, d: st.comparison(s, d).where("top_k = 100").select(
         "cancer_type", "method_a", "method_b", "common_gene_count", "top_k_jaccard", "regulated_direction_concordance", "spearman_abs_effect"),
     # quality
     "quality_silver_rules": lambda s, d: q_ops.row_rules(silver_tables(s, d), q_ops.SILVER_RULES),
@@ -255,6 +259,7 @@ QUERIES = {
     "quality_row_minimums": lambda s, d: q_ops.row_minimums({k: silver_tables(s, d)[k] for k in ("tumour", "mutations", "profile")}, minimum=1000),
     "quality_stub_rows": lambda s, d: q_ops.stub_rows(v.tumour(s, d)),
     "quality_individual_leaks": lambda s, d: q_ops.individual_leaks(ge.nodes(s, d), ge.edges(s, d)),
+    "quality_schema_presence": schema_checks,
     "quality_full_report": all_results,
     "quality_roll_up": lambda s, d: q_ops.roll_up(all_results(s, d)),
     "quality_status_counts": lambda s, d: q_ops.status_counts(all_results(s, d)),
@@ -300,11 +305,11 @@ SQL = {
     "mutation_landscape": _sql_top("frequency_gene", f"cancer_type = '{COHORT}' AND contains(gene_symbol, 'PROMO')", "mutation_frequency DESC", 50, "mutation_frequency"),
     "mutation_class_breakdown": v.sql("SELECT cancer_type, top_variant_classification, count(*) AS gene_count FROM frequency_gene GROUP BY 1, 2", "frequency_gene"),
     "top_hub_genes": v.sql(v.rounds("weighted_degree", "(SELECT * FROM metrics WHERE node_label = 'Gene' ORDER BY total_degree DESC, weighted_degree DESC, node_id LIMIT 15)"), "metrics"),
-    "pathways_by_cancer": v.sql("SELECT cancer_type, count(*) AS pathway_count FROM enrichment WHERE p_value <= 0.5 GROUP BY 1", "enrichment"),
+    "pathways_by_cancer": v.sql(f"SELECT cancer_type, count(*) AS pathway_count FROM enrichment WHERE fdr_q_value <= {ge.MAX_FDR} GROUP BY 1", "enrichment"),
     "edge_type_counts": v.sql("SELECT edge_type, count(*) AS edge_count FROM edges GROUP BY 1", "edges"),
     "single_gene_contrast_task": v.sql(f"SELECT cancer_type, gene_symbol, round(log2_fold_change, 6) AS log2_fold_change FROM contrast WHERE cancer_type = '{COHORT}' AND gene_symbol = '{GENE}'", "contrast"),
-    "ablation_summary": v.sql("SELECT cancer_type, ablation_scenario, top_k_jaccard, spearman_consensus_score, fixed_threshold_retention_rate, sensitivity_tier FROM ablation WHERE top_k = 50", "ablation"),
-    "comparison_summary": v.sql("SELECT cancer_type, method_a, method_b, common_gene_count, top_k_jaccard, regulated_direction_concordance, spearman_abs_effect FROM comparison WHERE top_k = 50", "comparison"),
+    "ablation_summary": v.sql("SELECT cancer_type, ablation_scenario, top_k_jaccard, spearman_consensus_score, fixed_threshold_retention_rate, sensitivity_tier FROM ablation WHERE top_k = 100", "ablation"),
+    "comparison_summary": v.sql("SELECT cancer_type, method_a, method_b, common_gene_count, top_k_jaccard, regulated_direction_concordance, spearman_abs_effect FROM comparison WHERE top_k = 100", "comparison"),
     "quality_silver_rules": _rules_sql(q_ops.SILVER_RULES, SILVER_SQL),
     "quality_mart_contracts": _rules_sql(q_ops.CONTRACT_RULES, MART_SQL),
     "quality_unique_keys": v.sql("""SELECT check_name, CASE WHEN failed_rows = 0 THEN 'passed' ELSE 'failed' END AS status, failed_rows FROM (
@@ -360,5 +365,25 @@ SQL = {
         UNION ALL SELECT 'priority', count(*), 12, 4, 4, 4, 0 FROM priority UNION ALL SELECT 'public_nodes', count(*), 5, 5, 0, 0, 0 FROM public_nodes""", "contrast", "priority", "public_nodes"),
     "content_fingerprint": "SELECT count(*) AS row_count, true AS order_independent FROM lineitem",
 }
+
+
+def _schema_sql() -> str:
+    """Columns that a table lacks, by the twins' own schemas; constants of the conformed rows are not in their twins."""
+    views = {**SILVER_SQL, **MART_SQL, "samples": "samples", "nodes": "nodes", "edges": "edges"}
+    parts = []
+    for name, table, columns in q_ops.REQUIRED_COLUMNS:
+        wanted = ", ".join(f"('{c}')" for c in columns.split())
+        parts.append(f"SELECT '{name}_schema_columns_present' AS check_name, count(*) AS failed_rows FROM (VALUES {wanted}) c(c) "
+                     f"WHERE c NOT IN (SELECT column_name FROM (DESCRIBE SELECT * FROM {views[table]}))")
+    return v.sql(f"SELECT check_name, CASE WHEN failed_rows = 0 THEN 'passed' ELSE 'failed' END AS status, failed_rows FROM ({' UNION ALL '.join(parts)})",
+                 *sorted({views[t] for _, t, _ in q_ops.REQUIRED_COLUMNS}))
+
+
+REPORT_PARTS = ("quality_silver_rules", "quality_mart_contracts", "quality_unique_keys", "quality_foreign_keys", "quality_schema_presence", "quality_live_sanity", "quality_minimum_support")
+SQL["quality_schema_presence"] = _schema_sql()
+_REPORT = " UNION ALL ".join(f"SELECT check_name, status, failed_rows FROM ({text})" for text in (*[SQL[p] for p in REPORT_PARTS], files.SQL["quality_file_integrity"]))
+SQL["quality_full_report"] = _REPORT
+SQL["quality_roll_up"] = f"""SELECT CASE WHEN bool_or(status = 'failed') THEN 'failed' WHEN bool_or(status = 'warning') THEN 'passed_with_warnings' ELSE 'passed' END AS status, count(*) AS checks FROM ({_REPORT})"""
+SQL["quality_status_counts"] = f"SELECT status, count(*) AS checks FROM ({_REPORT}) GROUP BY 1"
 QUERIES.update({name: _text_query(name) for name in SQL_TEXTS})
 SQL.update({name: v.sql(text, view) for name, (view, text) in SQL_TEXTS.items()})

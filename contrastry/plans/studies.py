@@ -119,12 +119,12 @@ def consensus(s, d):
 
 @mart("mart_comparison")
 def comparison(s, d):
-    return a_ops.method_comparison(gc.triangulation(s, d), gc.validation(s, d), top_k=(10, 25, 50, 200))
+    return a_ops.method_comparison(gc.triangulation(s, d), gc.validation(s, d), top_k=(10, 25, 50, 100, 200))
 
 
 @mart("mart_ablation")
 def ablation(s, d):
-    return a_ops.consensus_ablation(consensus(s, d), top_k=(10, 25, 50, 200))
+    return a_ops.consensus_ablation(consensus(s, d), top_k=(10, 25, 50, 100, 200))
 
 
 v.SQL_VIEWS["selection"] = (("priority", "confidence"), """
@@ -224,7 +224,7 @@ CONSENSUS_DOUBLES = (
     "recount3_rank_biserial paired_fdr_q_value paired_rank_biserial paired_support_score " + " ".join(s_ops.COMPONENT_WEIGHTS)
 )
 
-_KS = "(VALUES (10), (25), (50), (200)) k(k)"
+_KS = "(VALUES (10), (25), (50), (100), (200)) k(k)"
 _DIR = lambda c: f"CASE WHEN {c} >= 1 THEN 'up' WHEN {c} <= -1 THEN 'down' ELSE 'stable' END"
 v.SQL_VIEWS["method_pairs"] = (("triangulation", "validation"), f"""
     SELECT a.cancer_type, a.method AS method_a, b.method AS method_b, a.e AS ea, b.e AS eb, a.place AS ra, b.place AS rb, a.genes, {_DIR('a.e')} AS da, {_DIR('b.e')} AS db, a.ord, b.ord
