@@ -120,9 +120,14 @@ def gene_search(tables: list[DataFrame], text: str, *, limit: int = 20) -> DataF
 def expression_by_gene(tumour: DataFrame, reference: DataFrame, gene: str) -> DataFrame:
     """Median, mean and samples of one gene per project and per tissue."""
     hit = F.upper(F.col("gene_symbol").cast("string")) == gene.upper()
-    rows = tumour.where(hit).select(F.lit("TCGA").alias("source"), "project_id", F.lit(None).cast("string").alias("tissue_site"), "expression_value", "sample_id").unionByName(
-        reference.where(hit).select(F.lit("GTEx").alias("source"), F.lit(None).cast("string").alias("project_id"), "tissue_site", "expression_value", F.col("gtex_sample_id").alias("sample_id"))
-    ).withColumn("place", F.coalesce("project_id", "tissue_site"))
+    rows = tumour.where(hit).select("project_id", F.lit(None).cast("string").alias("tissue_site"), "expression_value", "sample_id").unionByName(
+        reference.where(hit).select(F.lit(None).cast("string").alias("project_id"), "tissue_site", "expression_value", F.col("gtex_sample_id").alias("sample_id")))
+    return gene_measurements(rows)
+
+
+def gene_measurements(rows: DataFrame) -> DataFrame:
+    """Median, mean and samples per project (tumour rows) and per tissue (reference rows) of rows already chosen."""
+    rows = rows.withColumns({"source": F.when(F.col("tissue_site").isNull(), "TCGA").otherwise("GTEx"), "place": F.coalesce("project_id", "tissue_site")})
     keys = ["source", "place"]
     values = group_quantiles(rows, keys, "expression_value", {"median_expression": 0.5}, mean="mean_expression")
     counts = rows.groupBy(*keys).agg(F.max("project_id").alias("project_id"), F.max("tissue_site").alias("tissue_site"), F.count_distinct("sample_id").alias("sample_count"))

@@ -15,6 +15,8 @@ from contrastry.plans import gold_evidence as ge
 from contrastry.plans import gold_statistics as gs
 from contrastry.plans import studies as st
 from contrastry.plans import views as v
+from contrastry.plans import warehouse
+from contrastry.sources import sinks
 
 COHORT, GENE = "BUILDING", "BRAND#12_PROMO"
 
@@ -27,6 +29,26 @@ def _contrast(s, d):
     return gc.settled(gc.contrast(s, d))
 
 
+def keyed_measurements(s, d):
+    """Both arms' measurements under one upper-case gene key, laid out for look-ups; written once per session."""
+    columns = ["gene_key", "project_id", "tissue_site", "sample_id", "expression_value"]
+    tumour = v.tumour(s, d).withColumn("tissue_site", F.lit(None).cast("string"))
+    reference = v.reference(s, d).withColumns({"project_id": F.lit(None).cast("string"), "sample_id": F.col("gtex_sample_id")})
+    both = [x.withColumn("gene_key", F.upper("gene_symbol")).select(*columns) for x in (tumour, reference)]
+    return both[0].unionByName(both[1])
+
+
+def _gene_rows(s, d):
+    path = warehouse.once(s, d, "keyed_measurements", lambda to: sinks.write_lookup(keyed_measurements(s, d), to, "gene_key", spread=("sample_id",), files=64))
+    return l_ops.gene_measurements(sinks.read_lookup(s, path, "gene_key", GENE))
+
+
+def _contrast_rows(s, d):
+    """The contrast by gene from a table laid out for it."""
+    path = warehouse.once(s, d, "keyed_contrast", lambda to: sinks.write_lookup(_contrast(s, d), to, "gene_symbol", spread=("cancer_type",), files=32))
+    return rounded(l_ops.lookup(sinks.read_lookup(s, path, "gene_symbol", GENE), "tumour_vs_normal", equal={"gene_symbol": GENE}))
+
+
 def _top(view: str, where: str, order: str, limit: int, ties: str = "cancer_type, gene_symbol") -> str:
     return f"SELECT * FROM {view} WHERE {where} ORDER BY {order}, {ties} LIMIT {limit}"
 
@@ -213,8 +235,8 @@ QUERIES = {
     "project_list": lambda s, d: l_ops.project_list(ge.projects(s, d)),
     "project_samples": lambda s, d: l_ops.project_samples(ge.samples(s, d), COHORT),
     "gene_search": lambda s, d: l_ops.gene_search([v.tumour(s, d), v.reference(s, d), v.reprocessed(s, d)], "brand#1"),
-    "expression_by_gene": lambda s, d: rounded(gc.settled(l_ops.expression_by_gene(v.tumour(s, d), v.reference(s, d), GENE.lower()), "mean_expression")),
-    "tumour_vs_normal_lookup": _look(_contrast, "tumour_vs_normal", equal={"gene_symbol": GENE}),
+    "expression_by_gene": lambda s, d: rounded(gc.settled(_gene_rows(s, d), "mean_expression")),
+    "tumour_vs_normal_lookup": _contrast_rows,
     "top_overexpressed": _look(_contrast, "tumour_vs_normal", equal={"cancer_type": COHORT}, limit=20),
     "mutation_by_gene_lookup": _look(ge.frequency_gene, "mutation_frequency", equal={"gene_symbol": "BRAND#12_STANDARD"}),
     "top_mutated_genes": _look(ge.frequency_gene, "mutation_frequency", equal={"cancer_type": COHORT}, limit=20),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrastry.functions.domain import cohort_map
-from contrastry.plans.warehouse import mart
+from contrastry.plans.warehouse import mart, reads
 
 # Market segments standing in for cohorts; one tissue serves two cohorts.
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -26,7 +26,9 @@ VARIANT_CLASSES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    reads(spark, path)
+    return spark.read.parquet(path)
 
 
 def cohorts(spark: SparkSession) -> DataFrame:

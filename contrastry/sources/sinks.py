@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,7 +23,7 @@ def _pointers(spark: SparkSession, path: str) -> list[Row]:
         return []  # nothing published yet
 
 
-def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> int:
+def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), options: Mapping[str, str] | None = None) -> int:
     """Parquet (zstd), replaced as a whole; returns the version.
 
     The rows go to a folder of their own, and one line that names it is published last: until then,
@@ -36,7 +36,7 @@ def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), s
     """
     spark, folder = df.sparkSession, f"data-{uuid.uuid4().hex}"
     ordered = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
-    writer = ordered.write.option("compression", "zstd")
+    writer = ordered.write.option("compression", "zstd").options(**(options or {}))
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{folder}")
     earlier = _pointers(spark, path)
     version = earlier[0]["version"] + 1 if earlier else 1
@@ -52,6 +52,32 @@ def read_table(spark: SparkSession, path: str, version: int | None = None) -> Da
     return spark.read.parquet(f"{path}/{found[0]['folder']}")
 
 
+def write_lookup(df: DataFrame, path: str, key: str, *, spread: Sequence[str] = (), files: int | None = None) -> int:
+    """A table for look-ups by ``key``: files hold neighbouring keys, and a side table says which.
+
+    Rows are dealt by ranges of (key, *spread), so ``spread`` cuts a key with very many rows into
+    several files. Bloom filters in the files rule out keys that fall between those present.
+    """
+    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(files, key, *spread).sortWithinPartitions(key, *spread)
+    version = write_table(dealt, path, options={f"parquet.bloom.filter.enabled#{key}": "true"})
+    written = read_table(df.sparkSession, path, version)
+    spans = written.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(key).alias("least"), F.max(key).alias("greatest"))
+    write_table(spans.coalesce(1), f"{path}/_spans/{version}")  # one row a file
+    return version
+
+
+def read_lookup(spark: SparkSession, path: str, key: str, *values: str, version: int | None = None) -> DataFrame:
+    """Rows with one of the given keys; only files whose span holds one are opened."""
+    latest = version or next((p["version"] for p in _pointers(spark, path)), None)
+    table = read_table(spark, path, latest)
+    inside = F.lit(False)
+    for value in values:
+        inside = inside | F.lit(value).between(F.col("least"), F.col("greatest"))
+    chosen = [r.file for r in read_table(spark, f"{path}/_spans/{latest}").where(inside).select("file").collect()]  # files that hold the answer
+    return (spark.read.schema(table.schema).parquet(*chosen) if chosen else table.limit(0)).where(F.col(key).isin(*values))
+
+
 def append_runs(records: DataFrame, path: str) -> None:
     """Run records added to the log; a single record is one file, and nothing written before changes."""
     records.write.mode("append").json(path)

@@ -305,3 +305,67 @@ def test_wide_lines_land_in_tiles(spark):
     columns = spark.createDataFrame([("p", k, f"S{k}") for k in (0, 1, 3, 4)] + [("q", 7, "S7")], "file_path string, _pos int, sample string")
     got = land.selected_cells(data, columns, ["sample"], tile=2)
     assert sorted(tuple(r) for r in got.select("gene", "sample", "_cell").collect()) == [(1, "S0", "a"), (1, "S1", ""), (1, "S3", "d"), (1, "S4", "e"), (2, "S0", "v"), (2, "S1", "w")]
+
+
+def test_lookup_opens_few_files(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("G"), F.lpad((F.col("id") % 500).cast("string"), 3, "0"))).alias("gene"), F.col("id").alias("sample"))
+    sinks.write_lookup(df, path, "gene", spread=("sample",), files=40)
+    one = sinks.read_lookup(spark, path, "gene", "G123")
+    assert one.count() == df.where("gene = 'G123'").count() and len(one.inputFiles()) <= 4
+    assert "PushedFilters: [IsNotNull(gene), EqualTo(gene,G123)]" in one._jdf.queryExecution().executedPlan().toString()
+    hot = sinks.read_lookup(spark, path, "gene", "HOT")
+    assert hot.count() == df.where("gene = 'HOT'").count() and len(hot.inputFiles()) > 4  # a key of a third of the rows is no single file
+    assert sinks.read_lookup(spark, path, "gene", "G123", "G400").count() == df.where("gene IN ('G123', 'G400')").count()
+    gone = sinks.read_lookup(spark, path, "gene", "ZZZ")
+    assert gone.count() == 0 and gone.schema == one.schema
+    sinks.write_lookup(df.where("gene <> 'G123'"), path, "gene", files=40)
+    assert sinks.read_lookup(spark, path, "gene", "G123").count() == 0 and sinks.read_lookup(spark, path, "gene", "G123", version=1).count() == one.count()
+
+
+def test_marts_follow_their_inputs(spark, tmp_path):
+    from contrastry.plans import views as v
+    from contrastry.plans import warehouse
+    built = []
+
+    @warehouse.mart("t_first")
+    def first(s, d):
+        built.append("first")
+        return v.table(s, d, "one").groupBy().agg(F.sum("id").alias("n"))
+
+    @warehouse.mart("t_second")
+    def second(s, d):
+        built.append("second")
+        return first(s, d).crossJoin(v.table(s, d, "two").groupBy().agg(F.count(F.lit(1)).alias("m"))).select((F.col("n") + F.col("m")).alias("n"))
+
+    @warehouse.mart("t_other")
+    def other(s, d):
+        built.append("other")
+        return v.table(s, d, "two").groupBy().agg(F.count(F.lit(1)).alias("n"))
+
+    d = str(tmp_path)
+    for name, rows in (("one", 4), ("two", 2)):
+        spark.range(rows).write.parquet(f"{d}/{name}.parquet")
+    ask = lambda: (other(spark, d).first().n, second(spark, d).first().n)
+    assert ask() == (2, 8) == ask() and sorted(built) == ["first", "other", "second"]
+    assert not {"t_first", "t_second", "t_other"} & set(warehouse.refresh(spark))
+    spark.range(5).write.mode("overwrite").parquet(f"{d}/one.parquet")
+    assert ask() == (2, 8)  # until asked to look
+    assert warehouse.refresh(spark) == ["t_first", "t_second"]
+    assert ask() == (2, 12) and sorted(built) == ["first", "first", "other", "second", "second"]
+
+
+def test_cohort_summary_reads_each_table_once(spark):
+    from contrastry.operators.scores import cohort_summary
+    t = lambda rows, schema: spark.createDataFrame(rows, schema)
+    projects, patients = t([("P",), ("P",), (None,)], "project_id string"), t([("c1",), ("c2",)], "case_id string")
+    samples, manifest = t([("s1",)], "sample_id string"), t([("f1",), ("f2",), ("f2",)], "file_id string")
+    tumour, reference = t([("g1",), ("g1",), (None,)], "gene_id string"), t([("g1", "r1"), ("g2", "r1")], "gene_id string, gtex_sample_id string")
+    mutations = t([("s1", "Missense_Mutation", True), ("s2", "Silent", False)], "sample_id string, variant_classification string, is_protein_altering boolean")
+    profile = t([], "sample_id string")
+    got = cohort_summary(projects, patients, samples, manifest, tumour, reference, mutations, profile).first().asDict()
+    assert got == {
+        "tcga_project_count": 1, "tcga_patient_count": 2, "tcga_sample_count": 1, "tcga_file_count": 2, "gtex_expression_sample_count": 1, "tcga_expression_row_count": 3,
+        "gtex_expression_row_count": 2, "gene_count": 2, "mutation_record_count": 2, "protein_altering_mutation_record_count": 1, "mutation_profiled_sample_count": 2}
+    empty = cohort_summary(*[df.limit(0) for df in (projects, patients, samples, manifest, tumour, reference, mutations, profile)]).first().asDict()
+    assert set(empty.values()) == {0}
