@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrastry.plans import files, gold_contrasts, gold_evidence, gold_statistics, reads, silver, studies
+from contrastry.plans import files, gold_contrasts, gold_evidence, gold_statistics, readouts, reads, silver, studies
 
-FAMILIES = (gold_contrasts, gold_statistics, gold_evidence, studies, reads, silver, files)
+FAMILIES = (gold_contrasts, gold_statistics, gold_evidence, studies, reads, readouts, silver, files)
 
 QUERIES = {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 SQL = {name: text for family in FAMILIES for name, text in family.SQL.items()}
