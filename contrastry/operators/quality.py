@@ -313,16 +313,28 @@ def multiset_difference(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def declared_tests(tables: Mapping[str, DataFrame], declarations: Sequence[tuple]) -> DataFrame:
-    """not_null / unique / accepted_values rules declared per (table, column)."""
+    """not_null / unique / accepted_values rules declared per (table, column); one scan for each table.
+
+    A row becomes one entry per declaration: its value where the values must be unique, a failure
+    or nothing else. Entries are counted by value with map-side combining, then by declaration,
+    so a frequent value is one cell. NULLs are neither repeated nor outside a list of values.
+    """
     out = None
-    for table, column, kind, *values in declarations:
-        df, name = tables[table], f"{table}.{column}.{kind}"
-        if kind == "unique":
-            counts = _count_as(df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name, F.count(F.lit(1)))
-        elif kind == "not_null":
-            counts = _count_as(df, name, F.count_if(F.col(column).isNull()))
-        else:
-            counts = _count_as(df, name, F.count_if(~F.col(column).isin(*values[0])))
+    for table in dict.fromkeys(d[0] for d in declarations):
+        entries, names = [], []
+        for _, column, kind, *values in [d for d in declarations if d[0] == table]:
+            if kind not in ("unique", "not_null", "accepted_values"):
+                raise ValueError(f"unknown test {kind}")
+            c = F.col(column)
+            failed = c.isNull() if kind == "not_null" else ~c.isin(*values[0]) if kind == "accepted_values" else F.lit(False)
+            value = c.cast("string") if kind == "unique" else F.lit(None).cast("string")
+            names.append(f"{table}.{column}.{kind}")
+            entries.append(F.struct(F.lit(names[-1]).alias("check_name"), value.alias("value"), F.coalesce(failed, F.lit(False)).alias("failed")))
+        cells = tables[table].select(F.explode(F.array(*entries)).alias("e")).select("e.*").groupBy("check_name", "value").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("failed"))
+        found = cells.groupBy("check_name").agg(F.sum(F.col("failed") + F.when(F.col("value").isNotNull() & (F.col("n") > 1), 1).otherwise(0)).alias("failed_rows"))
+        declared = tables[table].sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("check_name"))  # a table without rows passes
+        counts = declared.join(found, "check_name", "left").select("check_name", F.coalesce("failed_rows", F.lit(0)).alias("failed_rows"))
         out = counts if out is None else out.unionByName(counts)
     return graded(out)
 

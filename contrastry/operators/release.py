@@ -156,19 +156,40 @@ def resource_inventory(spark: SparkSession, tables: Mapping[str, DataFrame]) ->
     return out
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Order-independent content hash: the sum of row hashes, kept exact as a decimal."""
-    row = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])
-    return df.agg(F.sum(row.cast("decimal(38,0)")).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("row_count"))
+def fingerprint(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Order-independent content hash, of the table or of each slice: the sum of row hashes, kept exact as a decimal.
+
+    Spark's hash passes over NULLs, so which columns are NULL is hashed as well: a value that
+    moves into an empty neighbour column counts as a change.
+    """
+    columns = [F.col(c) for c in sorted(df.columns)]
+    row = F.xxhash64(*columns, *[c.isNull() for c in columns])
+    return df.groupBy(*by).agg(F.sum(row.cast("decimal(38,0)")).cast("string").alias("fingerprint"), F.count(F.lit(1)).alias("row_count"))
+
+
+def plan_changes(current: DataFrame, frozen: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+    """Every input of two plans as added, removed, changed or unchanged, with its rows before and after.
+
+    Inputs without a row have no fingerprint and equal each other; plans made without
+    ``row_count`` are compared by fingerprint alone.
+    """
+    def side(plan: DataFrame, mark: str) -> DataFrame:
+        rows = F.col("row_count") if "row_count" in plan.columns else F.lit(None).cast("long")
+        return plan.select(*keys, F.col("fingerprint").alias(f"_print_{mark}"), rows.alias(f"rows_{mark}"), F.lit(True).alias(f"_in_{mark}"))
+
+    kind = (
+        F.when(F.col("_in_before").isNull(), "added").when(F.col("_in_after").isNull(), "removed")
+        .when(F.col("_print_before").eqNullSafe(F.col("_print_after")), "unchanged").otherwise("changed")
+    )
+    both = side(frozen, "before").join(side(current, "after"), list(keys), "full")
+    return both.select(*keys, kind.alias("change"), "rows_before", "rows_after")
 
 
 def require_same_plan(current: DataFrame, frozen: DataFrame, keys: Sequence[str] = ("name",)) -> None:
     """Refuse to continue when any input fingerprint differs from the frozen plan."""
-    changed = current.join(frozen.withColumnRenamed("fingerprint", "_frozen"), list(keys), "full").where(
-        ~F.col("fingerprint").eqNullSafe(F.col("_frozen"))
-    )
-    if changed.limit(1).count():
-        raise ValueError("inputs differ from the frozen plan; start a new study")
+    first = plan_changes(current, frozen, keys).where("change <> 'unchanged'").limit(1).collect()  # one row at most
+    if first:
+        raise ValueError(f"inputs differ from the frozen plan ({first[0].asDict()}); start a new study")
 
 
 def bounded_history(runs: DataFrame, *, keep: int = 200, started: str = "started_at", run: str = "run_id") -> DataFrame:

@@ -230,6 +230,17 @@ def fingerprints(s, d):
     return x_ops.fingerprint(lines).select("row_count", (F.col("fingerprint") == other).alias("order_independent"))
 
 
+def frozen_plan_changes(s, d):
+    """Orders by day against a frozen plan in which some days were absent, some orders stood otherwise, and one column was shifted."""
+    orders = v.table(s, d, "orders").withColumn("day", F.unix_date(F.col("o_orderdate").cast("date")))
+    number = F.col("o_orderkey")
+    earlier = orders.where(F.col("day") % 29 != 0).withColumns({
+        "o_orderstatus": F.when(number % 997 == 0, "?").otherwise(F.col("o_orderstatus")),
+        "o_custkey": F.when(number % 1009 == 0, F.lit(None)).otherwise(F.col("o_custkey")),
+    })
+    return x_ops.plan_changes(x_ops.fingerprint(orders.where(F.col("day") % 31 != 0), ["day"]), x_ops.fingerprint(earlier, ["day"]), ["day"])
+
+
 QUERIES = {
     # reads
     "project_list": lambda s, d: l_ops.project_list(ge.projects(s, d)),
@@ -292,6 +303,7 @@ QUERIES = {
     "leaked_identifiers": lambda s, d: x_ops.leaked_identifiers(v.table(s, d, "documents"), document_ids(s, d)),
     "resource_inventory": lambda s, d: x_ops.resource_inventory(s, {"contrast": gc.contrast(s, d), "priority": ge.priority(s, d), "public_nodes": g_ops.public_nodes(ge.nodes(s, d))}),
     "content_fingerprint": fingerprints,
+    "frozen_plan_changes": frozen_plan_changes,
 }
 
 PRIORITY = "mutation_frequency abs_log2_fold_change log2_fold_change"
@@ -386,6 +398,14 @@ SQL = {
     "resource_inventory": v.sql("""SELECT 'contrast' AS name, count(*) AS row_count, 9::BIGINT AS column_count, 2::BIGINT AS string_columns, 2::BIGINT AS integer_columns, 5::BIGINT AS number_columns, 0::BIGINT AS boolean_columns FROM contrast
         UNION ALL SELECT 'priority', count(*), 12, 4, 4, 4, 0 FROM priority UNION ALL SELECT 'public_nodes', count(*), 5, 5, 0, 0, 0 FROM public_nodes""", "contrast", "priority", "public_nodes"),
     "content_fingerprint": "SELECT count(*) AS row_count, true AS order_independent FROM lineitem",
+    # rows themselves are compared here, not their hashes
+    "frozen_plan_changes": """WITH days AS (SELECT *, CAST(date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS day FROM orders),
+        now AS (SELECT * FROM days WHERE day % 31 <> 0),
+        earlier AS (SELECT * REPLACE (CASE WHEN o_orderkey % 997 = 0 THEN '?' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 1009 <> 0 THEN o_custkey END AS o_custkey)
+                    FROM days WHERE day % 29 <> 0),
+        moved AS (SELECT DISTINCT day FROM ((SELECT * FROM now EXCEPT ALL SELECT * FROM earlier) UNION ALL (SELECT * FROM earlier EXCEPT ALL SELECT * FROM now)))
+        SELECT day, CASE WHEN rows_before IS NULL THEN 'added' WHEN rows_after IS NULL THEN 'removed' WHEN day IN (FROM moved) THEN 'changed' ELSE 'unchanged' END AS change, rows_before, rows_after
+        FROM (SELECT day, count(*) AS rows_before FROM earlier GROUP BY 1) FULL JOIN (SELECT day, count(*) AS rows_after FROM now GROUP BY 1) USING (day)""",
 }
 
 

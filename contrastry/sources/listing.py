@@ -8,6 +8,7 @@ A task that is lost hashes its files again from their beginning.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,19 @@ def listed_files(spark: SparkSession, path: str, *, name: str = r"([^/]+)$") ->
     return files.select("path", F.regexp_extract("path", name, 1).alias("file_name"), "length", F.col("modificationTime").alias("modified"))
 
 
+def latest_delivery(spark: SparkSession, path: str) -> str:
+    """Of the folders under ``path``, that with the file written last; of equal times the last name.
+
+    A delivery of a distributed job is a folder of many files, written over some time, so the
+    folder is dated by its newest file and taken whole. Only the listing is read.
+    """
+    folder = F.regexp_extract("path", re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/([^/]+)/", 1)
+    newest = listed_files(spark, path).select(folder.alias("folder"), "modified").where(F.col("folder") != "").agg(F.max(F.struct("modified", "folder")).alias("last")).first()
+    if newest.last is None:
+        raise FileNotFoundError(f"no delivery under {path}")
+    return f"{path.rstrip('/')}/{newest.last.folder}"
+
+
 def _digest(path: str, algorithm: str) -> str:
     from pyarrow import fs
 

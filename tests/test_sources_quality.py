@@ -13,7 +13,7 @@ from contrastry.operators import lookups as l_ops
 from contrastry.operators import quality as q_ops
 from contrastry.operators import release as x_ops
 from contrastry.sources import landing as land
-from contrastry.sources import sinks
+from contrastry.sources import listing, sinks
 
 
 def _file(path, text, zipped=False):
@@ -277,6 +277,46 @@ def test_release_audits(spark):
         x_ops.require_same_plan(plan, plan.withColumn("fingerprint", F.lit("0")))
 
 
+def test_plans_by_slice_tell_every_change(spark):
+    schema = "slice long, a string, b string"
+    frozen = spark.createDataFrame([(1, "x", None), (1, "y", "z"), (2, "x", None), (3, "x", "y"), (3, "x", "y"), (5, "gone", None), (None, "n", "n")], schema)
+    current = spark.createDataFrame([(1, "y", "z"), (1, "x", None), (2, None, "x"), (3, "x", "y"), (4, "new", None), (None, "n", "n")], schema)
+    plans = [x_ops.fingerprint(df.repartition(3), ["slice"]).where("slice IS NOT NULL") for df in (current, frozen)]
+    got = {r["slice"]: tuple(r)[1:] for r in x_ops.plan_changes(*plans, ["slice"]).collect()}
+    # in slice 2 a value moved between columns, in slice 3 one of two equal rows went
+    assert got == {1: ("unchanged", 2, 2), 2: ("changed", 1, 1), 3: ("changed", 2, 1), 4: ("added", None, 1), 5: ("removed", 1, None)}
+    empty = x_ops.fingerprint(frozen.limit(0)).withColumn("name", F.lit("t"))
+    assert x_ops.plan_changes(empty, empty).first()["change"] == "unchanged"
+    with pytest.raises(ValueError, match="added|removed|changed"):
+        x_ops.require_same_plan(*plans, ["slice"])
+
+
+def test_declared_tests_scan_each_table_once(spark):
+    people = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, None, "x"), (None, "b", None), (None, "b", "q")], "id long, name string, kind string")
+    declared = (
+        ("people", "id", "unique"), ("people", "id", "not_null"), ("people", "name", "unique"), ("people", "name", "not_null"), ("people", "kind", "accepted_values", ("x", "y")),
+        ("nobody", "id", "unique"), ("nobody", "id", "not_null"),
+    )
+    out = q_ops.declared_tests({"people": people, "nobody": people.limit(0)}, declared)
+    assert {r.check_name: (r.status, r.failed_rows) for r in out.collect()} == {
+        "people.id.unique": ("failed", 1), "people.id.not_null": ("failed", 2), "people.name.unique": ("failed", 1), "people.name.not_null": ("failed", 1),
+        "people.kind.accepted_values": ("failed", 1), "nobody.id.unique": ("passed", 0), "nobody.id.not_null": ("passed", 0)}
+    with pytest.raises(ValueError):
+        q_ops.declared_tests({"people": people}, [("people", "id", "never")])
+
+
+def test_latest_delivery_is_taken_whole(spark, tmp_path):
+    path = str(tmp_path / "deliveries")
+    for name, rows, at in (("z", 4, 100), ("a", 6, 300), ("m", 5, 200)):
+        spark.range(rows).repartition(3).write.parquet(f"{path}/{name}")
+        for i, file in enumerate(sorted((tmp_path / "deliveries" / name).glob("*.parquet"))):
+            os.utime(file, (at + i, at + i))
+    assert listing.latest_delivery(spark, path) == f"{path}/a" and spark.read.parquet(listing.latest_delivery(spark, path + "/")).count() == 6
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        listing.latest_delivery(spark, str(tmp_path / "none"))
+
+
 def test_traceability_warns_about_unparsed_files(spark):
     outcomes = spark.createDataFrame([("P", "expression", "downloaded"), ("P", "expression", "failed"), ("P", "mutations", "downloaded")], "project_id string, modality string, status string")
     silver = spark.createDataFrame([("P", "stub/a"), ("P", "x/b")], "project_id string, data_origin string")
