@@ -10,7 +10,9 @@ verified exactly, by a semi-global edit distance over the stretch around the win
 
 ``REPETITIONS`` walks with ``SAMPLED`` places each set the recall: the target is 0.9 where a
 quarter of the words are edited, and more for fewer edits (measured in the tests). Windows start at
-every word, in classes of item sizes. Before walking, windows that cannot match any item are
+every word, in classes of item sizes. Walks over long strings drift apart for good, so an item of more
+than ``PIECE`` words is cut into pieces; whatever the edits, some piece has no more than its own share
+of them, and its windows stand for the item's, which is verified whole. Before walking, windows that cannot match any item are
 left out by the q-gram lemma (k edits leave all but q * k of the q-grams), which loses nothing.
 
 The benchmark is a stated query set: it is broadcast in blocks of at most ``BLOCK_ITEMS`` items,
@@ -19,8 +21,9 @@ start_word), the best stretch for each pair.
 
 Defined results: NULL, empty and wordless texts or items match nothing; items of fewer than
 four words match only exactly; repeated rows give the same rows again once per id; documents
-with a NULL id are matched under NULL; empty tables give empty results. Texts of any length are
-read whole. Only the named columns are read.
+with a NULL id are matched under NULL; empty tables give empty results. Texts and items of any
+length are read whole; a pair takes time in proportion to the item's words times twice as many, and
+memory in proportion to the item's words. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -42,8 +45,12 @@ REPETITIONS = 12
 SAMPLED = 2
 CLASS_RATIO = 1.15
 BLOCK_ITEMS = 20_000
+#: Words of an item that one walk covers; longer items are cut into equal pieces of at most so many.
+PIECE = 64
 #: Bytes of text walked over together.
 SLICE = 6 << 20
+#: Pairs verified at once, and the cells of each of the six arrays (8 bytes a cell) used for it.
+PAIRS, CELLS = 1_000, 1 << 21
 #: Bits of the table of the items' q-grams.
 GRAM_BITS = 1 << 22
 #: Fixed value: the word behind the end of a string.
@@ -87,12 +94,20 @@ class Items:
         counts = words.counts()
         self.hashes, self.first = words.hash, words.first
         self.ids, self.counts = np.array([-1 if i is None else i for i in ids], np.int64), counts
+        # pieces: (item, first word within it, words); together they are the item
+        parts = -(-counts // PIECE)
+        self.piece_item = np.repeat(np.arange(len(counts)), parts)
+        number = np.arange(len(self.piece_item)) - np.repeat(np.cumsum(parts) - parts, parts)
+        whole, cuts = counts[self.piece_item], parts[self.piece_item]
+        self.offset = number * whole // np.maximum(cuts, 1)
+        lengths = (number + 1) * whole // np.maximum(cuts, 1) - self.offset
+        begins = words.first[self.piece_item] + self.offset
         self.classes = []
-        sizes = np.unique(counts[counts > 0])
+        sizes = np.unique(lengths[lengths > 0])
         while len(sizes):
             low = int(sizes[0])
             high = max(low, int(low * CLASS_RATIO))
-            members = np.flatnonzero((counts >= low) & (counts <= high))
+            members = np.flatnonzero((lengths >= low) & (lengths <= high))
             most = edits(high)
             gram = 2 if low >= 8 else 1
             reach = max(1, int(2 * low * 0.8))
@@ -100,7 +115,7 @@ class Items:
             tables = []
             for r in range(REPETITIONS):
                 places = np.sort(rng.choice(reach, min(SAMPLED, reach), replace=False))
-                own = signatures(self.hashes, self.first[members], self.first[members + 1], places, r)
+                own = signatures(self.hashes, begins[members], begins[members] + lengths[members], places, r)
                 order = np.argsort(own, kind="stable")
                 tables.append((places, own[order], members[order]))
             self.classes.append((low, most, gram, max(1, low - (gram - 1) - gram * most), tables))
@@ -114,7 +129,7 @@ class Items:
             self.grams[gram] = held
 
     def candidates(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(window start, item) pairs that collide in some repetition."""
+        """(window start, piece of an item) pairs that collide in some repetition."""
         total = len(words.hash)
         row_end = np.repeat(words.first[1:], words.counts())
         sums = {}
@@ -143,36 +158,48 @@ class Items:
 
     def verified(self, words: Words) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, distance, start word) of the stretches within the allowed distance."""
-        start, item = self.candidates(words)
+        start, piece = self.candidates(words)
         if not len(start):
             return
-        row = np.searchsorted(words.first, start, "right") - 1
+        row, item = np.searchsorted(words.first, start, "right") - 1, self.piece_item[piece]
         size = self.counts[item]
         slack = np.maximum(1, size * PERCENT_EDITS // 100)
-        block = (start - words.first[row]) // slack
+        block = (start - words.first[row] - self.offset[piece]) // slack  # where the whole item would begin
         keep = np.unique(np.stack([row, item, block], 1), axis=0, return_index=True)[1]
         row, item, size, slack, block = row[keep], item[keep], size[keep], slack[keep], block[keep]
         low = words.first[row] + np.maximum(0, (block - 1) * slack)
         high = np.minimum(words.first[row + 1], words.first[row] + (block + 2) * slack + size + slack)
         order = np.argsort(size, kind="stable")
-        for at in range(0, len(order), 1_000):
-            part = order[at:at + 1_000]
+        order = order[(high - low)[order] >= np.maximum(1, size - slack)[order]]  # a shorter stretch lacks too many words
+        for begin, end in together((high - low)[order]):
+            part = order[begin:end]
             best, begins = semi_global(words.hash, low[part], high[part], self.hashes, self.first[item[part]], size[part])
             for i in np.flatnonzero(best <= size[part] * PERCENT_EDITS // 100).tolist():
                 k = part[i]
                 yield int(row[k]), int(item[k]), int(best[i]), int(begins[i] - words.first[row[k]])
 
 
+def together(widths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of pairs that are verified at once: at most ``PAIRS``, and rows times the widest within ``CELLS`` (a wider pair goes alone)."""
+    begin = widest = 0
+    for i, width in enumerate(widths.tolist()):
+        if i > begin and (i - begin == PAIRS or (i - begin + 1) * max(widest, width) > CELLS):
+            yield begin, i
+            begin, widest = i, 0
+        widest = max(widest, width)
+    if len(widths):
+        yield begin, len(widths)
+
+
 def semi_global(text: np.ndarray, low: np.ndarray, high: np.ndarray, items: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest edit distance of each item to any stretch of its part of the text, and where that stretch begins."""
     width, rows, longest = int((high - low).max()), len(low), int(size.max())
     column = np.arange(width)
     inside = low[:, None] + column
     part = np.where(inside < high[:, None], text[np.minimum(inside, len(text) - 1)], PAD)
-    # cost and begin travel together: cost * scale + begin, so that the smaller begin breaks ties
-    scale = 1 << 20
-    if width >= scale:
-        raise ValueError("item too long to verify")
+    # cost and begin travel together: cost * scale + begin, so that the smaller begin breaks ties;
+    # a cost is at most longest + width, so both fit for any text that fits in memory
+    scale = 1 << width.bit_length()
     state = np.arange(width + 1, dtype=np.int64)[None, :].repeat(rows, 0)
     slope = np.arange(width + 1, dtype=np.int64) * scale
     best = np.full(rows, np.iinfo(np.int64).max)

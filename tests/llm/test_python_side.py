@@ -109,6 +109,47 @@ def test_recall_and_exact_distances():
             assert share or distance == word_distance(items[i], texts[row])
 
 
+def test_pairs_are_verified_together_within_a_bound():
+    r = np.random.default_rng(3)
+    for widths in ([], [5], [decontaminate.CELLS * 3], [10] * 2_500, [decontaminate.CELLS // 2] * 5 + [decontaminate.CELLS + 1, 7], np.sort(r.integers(1, 60_000, 4_000)).tolist()):
+        runs = list(decontaminate.together(np.array(widths, np.int64)))
+        assert [i for begin, end in runs for i in range(begin, end)] == list(range(len(widths)))
+        for begin, end in runs:
+            assert end - begin == 1 or (end - begin <= decontaminate.PAIRS and (end - begin) * max(widths[begin:end]) <= decontaminate.CELLS)
+
+
+def test_wide_stretches_and_long_items():
+    item, width = np.array([11, 12, 13], np.uint64), (1 << 20) + 50
+    text = np.ones(width, np.uint64)
+    text[-20:-18] = item[[0, 2]]  # the word between is missing
+    best, begins = decontaminate.semi_global(text, np.array([0]), np.array([width]), item, np.array([0]), np.array([3]))
+    assert (best.tolist(), begins.tolist()) == ([1], [width - 20])
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    body = [r.choice(vocabulary) for _ in range(2_000)]
+    copy = mutated(r, body, 300, vocabulary)
+    known = decontaminate.Items([7], [" ".join(body)])
+    words = Words(pa.array([" ".join(["before"] * 30 + copy + ["after"] * 30), "another text"]), lower=True, separator=PUNCTUATION)
+    found = list(known.verified(words))
+    assert {(row, item) for row, item, *_ in found} == {(0, 0)} and min(f[2] for f in found) == word_distance(body, copy)
+
+
+def test_recall_of_long_items():
+    r = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [[r.choice(vocabulary) for _ in range(r.choice((65, 130, 400, 900)))] for _ in range(30)]
+    known = decontaminate.Items(list(range(30)), [" ".join(i) for i in items])
+    for share in (0.0, 0.15, 0.25):
+        texts = [[r.choice(vocabulary) for _ in range(r.randint(0, 90))] + mutated(r, item, int(share * len(item)), vocabulary) + [r.choice(vocabulary)] * r.randint(0, 90) for item in items]
+        words = Words(pa.array([" ".join(t) for t in texts]), lower=True, separator=PUNCTUATION)
+        found = {}
+        for row, item, distance, _ in known.verified(words):
+            found[row, item] = min(distance, found.get((row, item), len(texts[row])))
+        assert len([i for i in range(30) if (i, i) in found]) >= 0.9 * 30 and all(row == item for row, item in found)
+        for (row, item), distance in list(found.items())[:10]:
+            assert distance == word_distance(items[item], texts[row])
+
+
 def test_leaks_of_awkward_rows(spark):
     items = spark.createDataFrame([(1, "It woke at NOON nobody minded of course"), (2, None), (3, ""), (4, "?!"), (5, "one two"), (5, "one two"), (None, "the quick brown fox")], "item_id long, text string")
     got = rows_of(decontaminate.leaks(awkward_documents(spark), items).select("doc_id", "item_id", "distance"))
