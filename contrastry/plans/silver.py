@@ -124,11 +124,16 @@ MATRIX_CAP, COUNT_CAP = 10, 12
 def _matrix_rows(s, d, value: str):
     """(cohort, gene, cells): one cell for each sample of the dense table in order of its name, blank where unmeasured; and the names."""
     rows = st.dense(s, d)
-    names = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(st.unit_count(s, d, "dense") - 1)), lambda u: F.transform(
-        F.array(F.lit("a"), F.lit("n"), F.lit("t")), lambda arm: F.concat(arm, F.lit("-U"), u))))
+    arms, units = F.array(F.lit("a"), F.lit("n"), F.lit("t")), st.unit_count(s, d, "dense")
+    names = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(units - 1)), lambda u: F.transform(arms, lambda arm: F.concat(arm, F.lit("-U"), u))))
+    # a blank for each column and the measured cells take their places by one sort of the line: looking every name up would cost its width squared
+    place = F.substring("unit_id", 2, 20).cast("long") * 3 + F.array_position(arms, F.col("_arm")) - 1
+    held = rows.select("cancer_type", "gene_symbol", place.alias("_place"), F.col(value).cast("string").alias("_cell"))
+    blank = rows.select("cancer_type", "gene_symbol").distinct().select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3 * units - 1).cast("long"))).alias("_place"), F.lit("").alias("_cell"))
+    cells = blank.unionByName(held).groupBy("cancer_type", "gene_symbol", "_place").agg(F.max("_cell").alias("_cell"))
     # one entry for each column of the file; a line is as wide as its file
-    held = rows.groupBy("cancer_type", "gene_symbol").agg(F.map_from_entries(F.collect_list(F.struct("sample_id", F.col(value).cast("string")))).alias("_held"))
-    return held.select("cancer_type", "gene_symbol", F.transform(names, lambda n: F.coalesce(F.try_element_at("_held", n), F.lit(""))).alias("cells")), names
+    lines = cells.groupBy("cancer_type", "gene_symbol").agg(F.sort_array(F.collect_list(F.struct("_place", "_cell"))).alias("_line"))
+    return lines.select("cancer_type", "gene_symbol", F.col("_line._cell").alias("cells")), names
 
 
 def matrix_path(s, d):

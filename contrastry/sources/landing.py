@@ -202,18 +202,31 @@ def selected_cells(data: DataFrame, columns: DataFrame, attributes: Sequence[str
     """Wide rows (file_path, …, _cells) to one row (…, attributes, _cell) for each selected column.
 
     ``columns`` is (file_path, _pos, attributes…) with the columns to keep. They are gathered into
-    tiles of ``tile`` columns with their positions, so a line of any width becomes one row a tile,
-    and only the cells at the positions of a tile ever become rows. A line that is too short
-    lacks its last cells.
+    tiles of ``tile`` columns with their positions, and a line is cut at the same places, so it meets
+    each tile with the cells of that tile alone, and only the cells at its positions ever become
+    rows. A line that is too short lacks its last cells.
     """
     tiles = columns.withColumn("_tile", F.floor(F.col("_pos") / tile)).groupBy("file_path", "_tile").agg(
         F.collect_list(F.struct("_pos", *attributes)).alias("_kept"))  # at most ``tile`` columns
-    tiled = data.join(tiles, "file_path")
-    found = F.filter(F.transform("_kept", lambda c: F.struct(*[c[a].alias(a) for a in attributes], F.get("_cells", c["_pos"]).alias("_cell"))), lambda c: c["_cell"].isNotNull())
+    tiled = cell_tiles(data, tile=tile).join(tiles, ["file_path", "_tile"])
+    inside = F.col("_tile") * tile
+    found = F.filter(F.transform("_kept", lambda c: F.struct(*[c[a].alias(a) for a in attributes], F.get("_cells", (c["_pos"] - inside).cast("int")).alias("_cell"))), lambda c: c["_cell"].isNotNull())
     others = [c for c in data.columns if c != "_cells"]
     return tiled.select(*others, F.inline(found))
 
 
+def cell_tiles(data: DataFrame, *, tile: int = TILE) -> DataFrame:
+    """Wide rows (…, _cells) to one row (…, _tile, _cells) for every ``tile`` cells of a line."""
+
+    def cut(cells: Column) -> Column:
+        last = F.floor(F.greatest(F.size(cells) - 1, F.lit(0)) / tile)
+        return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda t: F.struct(t.alias("_tile"), F.slice(cells, (t * tile + 1).cast("int"), tile).alias("_cells")))
+
+    # the cells are bound once: inside the inner function their expression would split the line again for each tile
+    pieces = F.flatten(F.transform(F.array("_cells"), cut))
+    return data.select(*[c for c in data.columns if c != "_cells"], F.inline(pieces))
+
+
 def tissue_mismatches(landed: DataFrame, attributes: DataFrame) -> DataFrame:
     """Samples whose declared tissue (SAMPID, SMTSD) differs from their file's; must be empty."""
     declared = attributes.select(F.col("SAMPID").alias("gtex_sample_id"), F.col("SMTSD").alias("declared"))

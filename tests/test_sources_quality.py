@@ -347,6 +347,31 @@ def test_wide_lines_land_in_tiles(spark):
     assert sorted(tuple(r) for r in got.select("gene", "sample", "_cell").collect()) == [(1, "S0", "a"), (1, "S1", ""), (1, "S3", "d"), (1, "S4", "e"), (2, "S0", "v"), (2, "S1", "w")]
 
 
+def test_a_wide_line_meets_each_tile_with_its_own_cells(spark):
+    data = spark.createDataFrame([("f", "g", [str(i) for i in range(2_503)]), ("f", "h", ["x"]), ("f", "e", [])], "file_path string, gene string, _cells array<string>")
+    tiles = land.cell_tiles(data, tile=1_000).select("gene", "_tile", "_cells").collect()
+    assert sorted((r.gene, r["_tile"], len(r["_cells"])) for r in tiles) == [("e", 0, 0), ("g", 0, 1_000), ("g", 1, 1_000), ("g", 2, 503), ("h", 0, 1)]
+    columns = spark.range(3_000).where("id % 3 = 0").select(F.lit("f").alias("file_path"), F.col("id").cast("int").alias("_pos"), F.concat(F.lit("S"), "id").alias("sample"))
+    got = land.selected_cells(data, columns, ["sample"]).collect()
+    assert sorted((r.gene, r["sample"], r["_cell"]) for r in got) == sorted([("g", f"S{i}", str(i)) for i in range(0, 2_503, 3)] + [("h", "S0", "x")])
+
+
+def test_matrix_lines_are_in_place_at_any_width(spark, monkeypatch):
+    from contrastry.plans import silver, studies
+
+    wide = 8_000
+    held = spark.range(3 * wide).where("id % 7 <> 0").select(
+        F.lit("BUILDING").alias("cancer_type"), F.lit("G1").alias("gene_symbol"), F.element_at(F.array(F.lit("a"), F.lit("n"), F.lit("t")), (F.col("id") % 3 + 1).cast("int")).alias("_arm"),
+        F.concat(F.lit("U"), F.floor(F.col("id") / 3)).alias("unit_id"), F.col("id").cast("double").alias("native_value"))
+    monkeypatch.setattr(studies, "dense", lambda s, d: held.withColumn("sample_id", F.concat_ws("-", "_arm", "unit_id")))
+    monkeypatch.setattr(studies, "unit_count", lambda s, d, table: wide)
+    lines, names = silver._matrix_rows(spark, "", "native_value")
+    assert not any(w in lines._jdf.queryExecution().optimizedPlan().toString() for w in ("map_from_entries", "try_element_at"))  # a name is never looked up along a line
+    (row,) = lines.withColumn("names", names).collect()
+    assert row.cells == ["" if i % 7 == 0 else f"{i}.0" for i in range(3 * wide)]
+    assert row.names[:4] == ["a-U0", "n-U0", "t-U0", "a-U1"] and len(row.names) == 3 * wide
+
+
 def test_lookup_opens_few_files(spark, tmp_path):
     path = str(tmp_path / "keyed")
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("G"), F.lpad((F.col("id") % 500).cast("string"), 3, "0"))).alias("gene"), F.col("id").alias("sample"))
