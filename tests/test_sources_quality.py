@@ -1,6 +1,7 @@
 """Landing, conformance, quality, reads and release on small files and frames."""
 
 import gzip
+import hashlib
 import json
 import os
 
@@ -372,6 +373,18 @@ def test_matrix_lines_are_in_place_at_any_width(spark, monkeypatch):
     assert row.names[:4] == ["a-U0", "n-U0", "t-U0", "a-U1"] and len(row.names) == 3 * wide
 
 
+def test_many_files_are_written_by_many_tasks_into_few_folders(spark, tmp_path):
+    path = str(tmp_path / "delivered")
+    df = spark.range(500).coalesce(1).select(F.concat(F.lit("F"), "id").alias("name"), F.concat(F.lit("line é "), "id", F.lit("\n")).alias("value"))
+    sinks.write_files(df, path, folders=40)
+    sinks.write_files(df.where("id < 100"), path, folders=40)  # tasks that run again leave the same files
+    found = q_ops.file_listing(spark, path).collect()
+    assert {r.file_name: r.md5 for r in found} == {f"F{i}": hashlib.md5(f"line é {i}\n".encode()).hexdigest() for i in range(500)} and len(found) == 500
+    assert len(list((tmp_path / "delivered").iterdir())) <= 40 and not list((tmp_path / "delivered").glob("*/.*"))
+    sinks.write_files(df.limit(0), str(tmp_path / "none"))
+    assert q_ops.file_listing(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_lookup_opens_few_files(spark, tmp_path):
     path = str(tmp_path / "keyed")
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("G"), F.lpad((F.col("id") % 500).cast("string"), 3, "0"))).alias("gene"), F.col("id").alias("sample"))
