@@ -192,3 +192,13 @@ def test_neighbourhood_has_no_dangling_nodes(spark):
     assert [r.edge_id for r in near.collect()] == ["e1"]
     assert {r.node_id for r in g_ops.induced_nodes(nodes, near).collect()} == {"BRCA", "GENE:TP53"}
     assert g_ops.neighbourhood_edges(nodes, edges, node_query="absent").count() == 0
+
+
+def test_tables_of_measurements_share_one_join(spark):
+    from contrastry.plans import views as v
+
+    d = "/root/testdata/sf0.001"
+    tables = [t.fresh(spark, d) for t in (v.tumour, v.reference, v.reprocessed)]
+    for df in tables:
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert tables[0].count() + tables[1].count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
