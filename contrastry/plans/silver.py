@@ -25,11 +25,8 @@ def _write_lines(df, label):
 
 def _with_headers(body, heads):
     """Body lines plus the header lines of every name that occurs."""
-    names = body.select("name").distinct()
-    out = body
-    for head in heads:
-        out = out.unionByName(names.select("name", head.alias("value")))
-    return out
+    names = body.select("name").distinct()  # once for all header lines
+    return body.unionByName(names.select("name", F.explode(F.array(*heads)).alias("value")))
 
 
 # ---------------------------------------------------------------- expression files
