@@ -202,3 +202,23 @@ def test_tables_of_measurements_share_one_join(spark):
     for df in tables:
         assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert tables[0].count() + tables[1].count() == spark.read.parquet(f"{d}/lineitem.parquet").count()
+
+
+def test_schema_presence_builds_no_mart(spark):
+    from contrastry.plans import reads, warehouse
+
+    before = set(warehouse._STORED)
+    rows = reads.schema_checks(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 21 and "gold_graph_edges_schema_columns_present" in {r.check_name for r in rows if r.status == "passed"}
+    assert set(warehouse._STORED) == before
+
+
+def test_planned_tables_have_the_columns_of_the_written_ones(spark):
+    from contrastry.plans import gold_contrasts as gc
+    from contrastry.session import schemas_only
+
+    d = "/root/testdata/sf0.001/"  # a key of its own: nothing is stored for it elsewhere
+    with schemas_only():
+        planned = gc.validation(spark, d)
+        assert planned.count() == 0
+    assert planned.columns == gc.validation(spark, d).columns
