@@ -222,3 +222,16 @@ def test_planned_tables_have_the_columns_of_the_written_ones(spark):
         planned = gc.validation(spark, d)
         assert planned.count() == 0
     assert planned.columns == gc.validation(spark, d).columns
+
+
+def test_contrast_and_triangulation_share_the_profiled_arms(spark):
+    from contrastry.plans import gold_contrasts as gc
+    from contrastry.plans import warehouse
+
+    d = "/root/testdata/sf0.001"
+    for mart in (gc.contrast, gc.triangulation):
+        kept, afresh = (df.orderBy("cancer_type", "gene_symbol").collect() for df in (mart(spark, d), mart.fresh(spark, d)))
+        assert [r.gene_symbol for r in kept] == [r.gene_symbol for r in afresh] and len(kept) > 0
+        for a, b in zip(kept, afresh):
+            assert all(x == pytest.approx(y) for x, y in zip(a, b))
+    assert {"arm_profiles", "adjacent_profile"} <= {name for _, _, name in warehouse._STORED}
