@@ -235,3 +235,14 @@ def test_contrast_and_triangulation_share_the_profiled_arms(spark):
         for a, b in zip(kept, afresh):
             assert all(x == pytest.approx(y) for x, y in zip(a, b))
     assert {"arm_profiles", "adjacent_profile"} <= {name for _, _, name in warehouse._STORED}
+
+
+def test_dangling_edges_stay_one_row_each(spark):
+    from contrastry.operators import quality as q_ops
+
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "node_id string")
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", "a", "x"), ("2", "y", "x"), ("3", "x", "b"), ("4", None, "a"), (None, "a", "z"), (None, "z", "a")],
+                                  "edge_id string, source_node_id string, target_node_id string")
+    found = q_ops.dangling_edges(nodes, edges)
+    assert found.first().failed_rows == 4  # 2, 3, 4 and the edges without an id
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
