@@ -5,7 +5,9 @@ A token sequence is the BPE encoding of a word exactly when every adjacent pair
 new words are first cut greedily into the longest tokens; all adjacent pairs of a slice are
 then checked together in numpy by undoing merges from the later token to the earlier and
 asking whether the boundary would have merged sooner; only words with a failing pair go
-through the merge rules. Results of words are kept in a bounded dictionary per worker.
+through the merge rules. The words of a slice walk the tokens' prefix tree, and merge, side by
+side as rows of arrays; words over ``ROW_BYTES`` go one by one. Results of words are kept in a
+bounded dictionary per worker; a full one keeps the words of the slice at hand.
 
 Token ids must be the order of the merge rules, as in byte-level vocabularies; loading checks
 that. Tokens that merging cannot reach are left out of the greedy step.
@@ -37,6 +39,8 @@ WORD = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Spac
 VOCABULARY = "byte_bpe_50k.json"
 CACHED_WORDS = 200_000
 NEVER = np.int64(1) << 40
+#: Longest word worked on as a row of arrays, rows merged at once, and the rank of a pair without a rule there.
+ROW_BYTES, ROWS, NO_RULE = 64, 8192, np.int32(1 << 30)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -89,10 +93,29 @@ class Vocabulary:
         self.longest = [0] * 256
         for token in self.greedy:
             self.longest[token[0]] = max(self.longest[token[0]], len(token))
+        self.children, self.ends = self.prefix_tree()
+        alone = np.arange(65536)
+        self.byte_pairs = np.minimum(self.lookup(self.single[alone >> 8], self.single[alone & 255]), NO_RULE).astype(np.int32)
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.specials) + ")") if self.specials else None
         self.decimals = [b"%d," % i for i in range(size)]
         self.cache: dict[str, bytes] = {}
 
+    def prefix_tree(self) -> tuple[np.ndarray, np.ndarray]:
+        """Next node by (node, byte), or -1, and the token that ends at each node, or -1.
+
+        Nodes without children are numbered last and share the last row, which leads nowhere."""
+        inner = {token[:n] for token in self.greedy for n in range(len(token))}
+        number = {prefix: i for i, prefix in enumerate(sorted(inner, key=len))}
+        for token in self.greedy:
+            number.setdefault(token, len(number))
+        children = np.full((len(inner) + 1, 256), -1, np.int32)
+        ends = np.full(len(number), -1, np.int32)
+        for prefix, node in number.items():
+            if prefix:
+                children[number[prefix[:-1]], prefix[-1]] = node
+                ends[node] = self.greedy.get(prefix, -1)
+        return children, ends
+
     def lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The token that the pair merges into, or NEVER."""
         wanted = a.astype(np.int64) << 20 | b
@@ -152,28 +175,106 @@ class Vocabulary:
                 heapq.heappush(heap, (self.pairs[p], before[i], p))
         return [i for i in ids if i is not None]
 
+    def proposed_rows(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match of all words side by side: number of tokens of each, and the tokens one word after another."""
+        text = np.frombuffer(b"".join(raw) + b"\0", np.uint8)
+        stop = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        live, dead = np.arange(len(raw)), len(self.children) - 1
+        at, end, node = np.concatenate([[0], stop[:-1]])[:len(raw)], stop, np.zeros(len(raw), np.int64)
+        best, back = node.copy(), at
+        owners, found = [], []
+        while len(live):
+            step = self.children[np.minimum(node, dead), text[at]]
+            on = (step >= 0) & (at < end)
+            node, at = np.where(on, step, 0), at + on
+            token = self.ends[node]  # the root ends no token
+            whole = token >= 0
+            best, back = np.where(whole, token, best), np.where(whole, at, back)
+            off = np.flatnonzero(~on)
+            if len(off):
+                owners.append(live[off])
+                found.append(best[off])
+                at[off] = back[off]
+                left = on | (at < end)
+                live, at, end, node, best, back = (v[left] for v in (live, at, end, node, best, back))
+        if not owners:
+            return np.zeros(len(raw), np.int64), np.zeros(0, np.int64)
+        owner = np.concatenate(owners)
+        return np.bincount(owner, minlength=len(raw)), np.concatenate(found)[np.argsort(owner, kind="stable")]
+
+    def merged_rows(self, raw: list[bytes]) -> list[np.ndarray]:
+        """The merge rules on words side by side: in each round every word merges its oldest rule's first pair."""
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        width = int(sizes.max()) + 1
+        column = np.arange(width)
+        text = np.zeros((len(raw), width), np.int64)
+        inside = column < sizes[:, None]
+        text[inside] = np.frombuffer(b"".join(raw), np.uint8)
+        ids = np.where(inside, self.single[text], -1)
+        # the last columns of both stay empty, as a merge moves what follows it one place to the left
+        rank = np.full((len(raw), width), NO_RULE, np.int32)
+        rank[:, :-1] = np.where(inside[:, 1:], self.byte_pairs[text[:, :-1] << 8 | text[:, 1:]], NO_RULE)
+        out: list[np.ndarray] = [ids[0]] * len(raw)
+        live = np.arange(len(raw))
+        while len(live):
+            row = np.arange(len(live))
+            j = rank.argmin(1)
+            made = rank[row, j]
+            going = made < NO_RULE
+            for i in np.flatnonzero(~going).tolist():
+                out[live[i]] = ids[i, :sizes[i]]
+            if not going.all():
+                live, sizes, ids, rank, j, made = (v[going] for v in (live, sizes, ids, rank, j, made))
+                row = np.arange(len(live))
+            if not len(live):
+                break
+            source = np.minimum(column + (column > j[:, None]), width - 1)
+            ids, rank = np.take_along_axis(ids, source, 1), np.take_along_axis(rank, source, 1)
+            sizes = sizes - 1
+            ids[row, j] = made
+            after = ids[row, np.minimum(j + 1, width - 1)]
+            rank[row, j] = np.where(j + 1 < sizes, np.minimum(self.lookup(made, np.maximum(after, 0)), NO_RULE), NO_RULE)
+            has = np.flatnonzero(j > 0)
+            rank[has, j[has] - 1] = np.minimum(self.lookup(ids[has, j[has] - 1], made[has]), NO_RULE)
+        return out
+
     def learn(self, words: list[str]) -> None:
         """Encode new words together and keep the results."""
         raw = [w.encode() for w in words]
-        cuts = [self.proposed(w) for w in raw]
-        sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        flat = np.fromiter((t for cut in cuts for t in cut), np.int64, int(sizes.sum()))
-        owner = np.repeat(np.arange(len(cuts)), sizes)
+        long = [i for i, w in enumerate(raw) if len(w) > ROW_BYTES]
+        if long:
+            short = [i for i, w in enumerate(raw) if len(w) <= ROW_BYTES]
+            words, raw = [words[i] for i in short + long], [raw[i] for i in short + long]
+        rows = len(raw) - len(long)
+        cuts = [self.proposed(w) for w in raw[rows:]]
+        sizes, flat = self.proposed_rows(raw[:rows])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, cuts), np.int64, len(cuts))])
+        flat = np.concatenate([flat, np.fromiter((t for cut in cuts for t in cut), np.int64, int(sizes[rows:].sum()))]).astype(np.int64)
+        owner = np.repeat(np.arange(len(raw)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         keys, where = np.unique(flat[inner] << 20 | flat[inner + 1], return_inverse=True)
         good = self.compatible(keys >> 20, keys & 0xFFFFF)[where] if len(keys) else np.zeros(0, bool)
-        for i in np.unique(owner[inner[~good]]).tolist():
-            cuts[i] = self.merged(raw[i])
-        packed = self.cache
-        for word, cut in zip(words, cuts):
-            packed[word] = np.array(cut, "<u4").tobytes()
+        packed, data, ends = self.cache, flat.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        start = 0
+        for word, end in zip(words, ends):
+            packed[word] = data[start:end]
+            start = end
+        failing = np.unique(owner[inner[~good]])
+        for i in failing[failing >= rows].tolist():
+            packed[words[i]] = np.array(self.merged(raw[i]), "<u4").tobytes()
+        # words of like lengths share a block of rows
+        failing = failing[failing < rows]
+        length = np.fromiter(map(len, raw[:rows]), np.int64, rows)[failing]
+        failing = failing[np.argsort(length, kind="stable")].tolist()
+        for first in range(0, len(failing), ROWS):
+            block = failing[first:first + ROWS]
+            for i, ids in zip(block, self.merged_rows([raw[i] for i in block])):
+                packed[words[i]] = ids.astype("<u4").tobytes()
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Token ids of each text."""
         pieces: list[list[str | int]] = []
         unknown: set[str] = set()
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
         for text in texts:
             parts: list[str | int] = []
             if text:
@@ -184,6 +285,8 @@ class Vocabulary:
                         parts.extend(WORD.findall(part))
             pieces.append(parts)
             unknown.update(parts)
+        if len(self.cache) > CACHED_WORDS:
+            self.cache = {w: self.cache[w] for w in unknown if w in self.cache}
         fixed = {i: np.array([i], "<u4").tobytes() for i in self.specials.values()}
         new = [w for w in unknown if isinstance(w, str) and w not in self.cache]
         if new:

@@ -35,6 +35,28 @@ def test_encoding_equals_the_library(library):
         assert vocabulary.decode(ids).decode() == text
 
 
+def test_bpe_rows_of_words_follow_the_rules_one_by_one(monkeypatch):
+    vocabulary = bpe.Vocabulary(bpe.vocabulary_source())
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeinorst éñ日本") for _ in range(rng.randint(1, 20))) for _ in range(3000)] + ["a" * n for n in range(1, 90)]
+    raw = [w.encode() for w in words]
+    short = [w for w in raw if len(w) <= bpe.ROW_BYTES]
+    sizes, flat = vocabulary.proposed_rows(short)
+    assert [c.tolist() for c in np.split(flat, np.cumsum(sizes)[:-1])] == [vocabulary.proposed(w) for w in short]
+    assert [ids.tolist() for ids in vocabulary.merged_rows(short)] == [vocabulary.merged(w) for w in short]
+    vocabulary.learn(words)
+    assert all(np.frombuffer(vocabulary.cache[w], "<u4").tolist() == vocabulary.merged(b) for w, b in zip(words, raw))
+    # a full dictionary keeps the words that the slice at hand repeats
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 3)
+    vocabulary.cache = {}
+    learned = []
+    learn = vocabulary.learn
+    monkeypatch.setattr(vocabulary, "learn", lambda new: (learned.extend(new), learn(new)))
+    for text in ("a b c d", "a b x y"):
+        vocabulary.encode_all([text])
+    assert sorted(learned) == [" b", " c", " d", " x", " y", "a"] and sorted(vocabulary.cache) == [" b", " x", " y", "a"]
+
+
 def test_speculation_is_checked_and_repaired():
     """Some words are right at once, some pairs fail, and merging agrees with the checks."""
     vocabulary = bpe.loaded(bpe.vocabulary_source())
