@@ -1,5 +1,7 @@
 """Mutation marts, scores and graph on small fixtures."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,3 +248,20 @@ def test_dangling_edges_stay_one_row_each(spark):
     found = q_ops.dangling_edges(nodes, edges)
     assert found.first().failed_rows == 4  # 2, 3, 4 and the edges without an id
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_public_graph_is_built_without_individuals(spark, tmp_path):
+    from contrastry.plans import gold_evidence as ge
+    from contrastry.plans import warehouse
+
+    d = str(tmp_path / "tables")  # a name of its own, so that nothing is stored for it
+    os.symlink("/root/testdata/sf0.001", d)
+    assert ge.QUERIES["graph_neighbourhood_counts"](spark, d).count() > 0
+    ge.metrics(spark, d).count()
+    built = {name for _, folder, name in warehouse._STORED if folder == os.path.abspath(d)}
+    assert "measurements" in built and not built & {"graph_nodes", "graph_edges", "samples", "patients", "tumour", "reference", "reprocessed"}
+    nodes, edges = ge.nodes(spark, d), ge.edges(spark, d)
+    whole = g_ops.public_edges(nodes, edges)
+    assert whole.exceptAll(ge.public_edges(spark, d)).count() == 0 and ge.public_edges(spark, d).count() == whole.count() > 0
+    assert g_ops.public_nodes(nodes).exceptAll(ge.public_nodes(spark, d)).count() == 0
+    assert ge.public_nodes(spark, d).count() == g_ops.public_nodes(nodes).count() < nodes.count()
