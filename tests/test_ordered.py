@@ -188,3 +188,15 @@ def test_replicates_match_repeated_rows(spark):
                 assert effects[k, number][1:] == (pytest.approx(float(np.median(t))), pytest.approx(float(np.median(n))))
             else:
                 assert (k, number) not in effects
+
+
+def test_unit_medians_move_rows_and_hold_no_map_of_a_group(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot", "hot", None, *"abcdefgh"]), "x", rng.choice([None, float("nan"), 0.0, rng.uniform(-9, 9), float(rng.randrange(4))]), rng.choice([None, rng.uniform(0, 1)])) for _ in range(2_000)]
+    rows += [("one", "x", 1.5, 2.5), ("blank", "x", None, 1.0), ("two", "x", 1e308, 4.0), ("two", "x", 1.7e308, 5.0)]
+    df = spark.createDataFrame(rows, "k string, l string, v double, w double")
+    got = ordered.unit_medians(df, ["k", "l"], {"m": "v", "o": "w"})
+    want = df.groupBy("k", "l").agg(F.median("v").alias("m"), F.median("w").alias("o")).dropna(subset=["m", "o"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == ["k", "l", "m", "o"]
