@@ -4,19 +4,23 @@ Documents are compared by the sets of their word n-grams; two are linked when th
 similarity is at least the threshold, that is when their Jaccard distance, a metric, is at
 most r. Distances between unrelated texts are all 1, so regions around sampled documents would
 not separate anything. The pivots of the first level are therefore single n-grams: a text is
-at distance below 1 from exactly those pivots that it contains, nearest in the fixed order of
-their hashes, and two linked texts share one of their first n - ceil(t n) + 1 pivots (their
+at distance below 1 from exactly those pivots that it contains, nearest in one fixed order
+(n-grams that are in many documents last, then by hash), and two linked texts share one of their first n - ceil(t n) + 1 pivots (their
 windows). Regions with a pivot in common are then gathered around their first document, which
 is the pivot of the second level: distances to it are exact, members within r belong to its
 class, and of the others only those inside the triangle window |d(x, p) - d(y, p)| <= r are
 compared, each as the next pivot, until no pair can be left (``resolve``). A region too large
 for a task is split by distance to its pivot into pieces whose windows are replicated
-(``split_regions``), and the pieces are joined in the same way.
+(``split_regions``), and the pieces are joined in the same way. A pivot brings two texts together
+only if what follows it in both, in that order, is enough for a link (``furthest``). The order keeps
+a passage that many unrelated texts quote from gathering them; it is one for all texts, whatever
+n-grams are taken for frequent, so no link depends on it.
 
 Before any region is formed, an exact filter removes documents that cannot have a partner: a
-linked document shares at least the fraction t of its n-grams with one other document, so at
-least that many occur in two documents. N-grams are counted over the whole corpus in hash
-buckets, by packed columns; a hash collision can only keep a document in.
+linked document has at most the fraction 1 - t of its n-grams for itself, so no more than that many
+of any part of them occur in one document alone. The n-grams in the lower half of the hash range
+are counted over the whole corpus in hash buckets, by packed columns whose size follows the n-grams,
+whatever the number of buckets; a hash collision can only keep a document in.
 
 Defined results: NULL and wordless texts have an empty set and no links; shorter texts have
 one n-gram, all their words; equal sets are joined once and share a class; rows with a NULL
@@ -27,7 +31,7 @@ N-grams are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +53,14 @@ REGION_BYTES = 64 << 20
 CHUNK_GRAMS = 2_000_000
 #: Bits of the filter of candidate sets; it is broadcast, 4 MB whatever the corpus.
 FILTER_BITS = 1 << 25
+#: N-gram hashes below it are counted by the first filter.
+HALF = np.uint64(1 << 63)
+#: N-grams counted in so many documents come last in the order of pivots.
+FREQUENT = 32
 
 PACKED = "bucket int, kind int, chunk long, payload binary"
 COUNTED = "chunk long, kind int, payload binary"
-SETS = "doc_id long, n long, set_key long, repeated long"
+SETS = "doc_id long, n long, set_key long, single long"
 
 
 def gram_sets(batch: pa.RecordBatch, text: str, size: int) -> list[np.ndarray]:
@@ -80,9 +88,26 @@ def rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0)), np.asarray(column.is_null())
 
 
+def cells(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and number inside the bucket of n-grams in the lower half of the hash range."""
+    return ((grams >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)), grams.astype(np.uint32)
+
+
+def pack_steps(owners: np.ndarray) -> bytes:
+    """Ascending numbers from 0 on as the steps between them, one byte for each 255 of a step and one for the rest."""
+    full, rest = np.divmod(np.diff(owners, prepend=0), 255)
+    out = np.full(len(owners) + int(full.sum()), 255, np.uint8)
+    out[np.cumsum(full + 1) - 1] = rest
+    return out.tobytes()
+
+
+def unpack_steps(packed: np.ndarray) -> np.ndarray:
+    return np.cumsum(packed, dtype=np.int64)[packed != 255]
+
+
 def pack_grams(text: str, size: int, buckets: int):
-    """Map side of counting: for each chunk a directory of its documents and, for each bucket,
-    how many n-grams each document has there, followed by their hashes."""
+    """Map side of counting: for each chunk a directory of its documents and, for each bucket, the hashes of
+    the n-grams that fall there, after the documents that they belong to. Only the lower half of the hash range counts."""
     def flush(docs: list[tuple], sets: list[np.ndarray], number: int) -> Iterator[pa.RecordBatch]:
         ids = np.concatenate([d[0] for d in docs])
         nulls = np.concatenate([d[1] for d in docs])
@@ -90,17 +115,19 @@ def pack_grams(text: str, size: int, buckets: int):
         keys = np.fromiter(map(set_key, sets), np.int64, len(sets))
         place = TaskContext.get().partitionId() * 1_000_003 + number
         chunk = int(mix(np.array([np.bitwise_xor.reduce(mix(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64))) + np.uint64(place)], np.uint64)).view(np.int64)[0])
-        grams = np.concatenate(sets)
-        bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 65536 else np.uint32)
+        grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        lower = grams < HALF
+        grams, owner = grams[lower], owner[lower]
+        counted = np.bincount(owner, minlength=len(sets)).astype(np.int64)
+        bucket, low = cells(grams, buckets)
+        bucket = bucket.astype(np.uint16 if buckets < 65536 else np.uint32)
         order = np.argsort(bucket, kind="stable")
-        low = grams.astype(np.uint32)[order]
-        owner = np.repeat(np.arange(len(sets)), sizes)[order]
+        low, owner = low[order], owner[order]
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        head = np.array([len(ids)], np.int64).tobytes()
-        payloads = [head + ids.astype(np.int64).tobytes() + nulls.astype(np.uint8).tobytes() + sizes.tobytes() + keys.tobytes()]
+        payloads = [np.array([len(ids)], np.int64).tobytes() + ids.astype(np.int64).tobytes() + nulls.astype(np.uint8).tobytes() + sizes.tobytes() + keys.tobytes() + counted.tobytes()]
         for b in range(buckets):
             part = slice(edges[b], edges[b + 1])
-            payloads.append(head + np.bincount(owner[part], minlength=len(ids)).astype(np.uint32).tobytes() + low[part].tobytes())
+            payloads.append(np.array([edges[b + 1] - edges[b]], np.int64).tobytes() + low[part].tobytes() + pack_steps(owner[part]))
         yield pa.RecordBatch.from_arrays([
             pa.array([abs(chunk) % buckets, *range(buckets)], pa.int32()), pa.array([0] + [1] * buckets, pa.int32()), pa.array([chunk] * (buckets + 1), pa.int64()), pa.array(payloads, pa.binary()),
         ], ["bucket", "kind", "chunk", "payload"])
@@ -122,8 +149,9 @@ def pack_grams(text: str, size: int, buckets: int):
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: for each document of each chunk, how many of its n-grams here occur in two documents."""
-    chunks, counts, values = [], [], []
+    """Reduce side: for each chunk the documents of those n-grams that occur in two documents here, once for each
+    (kind 1), and the n-grams that occur in many (kind 2)."""
+    chunks, owners, values = [], [], []
     for batch in batches:
         for kind, bucket, chunk, payload in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "chunk", "payload"))):
             if kind == 0:
@@ -131,11 +159,13 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             size = int(np.frombuffer(payload, np.int64, 1)[0])
             chunks.append(chunk)
-            counts.append(np.frombuffer(payload, np.uint32, size, 8))
-            values.append(np.frombuffer(payload, np.uint32, -1, 8 + 4 * size).astype(np.uint64) | np.uint64(bucket) << np.uint64(32))
+            values.append(np.frombuffer(payload, np.uint32, size, 8).astype(np.uint64) | np.uint64(bucket) << np.uint64(32))
+            owners.append(np.frombuffer(payload, np.uint8, -1, 8 + 4 * size))
     if not chunks:
         return
+    ends = np.cumsum([len(v) for v in values])
     grams = np.concatenate(values)
+    del values
     order = np.argsort(grams)
     ranked = grams[order]
     twin = np.zeros(len(grams), bool)
@@ -144,47 +174,50 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     twin[:-1] |= same
     repeated = np.zeros(len(grams), bool)
     repeated[order] = twin
-    sums = np.concatenate([[0], np.cumsum(repeated)])
-    at = 0
-    for chunk, count in zip(chunks, counts):
-        ends = at + np.cumsum(count, dtype=np.int64)
-        here = (sums[ends] - sums[ends - count]).astype(np.uint32)
-        at = int(ends[-1]) if len(ends) else at
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([here.tobytes()], pa.binary())], ["chunk", "kind", "payload"])
+    first = np.flatnonzero(np.concatenate([[True], ~same]) if len(grams) else [])
+    many = ranked[first[np.diff(first, append=len(grams)) >= FREQUENT]]
+    if len(many):
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([2], pa.int32()), pa.array([many.tobytes()], pa.binary())], ["chunk", "kind", "payload"])
+    for chunk, owner, end in zip(chunks, owners, ends):
+        owner = unpack_steps(owner)
+        here = pack_steps(owner[repeated[end - len(owner):end]])
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([1], pa.int32()), pa.array([here], pa.binary())], ["chunk", "kind", "payload"])
 
 
 def add_counts(buckets: int):
     """Sum the counts of each chunk over all buckets; a missing bucket is an error, never a silent loss."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         directory: dict[int, bytes] = {}
-        totals: dict[int, np.ndarray] = {}
-        seen: dict[int, int] = {}
+        parts: dict[int, list[bytes]] = {}
         for batch in batches:
             for chunk, kind, payload in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "payload"))):
                 if kind == 0:
                     directory[chunk] = payload
                 else:
-                    here = np.frombuffer(payload, np.uint32).astype(np.int64)
-                    totals[chunk] = totals[chunk] + here if chunk in totals else here
-                    seen[chunk] = seen.get(chunk, 0) + 1
+                    parts.setdefault(chunk, []).append(payload)
         for chunk, payload in directory.items():
-            if seen.get(chunk) != buckets:
-                raise RuntimeError(f"chunk {chunk} has counts of {seen.get(chunk, 0)} of {buckets} buckets")
+            found = parts.pop(chunk, [])
+            if len(found) != buckets:
+                raise RuntimeError(f"chunk {chunk} has counts of {len(found)} of {buckets} buckets")
             size = int(np.frombuffer(payload, np.int64, 1)[0])
             ids = np.frombuffer(payload, np.int64, size, 8)
             nulls = np.frombuffer(payload, np.uint8, size, 8 + 8 * size).astype(bool)
-            sizes = np.frombuffer(payload, np.int64, size, 8 + 9 * size)
-            keys = np.frombuffer(payload, np.int64, size, 8 + 17 * size)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes), pa.array(keys), pa.array(totals[chunk])], ["doc_id", "n", "set_key", "repeated"])
+            sizes, keys, counted = np.frombuffer(payload, np.int64, 3 * size, 8 + 9 * size).reshape(3, size)
+            owners = np.concatenate([unpack_steps(np.frombuffer(part, np.uint8)) for part in found])
+            single = counted - np.bincount(owners, minlength=size)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=nulls), pa.array(sizes), pa.array(keys), pa.array(single)], ["doc_id", "n", "set_key", "single"])
 
     return run
 
 
-def measured_sets(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """(doc_id, n, set_key, repeated) of every document."""
+def measured_sets(docs: DataFrame, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, set_key, single) of every document, single being how many of the n-grams counted occur in it
+    alone; and the cells of frequent n-grams, many in a row."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.mapInArrow(pack_grams(text, size, partitions), PACKED).repartition(partitions, "bucket")
-    return packed.mapInArrow(count_grams, COUNTED).repartition(partitions, "chunk").mapInArrow(add_counts(partitions), SETS)
+    counted = materialize(packed.mapInArrow(count_grams, COUNTED), "counts")
+    sets = counted.where("kind < 2").repartition(partitions, "chunk").mapInArrow(add_counts(partitions), SETS)
+    return materialize(sets, "sets"), counted.where("kind = 2").select("payload")
 
 
 def tokens(doc_id: np.ndarray, absent: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -197,28 +230,48 @@ def filter_bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mixed >> np.uint64(s)) % np.uint64(bits) for s in (0, 17, 34)]
 
 
-def key_filter(sets: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bloom filter of the pairs (doc_id, set_key). A fuller filter lets more through, and loses nothing."""
+def bloom_filter(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray], bits: int) -> np.ndarray:
+    """Bloom filter of 64-bit keys. A fuller filter lets more through, and loses nothing."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits, bool)
         for batch in batches:
-            for at in filter_bits(tokens(*rows_of(batch), np.asarray(batch.column("set_key"))), bits):
+            for at in filter_bits(keys(batch), bits):
                 held[at] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held).tobytes()], pa.binary())], ["bits"])
 
     total = np.zeros(bits // 8, np.uint8)
-    for row in sets.select("doc_id", "set_key").coalesce(8).mapInArrow(run, "bits binary").collect():  # eight arrays of fixed size
+    for row in rows.coalesce(8).mapInArrow(run, "bits binary").collect():  # eight arrays of fixed size
         total |= np.frombuffer(row["bits"], np.uint8)
     return total
 
 
-def candidate_sets(docs: DataFrame, text: str, size: int, wanted: np.ndarray) -> DataFrame:
-    """(set_key, n, grams) of the documents that pass the filter, each set once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
+def key_filter(sets: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Filter of the pairs (doc_id, set_key)."""
+    return bloom_filter(sets.select("doc_id", "set_key"), lambda batch: tokens(*rows_of(batch), np.asarray(batch.column("set_key"))), bits)
+
+
+def frequent_filter(cells_in: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """Filter of the cells of frequent n-grams."""
+    return bloom_filter(cells_in, lambda batch: np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in batch.column("payload").to_pylist())]), bits)
+
+
+def in_pivot_order(grams: np.ndarray, often: np.ndarray, buckets: int) -> np.ndarray:
+    """The n-grams of a set, ascending, with those in the filter ``often`` moved behind the others."""
+    counted = int(np.searchsorted(grams, HALF))
+    bucket, low = cells(grams[:counted], buckets)
+    late = np.zeros(len(grams), bool)
+    late[:counted] = np.logical_and.reduce([often[at] for at in filter_bits(bucket << np.uint64(32) | low, len(often))])
+    return np.concatenate([grams[~late], grams[late]])
+
+
+def candidate_sets(docs: DataFrame, text: str, size: int, wanted: np.ndarray, often: np.ndarray) -> DataFrame:
+    """(set_key, n, grams) of the documents that pass the filter ``wanted``, each set once per task, its n-grams in the order of pivots."""
+    shared = docs.sparkSession.sparkContext.broadcast((wanted.tobytes(), often.tobytes()))
     bits = len(wanted) * 8
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        kept, late = (np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in shared.value)
         done: set[int] = set()
         for batch in slices(batches, text):
             sets = gram_sets(batch, text, size)
@@ -227,14 +280,14 @@ def candidate_sets(docs: DataFrame, text: str, size: int, wanted: np.ndarray) ->
             rows = [i for i in np.flatnonzero(hit).tolist() if not (keys[i] in done or done.add(keys[i]))]
             if rows:
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(keys[rows]), pa.array([len(sets[i]) for i in rows], pa.int64()), pa.array([sets[i].tobytes() for i in rows], pa.binary()),
+                    pa.array(keys[rows]), pa.array([len(sets[i]) for i in rows], pa.int64()), pa.array([in_pivot_order(sets[i], late, buckets).tobytes() for i in rows], pa.binary()),
                 ], ["set_key", "n", "grams"])
 
     return docs.mapInArrow(run, "set_key long, n long, grams binary")
 
 
 def pivots(percent: int):
-    """(pivot, set_key, n): the first n - ceil(t n) + 1 n-grams of each set, in hash order."""
+    """(pivot, set_key, n, place): the first n - ceil(t n) + 1 n-grams of each set, in their order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("n").to_pylist()
@@ -243,27 +296,36 @@ def pivots(percent: int):
             if len(parts):
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.concatenate(parts)), pa.array(np.repeat(np.asarray(batch.column("set_key")), lengths)), pa.array(np.repeat(np.array(sizes, np.int64), lengths)),
-                ], ["pivot", "set_key", "n"])
+                    pa.array(np.concatenate([np.arange(k) for k in lengths.tolist()])),
+                ], ["pivot", "set_key", "n", "place"])
 
     return run
 
 
+def furthest(size: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Size of the largest set to which one of ``size`` can be linked if the n-gram at ``place`` of its order is the first they share."""
+    return (100 + percent) * (size - place) // percent - size
+
+
 def gathered(percent: int):
     """Task over the rows of whole pivots: memberships (region, set_key, shared), counted within the task.
 
-    The sets of a pivot are cut where sizes differ too much for a link (the smaller set would
-    have to hold t of the larger); what is left with two sets or more is gathered around its
-    smallest key."""
+    The sets of a pivot, in the order of their sizes, are cut where none before can be linked to one
+    behind with this pivot as the first in common; what is left with two sets or more is gathered around
+    its smallest key. Two linked sets stay together in the region of their first common pivot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = [[np.asarray(batch.column(c)) for c in ("pivot", "set_key", "n")] for batch in batches]
+        columns = [[np.asarray(batch.column(c)) for c in ("pivot", "set_key", "n", "place")] for batch in batches]
         if not columns:
             return
-        pivot, key, size = (np.concatenate(c) for c in zip(*columns))
+        pivot, key, size, place = (np.concatenate(c) for c in zip(*columns))
         order = np.lexsort((key, size, pivot))
-        pivot, key, size = pivot[order], key[order], size[order]
+        pivot, key, size, place = pivot[order], key[order], size[order], place[order]
         once = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (key[1:] != key[:-1])])  # a set from two tasks counts once
-        pivot, key, size = pivot[once], key[once], size[once]
-        cut = np.concatenate([[True], (pivot[1:] != pivot[:-1]) | (100 * size[:-1] < percent * size[1:])])
+        pivot, key, size, place = pivot[once], key[once], size[once], place[once]
+        another = pivot[1:] != pivot[:-1]
+        base = np.concatenate([[0], np.cumsum(another)]) * (int(size.max()) * (100 + percent) // percent + 1)  # lifts each pivot over the ones before
+        reach = np.maximum.accumulate(base + furthest(size, place, percent))
+        cut = np.concatenate([[True], another | (reach[:-1] < (base + size)[1:])])
         start = np.flatnonzero(cut)
         length = np.diff(np.concatenate([start, [len(key)]]))
         region = np.repeat(np.minimum.reduceat(key, start), length)
@@ -282,7 +344,7 @@ def gathered(percent: int):
 def regions(sets: DataFrame, percent: int) -> DataFrame:
     """(region, set_key, shared) of all sets that share a pivot with another of fitting size."""
     partitions = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.mapInArrow(pivots(percent), "pivot long, set_key long, n long").repartition(partitions, "pivot")
+    rows = sets.mapInArrow(pivots(percent), "pivot long, set_key long, n long, place long").repartition(partitions, "pivot")
     return rows.mapInArrow(gathered(percent), "region long, set_key long, shared long").groupBy("region", "set_key").agg(F.sum("shared").alias("shared"))
 
 
@@ -490,12 +552,12 @@ def region_links(members: DataFrame, sets: DataFrame, percent: int, limit: int)
 def jaccard_classes(docs: DataFrame, text: str = "text", size: int = NGRAM, percent: int = PERCENT, limit: int = REGION_BYTES) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text))
-    measured = materialize(measured_sets(source, text, size), "sets")
+    measured, frequent = measured_sets(source, text, size)
     # a key stands for the smallest id that has it; only that document is a candidate
     named = measured.where(F.col("n") > 0).groupBy("set_key").agg(
-        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("repeated").alias("repeated"))
-    possible = named.where(100 * F.col("repeated") >= percent * F.col("n")).select(F.col("first_id").alias("doc_id"), "set_key")
-    sets = materialize(candidate_sets(source, text, size, key_filter(possible)), "candidates")
+        F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min("single").alias("single"))
+    possible = named.where(100 * F.col("single") <= (100 - percent) * F.col("n")).select(F.col("first_id").alias("doc_id"), "set_key")
+    sets = materialize(candidate_sets(source, text, size, key_filter(possible), frequent_filter(frequent)), "candidates")
     members = materialize(regions(sets, percent), "regions")
     links = region_links(members, sets, percent, limit)
     # classes of keys, then of documents

@@ -83,3 +83,28 @@ def test_components(spark):
     assert {got[1], got[2], got[3]} == {1} and {got[7], got[8], got[9]} == {7}
     assert {got[100 + i] for i in range(61)} == {100} and {got[500 + i] for i in range(51)} == {500}
     assert rows_of(components(spark.createDataFrame([], "a long, b long"))) == []
+
+
+def test_packed_counts_grow_with_the_n_grams_and_not_with_the_buckets(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(400)], "doc_id long, text string").coalesce(1)
+    few, many = (docs.mapInArrow(jaccard.pack_grams("text", 5, b), jaccard.PACKED).selectExpr("sum(length(payload))").first()[0] for b in (4, 400))
+    assert many < 1.3 * few
+    owners = np.array([0, 0, 3, 255, 256, 900, 900])
+    assert jaccard.unpack_steps(np.frombuffer(jaccard.pack_steps(owners), np.uint8)).tolist() == owners.tolist()
+
+
+def test_a_passage_quoted_by_unrelated_texts_gathers_no_region(spark):
+    """Each text has a near copy, and half of its n-grams are those of one passage in all texts."""
+    r = random.Random(8)
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for i in range(80):
+        own = [f"o{i}x{k}" for k in range(60)]
+        near = own.copy()
+        near[r.randrange(60)] = f"n{i}"
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(near + passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    measured, frequent = jaccard.measured_sets(docs, "text", 5)
+    everything = np.full(1 << 10, 255, np.uint8)
+    sets = jaccard.candidate_sets(docs, "text", 5, everything, jaccard.frequent_filter(frequent))
+    assert jaccard.regions(sets, 75).groupBy("region").count().agg({"count": "max"}).first()[0] == 2
+    assert sorted(rows_of(jaccard.jaccard_classes(docs))) == brute_force(rows)
